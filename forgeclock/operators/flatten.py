@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +172,7 @@ def units_table(events: DataFrame, segment_events: int = SEGMENT_EVENTS) -> Data
     return unit_rows(events, segment_events).select(*schemas.UNITS.names)
 
 
-def sessions_table(docs: DataFrame) -> DataFrame:
+def sessions_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document; a document split into parts counts once."""
     v = F.col("v")
     # The payload version is the one top-level field whose name ends in `_schema`.
@@ -192,12 +194,13 @@ def sessions_table(docs: DataFrame) -> DataFrame:
     columns += [coerce.integer(v, f"$.machine.{c}").alias(c) for c in ("cpu_cores", "mem_gb")]
     columns += [coerce.number(v, f"$.load.{c}").alias(c) for c in ("loadavg_mean", "cpu_busy_mean")]
     first_part = F.coalesce(coerce.integer(v, "$.part"), F.lit(0)) == 0
-    return docs.where(first_part).select(*columns)
+    return docs.where(first_part).select(*columns, *keep)
 
 
-def _sampled_units(docs: DataFrame) -> DataFrame:
+def _sampled_units(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
     v = F.col("v")
     return docs.select(
+        *keep,
         coerce.text(v, "$.run_id").alias("run_id"),
         coerce.integer(v, "$.phases.rate_hz").alias("rate_hz"),
         coerce.text(v, "$.phases.sampler").alias("sampler"),
@@ -207,7 +210,7 @@ def _sampled_units(docs: DataFrame) -> DataFrame:
     )
 
 
-def phases_table(docs: DataFrame) -> DataFrame:
+def phases_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Sampled units x thread class x phase, in one scan."""
     u = F.col("u")
     nothing = F.array().cast("array<struct<thread:string,phase:string,samples:bigint>>")
@@ -224,24 +227,24 @@ def phases_table(docs: DataFrame) -> DataFrame:
         )
 
     return (
-        _sampled_units(docs)
+        _sampled_units(docs, keep)
         .select("*", F.inline(F.concat(side("serial"), side("parallel"))))
         .withColumn("wall_s", coerce.number(u, "$.wall_s"))
-        .select(*schemas.PHASES.names)
+        .select(*schemas.PHASES.names, *keep)
     )
 
 
-def unit_flags_table(docs: DataFrame) -> DataFrame:
+def unit_flags_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per sampled unit and setting, the value as text."""
     return (
-        _sampled_units(docs)
+        _sampled_units(docs, keep)
         .select("*", F.explode(coerce.entries(F.col("u"), "$.flags")).alias("f"))
         .select("*", F.col("f.key").alias("flag"), F.coalesce(coerce.text(F.col("f.value")), F.lit("null")).alias("value"))
-        .select(*schemas.UNIT_FLAGS.names)
+        .select(*schemas.UNIT_FLAGS.names, *keep)
     )
 
 
-def timeline_table(docs: DataFrame) -> DataFrame:
+def timeline_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Concurrency points and CPU pairs as sparse rows of one table, in one scan."""
     v = F.col("v")
     row = "array<struct<t:double,active:bigint,waiting:bigint,inactive:bigint,cpu_pct:double>>"
@@ -265,7 +268,8 @@ def timeline_table(docs: DataFrame) -> DataFrame:
     return docs.select(
         coerce.text(v, "$.run_id").alias("run_id"),
         F.inline(F.concat(F.coalesce(points, nothing), F.coalesce(pairs, nothing))),
-    ).select(*schemas.TIMELINE.names)
+        *keep,
+    ).select(*schemas.TIMELINE.names, *keep)
 
 
 def five_tables(docs: DataFrame) -> dict[str, DataFrame]:

@@ -60,3 +60,38 @@ def damaged(spark: SparkSession, sf: str) -> DataFrame:
         .when(n % 23 == 0, F.replace("body", F.lit('"units":[{'), F.lit('"units":[null,{')))
         .otherwise(F.col("body")),
     )
+
+
+def log_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log lens with each event as JSON text: (run_id, pos, reason, event)."""
+    from forgeclock.plans.lens import event_log
+
+    event = F.to_json(
+        F.struct(
+            "reason", "index", "elapsed", "section", "package_id",
+            F.when(F.col("target_name").isNotNull(), F.struct(F.col("target_name").alias("name"))).alias("target"),
+            "mode", "dependencies", "unblocked",
+        )
+    )
+    return event_log(spark, sf).select("run_id", "pos", "reason", event.alias("event"))
+
+
+def built_documents(spark: SparkSession, sf: str, part_events: int = 50_000) -> DataFrame:
+    """Session documents built from the event log lens: (object_key, body, year, month, day)."""
+    from forgeclock.sources.documents import build_documents
+
+    e = table(spark, sf, "events")
+    first = e.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
+    headers = first.select(
+        F.concat(F.lit("u"), "user_id").alias("run_id"),
+        F.to_json(
+            F.struct(F.date_format("first_ts", "yyyy-MM-dd").alias("timestamp"), F.lit("dev").alias("profile"))
+        ).alias("env"),
+        F.to_json(F.struct(F.concat(F.lit("m"), F.col("user_id") % 10).alias("machine_id"))).alias("machine"),
+        (F.col("user_id") % 3).alias("units_withheld"),
+    )
+    docs = build_documents(log_events(spark, sf), headers, "lens 1.0", part_events=part_events)
+    dates = first.select(F.concat(F.lit("u"), "user_id").alias("run_id"), *date_columns(F.col("first_ts")))
+    return docs.join(dates, "run_id").select(
+        F.concat(F.lit("sessions/"), "run_id", F.lit(".json.zst")).alias("object_key"), "part", "body", "year", "month", "day"
+    )
