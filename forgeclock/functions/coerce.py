@@ -15,7 +15,7 @@ def number(v: Column, path: str = "$") -> Column:
     n = F.try_variant_get(v, path, "double")
     blank = F.trim(F.try_variant_get(v, path, "string")) == ""
     usable = ~F.isnan(n) & (F.abs(n) != F.lit(float("inf")))
-    return F.when(blank, F.lit(0.0)).when(usable, n)
+    return F.when(n.isNull(), F.when(blank, F.lit(0.0))).when(usable, n)
 
 
 def integer(v: Column, path: str = "$") -> Column:
@@ -51,3 +51,25 @@ def entries(v: Column, path: str = "$") -> Column:
 def longs(v: Column, path: str = "$") -> Column:
     """Array of unit numbers; null when the value is no array."""
     return F.transform(items(v, path), lambda x: integer(x))
+
+
+# Shape of one event; fields whose type drifts stay VARIANT until coerced.
+EVENT = (
+    "struct<reason:string,index:variant,elapsed:variant,section:string,package_id:string,"
+    "target:struct<name:string>,mode:string,dependencies:variant,unblocked:variant>"
+)
+
+
+def event_columns(e: Column) -> list[Column]:
+    """Typed columns of an event cast to ``EVENT``."""
+    return [
+        e["reason"].alias("reason"),
+        integer(e["index"]).alias("index"),
+        number(e["elapsed"]).alias("elapsed"),
+        e["section"].alias("section"),
+        e["package_id"].alias("package_id"),
+        e["target"]["name"].alias("target_name"),
+        e["mode"].alias("mode"),
+        longs(e["dependencies"]).alias("dependencies"),
+        longs(e["unblocked"]).alias("unblocked"),
+    ]

@@ -18,43 +18,57 @@ SECTIONS = ("frontend", "codegen", "link")
 SEGMENT_EVENTS = 65_536
 
 
-def shape_fault(v):
-    """Why a parsed document cannot be flattened, or null when it can."""
+def with_fault(parsed: DataFrame) -> DataFrame:
+    """Add ``fault``: why a parsed document cannot be flattened, or null when it can.
 
-    def bad_list(path):
+    Each list is cut out of the document once and then tested member by member.
+    """
+    v = F.col("v")
+    lists = {
+        "events": "$.events",
+        "phases": "$.phases.units",
+        "concurrency": "$.timings.concurrency_data",
+        "cpu_usage": "$.timings.cpu_usage",
+    }
+
+    def present(path):
         item = F.try_variant_get(v, path, "variant")
-        return item.isNotNull() & ~F.is_variant_null(item) & coerce.items(v, path).isNull()
+        return item.isNotNull() & ~F.is_variant_null(item)
+
+    cut = parsed.select(
+        "*",
+        *[coerce.items(v, path).alias(f"__l_{n}") for n, path in lists.items()],
+        *[present(path).alias(f"__p_{n}") for n, path in lists.items()],
+    )
 
-    def bad_member(path, test):
-        return F.coalesce(F.exists(coerce.items(v, path), test), F.lit(False))
+    def no_list(name):
+        return F.col(f"__p_{name}") & F.col(f"__l_{name}").isNull()
+
+    def some(name, test):
+        return F.coalesce(F.exists(f"__l_{name}", test), F.lit(False))
 
     def nothing(x):
         return x.isNull() | F.is_variant_null(x)
 
-    odd_id = lambda e: (
-        (coerce.text(e, "$.reason") == "unit-registered")
-        & ~F.coalesce(
-            F.schema_of_variant(F.try_variant_get(e, "$.package_id", "variant")).isin("STRING", "VOID"),
-            F.lit(True),
+    def odd_id(e):
+        pid = F.try_variant_get(e, "$.package_id", "variant")
+        kind = F.schema_of_variant(pid)
+        return (
+            F.when(coerce.text(e, "$.reason") != "unit-registered", F.lit(False))
+            .when(pid.isNull() | kind.isin("STRING", "VOID"), F.lit(False))
+            .otherwise(F.coalesce(coerce.truth(pid), F.lit(False)))
         )
-        & F.coalesce(coerce.truth(e, "$.package_id"), F.lit(False))
-    )
-    return (
+
+    fault = (
         F.when(v.isNull(), F.lit("not json"))
         .when(F.is_variant_null(v), F.lit("null document"))
-        .when(bad_list("$.events") | bad_member("$.events", nothing), F.lit("events"))
-        .when(bad_member("$.events", odd_id), F.lit("package_id"))
-        .when(bad_list("$.phases.units") | bad_member("$.phases.units", nothing), F.lit("phases"))
-        .when(
-            bad_list("$.timings.concurrency_data") | bad_member("$.timings.concurrency_data", nothing),
-            F.lit("concurrency"),
-        )
-        .when(
-            bad_list("$.timings.cpu_usage")
-            | bad_member("$.timings.cpu_usage", lambda p: coerce.items(p).isNull()),
-            F.lit("cpu_usage"),
-        )
+        .when(no_list("events") | some("events", nothing), F.lit("events"))
+        .when(some("events", odd_id), F.lit("package_id"))
+        .when(no_list("phases") | some("phases", nothing), F.lit("phases"))
+        .when(no_list("concurrency") | some("concurrency", nothing), F.lit("concurrency"))
+        .when(no_list("cpu_usage") | some("cpu_usage", lambda p: coerce.items(p).isNull()), F.lit("cpu_usage"))
     )
+    return cut.select(*parsed.columns, fault.alias("fault"))
 
 
 def event_rows(docs: DataFrame) -> DataFrame:
@@ -65,22 +79,13 @@ def event_rows(docs: DataFrame) -> DataFrame:
         "object_key",
         coerce.text(v, "$.run_id").alias("run_id"),
         first.alias("first"),
-        F.posexplode(coerce.items(v, "$.events")).alias("i", "e"),
+        F.posexplode(F.try_variant_get(v, "$.events", f"array<{coerce.EVENT}>")).alias("i", "e"),
     )
-    e = F.col("e")
     return exploded.select(
         "object_key",
         "run_id",
         (F.col("first") + F.col("i")).alias("pos"),
-        coerce.text(e, "$.reason").alias("reason"),
-        coerce.integer(e, "$.index").alias("index"),
-        coerce.number(e, "$.elapsed").alias("elapsed"),
-        coerce.text(e, "$.section").alias("section"),
-        coerce.text(e, "$.package_id").alias("package_id"),
-        coerce.text(e, "$.target.name").alias("target_name"),
-        coerce.text(e, "$.mode").alias("mode"),
-        coerce.longs(e, "$.dependencies").alias("dependencies"),
-        coerce.longs(e, "$.unblocked").alias("unblocked"),
+        *coerce.event_columns(F.col("e")),
     )
 
 
@@ -193,8 +198,10 @@ def sessions_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ]
     columns += [coerce.integer(v, f"$.machine.{c}").alias(c) for c in ("cpu_cores", "mem_gb")]
     columns += [coerce.number(v, f"$.load.{c}").alias(c) for c in ("loadavg_mean", "cpu_busy_mean")]
-    first_part = F.coalesce(coerce.integer(v, "$.part"), F.lit(0)) == 0
-    return docs.where(first_part).select(*columns, *keep)
+    # Packed lakes carry the part number as a column; plain objects have no parts.
+    if "part" in docs.columns:
+        docs = docs.where(F.col("part") == 0)
+    return docs.select(*columns, *keep)
 
 
 def _sampled_units(docs: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -86,7 +86,7 @@ _DAMAGE = """SELECT 'sessions/o' || o_orderkey || '.json.zst' AS object_key, CAS
 
 @query("a3_quarantine", f"SELECT * FROM ({_DAMAGE}) WHERE fault IS NOT NULL")
 def a3(spark, sf):
-    return lake.quarantine(lake.parse(raw_lens.damaged(spark, sf)))
+    return lake.quarantine(lake.ingest(raw_lens.damaged(spark, sf)))
 
 
 @query("a4_adhoc_glob", over("events", body="""
@@ -335,7 +335,6 @@ def a16(spark, sf):
 def a17(spark, sf):
     docs = lake.parse(raw_lens.built_documents(spark, sf, part_events=1000))
     parts = docs.groupBy(coerce.text(F.col("v"), "$.run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("parts"))
-    rows = flatten.sessions_table(docs.withColumn("v", F.col("v")))
     head = docs.select(coerce.text(F.col("v"), "$.run_id").alias("run_id"), "v")
     whole = head.groupBy("run_id").agg(
         F.max(coerce.integer(F.col("v"), "$.counts.events")).alias("events"),

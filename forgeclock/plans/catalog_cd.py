@@ -115,7 +115,7 @@ _unit_query(
 
 
 def parsed(spark, sf):
-    return lake.parse(raw_lens.documents(spark, sf))
+    return lake.well_formed(lake.ingest(raw_lens.documents(spark, sf)))
 
 
 @query("c9_units_from_documents", """

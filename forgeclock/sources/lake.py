@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.operators.flatten import shape_fault
+from forgeclock.operators.flatten import with_fault
+from forgeclock.shared import materialise
 
 DATE_COLUMNS = ("year", "month", "day")
 
@@ -43,14 +44,21 @@ def parse(raw: DataFrame) -> DataFrame:
     return raw.withColumn("v", F.try_parse_json("body")).drop("body")
 
 
-def well_formed(parsed: DataFrame) -> DataFrame:
-    return parsed.where(shape_fault(F.col("v")).isNull())
+def ingest(raw: DataFrame) -> DataFrame:
+    """Parse and check every document once: (..., v, fault), written to the shared folder.
+
+    All tables are derived from this copy, so the text is never parsed twice.
+    """
+    return materialise(with_fault(parse(raw)), "documents")
+
+
+def well_formed(ingested: DataFrame) -> DataFrame:
+    return ingested.where("fault IS NULL").drop("fault")
 
 
-def quarantine(parsed: DataFrame) -> DataFrame:
+def quarantine(ingested: DataFrame) -> DataFrame:
     """Documents that cannot be flattened, with the reason."""
-    fault = shape_fault(F.col("v"))
-    return parsed.where(fault.isNotNull()).select("object_key", fault.alias("fault"))
+    return ingested.where("fault IS NOT NULL").select("object_key", "fault")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

@@ -37,10 +37,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def valid_events(lines: DataFrame) -> DataFrame:
     """(log, pos, e) without any log that holds one line that is not a JSON object."""
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    parsed = lines.select("log", "pos", F.try_parse_json("line").alias("e"))
-    is_object = F.coalesce(
-        F.try_variant_get("e", "$", "map<string,variant>").isNotNull(), F.lit(False)
-    )
+    parsed = materialise(lines.select("log", "pos", F.try_parse_json("line").alias("e")), "log-events")
+    kind = F.schema_of_variant("e")
+    is_object = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
     broken = parsed.where(~is_object).select("log").distinct()
     return parsed.join(broken, "log", "left_anti")
 
@@ -61,20 +60,9 @@ def run_headers(events: DataFrame) -> DataFrame:
 
 def event_table(events: DataFrame, headers: DataFrame) -> DataFrame:
     """Typed event rows of valid logs, keyed by log."""
-    e = F.col("e")
-    return events.join(headers.select("log", "run_id"), "log").select(
-        F.col("log").alias("object_key"),
-        "run_id",
-        "pos",
-        coerce.text(e, "$.reason").alias("reason"),
-        coerce.integer(e, "$.index").alias("index"),
-        coerce.number(e, "$.elapsed").alias("elapsed"),
-        coerce.text(e, "$.section").alias("section"),
-        coerce.text(e, "$.package_id").alias("package_id"),
-        coerce.text(e, "$.target.name").alias("target_name"),
-        coerce.text(e, "$.mode").alias("mode"),
-        coerce.longs(e, "$.dependencies").alias("dependencies"),
-        coerce.longs(e, "$.unblocked").alias("unblocked"),
+    typed = events.select("log", "pos", F.try_variant_get("e", "$", coerce.EVENT).alias("e"))
+    return typed.join(headers.select("log", "run_id"), "log").select(
+        F.col("log").alias("object_key"), "run_id", "pos", *coerce.event_columns(F.col("e"))
     )
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from forgeclock import schemas
 from forgeclock.operators.flatten import five_tables
-from forgeclock.shared import materialise
 from forgeclock.sources import lake
 
 
@@ -97,17 +96,20 @@ def compact(raw: DataFrame, folder: str, day: str | None = None) -> DataFrame:
     and feed all five tables.
     """
     spark = raw.sparkSession
-    parsed = lake.parse(raw)
-    good = materialise(lake.well_formed(parsed).select("object_key", "v"), "documents")
+    ingested = lake.ingest(raw.withColumn("bytes", F.octet_length("body")))
+    good = lake.well_formed(ingested)
     counts = write_tables(five_tables(good), folder, day)
     write_manifest(spark, folder)
-    read = raw.agg(F.count(F.lit(1)).alias("objects"), F.sum(F.octet_length("body")).alias("bytes_in"))
-    kept = good.count()
+    read = ingested.agg(
+        F.count(F.lit(1)).alias("objects"),
+        F.count_if(F.col("fault").isNotNull()).alias("failed"),
+        F.sum("bytes").alias("bytes_in"),
+    )
     return read.select(
         F.lit(counts["sessions"]).cast("bigint").alias("sessions"),
         F.lit(counts["units"]).cast("bigint").alias("units"),
         "objects",
-        (F.col("objects") - F.lit(kept)).alias("failed"),
+        "failed",
         "bytes_in",
         F.lit(counts["phases"]).cast("bigint").alias("phase_rows"),
         F.lit(counts["timeline"]).cast("bigint").alias("timeline_rows"),
@@ -131,9 +133,8 @@ def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int
     days = lake.pending_days(packed, done)
     if not days:
         return days
-    parsed = lake.parse(lake.only_days(packed, days))
-    good = materialise(lake.well_formed(parsed).select("object_key", "v", *keys), "documents")
-    dated = good.select("object_key", *keys)
+    good = lake.well_formed(lake.ingest(lake.only_days(packed, days)))
+    dated = good.select("object_key", *keys).distinct()
     from forgeclock.operators import flatten
 
     units = flatten.unit_rows(flatten.event_rows(good)).join(dated, "object_key")
