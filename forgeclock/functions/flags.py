@@ -186,9 +186,11 @@ def unit_settings(args: Column) -> Column:
         lambda x: x.isNotNull(),
     )
     names = sorted([*CODEGEN_KEYS, "incremental", "edition", "target"])
-    picked = [
-        F.try_element_at(F.filter(found, lambda s, n=n: s["k"] == n), F.lit(-1)) for n in names
-    ]
+
+    def last(name: str) -> Column:
+        return F.try_element_at(F.filter(found, lambda s: s["k"] == name), F.lit(-1))
+
+    picked = [last(n) for n in names]
     features = F.when(
         F.size(outside_codegen) > 0,
         F.struct(

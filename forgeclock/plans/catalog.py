@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from forgeclock.plans import catalog_ab, catalog_cd
+from forgeclock.plans import catalog_ab, catalog_cd, catalog_efg
 
 QUERIES = {}
 ORACLES = {}
-for _module in (catalog_ab, catalog_cd):
+for _module in (catalog_ab, catalog_cd, catalog_efg):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -368,6 +368,7 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
         "concat('p', p) AS profile_id",
         "t AS thread_pos",
         """CASE WHEN p % 5 = 4 AND t = 3 THEN 'rustc - --crate-name ___ --print=file-names --crate-type bin'
+             WHEN p % 5 = 3 AND t >= 2 THEN concat('/home/u/target/debug/build/crate-', p, '/build-script-build --x=', p)
              WHEN t < 2 THEN concat('rustc --crate-name crate_', p, ' ''--edition=2021'' /home/u/.cargo/registry/src/idx/crate-',
                p, '-1.0.', p, '/src/lib.rs --crate-type lib -C opt-level=', p % 4, ' -C ''metadata=h', p,
                ''' --cfg ''feature="std"'' --cfg ''feature="alloc"'' -C incremental=/home/u/x')
@@ -393,7 +394,7 @@ samples AS (
   FROM lineitem),
 threads AS (
   SELECT 'p' || p AS profile_id, t AS thread_pos,
-    CASE WHEN p % 5 = 4 AND t = 3 THEN 'probe' WHEN t < 2 THEN 'crate_' || p ELSE 'build_script_build' END AS crate,
+    CASE WHEN p % 5 = 4 AND t = 3 THEN 'probe' WHEN p % 5 = 3 AND t >= 2 THEN 'script' WHEN t < 2 THEN 'crate_' || p ELSE 'build_script_build' END AS crate,
     CASE WHEN t < 2 THEN 'crate-' || p || '-1.0.' || p ELSE 'build_script_build' END AS package,
     CASE WHEN t < 2 THEN 'lib' ELSE 'bin' END AS crate_type,
     CASE WHEN t < 2 THEN 'h' || p ELSE 'b' || p END AS unit_hash,

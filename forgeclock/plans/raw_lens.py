@@ -41,6 +41,8 @@ _BODY = """concat(
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(object_key, body, year, month, day): raw documents as they would be stored."""
     o = table(spark, sf, "orders").selectExpr("o_orderkey AS q", "o_custkey AS c", "o_orderdate AS d")
+    # A few bytes per row become a document of a kilobyte: spread rows before they grow.
+    o = o.repartition(spark.sparkContext.defaultParallelism)
     return o.select(
         F.concat(F.lit("sessions/o"), "q", F.lit(".json.zst")).alias("object_key"),
         F.expr(_BODY).alias("body"),
