@@ -70,25 +70,11 @@ def sanitise_flag(flag: Column) -> Column:
 def split_flags(raw: Column, encoded: bool = False) -> Column:
     """Flag text to an array of flags, with ``-C opt-level=2`` joined into one."""
     separator = "\x1f" if encoded else f"{BLANKS}+"
-    tokens = F.filter(F.split(raw, separator), lambda t: t != "")
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open")
-    )
-
-    def push(state: Column, token: Column) -> Column:
-        joined = F.array_append(state["done"], F.concat_ws(" ", state["open"], token))
-        waits = state["open"].isNull() & token.isin(*VALUE_FLAGS)
-        return F.struct(
-            F.when(waits, state["done"]).otherwise(joined).alias("done"),
-            F.when(waits, token).alias("open"),
-        )
-
-    def close(state: Column) -> Column:
-        return F.when(state["open"].isNull(), state["done"]).otherwise(
-            F.array_append(state["done"], state["open"])
-        )
-
-    return F.aggregate(tokens, start, push, close)
+    mark = "\x1e"
+    words = F.array_join(F.filter(F.split(raw, separator), lambda t: t != ""), mark)
+    # Matches run left to right and never overlap, so a value is not taken for a flag again.
+    joined = F.regexp_replace(words, rf"(?<=^|{mark})({'|'.join(VALUE_FLAGS)}){mark}([^{mark}]*)", "$1 $2")
+    return F.filter(F.split(joined, mark), lambda t: t != "")
 
 
 def sanitised_flags(raw: Column, encoded: bool = False) -> Column:
@@ -185,12 +171,11 @@ def unit_settings(args: Column) -> Column:
         ),
         lambda x: x.isNotNull(),
     )
-    names = sorted([*CODEGEN_KEYS, "incremental", "edition", "target"])
-
-    def last(name: str) -> Column:
-        return F.try_element_at(F.filter(found, lambda s: s["k"] == name), F.lit(-1))
 
-    picked = [last(n) for n in names]
+    # Keep the last setting of each key.
+    newest_first = F.reverse(found)
+    keys = F.transform(newest_first, lambda s: s["k"])
+    picked = F.filter(newest_first, lambda s, i: F.array_position(keys, s["k"]) == i + 1)
     features = F.when(
         F.size(outside_codegen) > 0,
         F.struct(
@@ -198,7 +183,28 @@ def unit_settings(args: Column) -> Column:
             F.array_join(F.array_sort(F.array_distinct(outside_codegen)), ",").alias("v"),
         ),
     )
-    return F.map_from_entries(F.array_sort(F.filter(F.array(*picked, features), lambda s: s.isNotNull())))
+    every = F.concat(picked, F.filter(F.array(features), lambda s: s.isNotNull()))
+    return F.map_from_entries(F.array_sort(every))
+
+
+def compile_facts(command_line: Column) -> Column:
+    """Everything a command line says about its unit: an array of one struct for ``inline``.
+
+    The one-element array binds the tokens to a variable, and ``inline`` keeps the
+    optimizer from repeating the whole expression for every field read.
+    """
+
+    def facts(args: Column) -> Column:
+        return F.struct(
+            is_compile(command_line, args).alias("is_compile"),
+            crate_name(args).alias("crate"),
+            crate_type(args).alias("crate_type"),
+            unit_hash(args).alias("unit_hash"),
+            source_package(args).alias("package"),
+            unit_settings(args).alias("settings"),
+        )
+
+    return F.transform(F.array(tokens(command_line)), facts)
 
 
 def linker_of(flags: Column) -> Column:

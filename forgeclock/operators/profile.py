@@ -190,19 +190,19 @@ def sample_phase() -> F.Column:
 
 def unit_threads(threads: DataFrame) -> DataFrame:
     """Threads of compile processes with their unit identity and thread class."""
-    parsed = threads.withColumn("args", flags.tokens(F.col("process_name")))
-    args = F.col("args")
-    return parsed.where(flags.is_compile(F.col("process_name"), args)).select(
-        *THREAD,
-        "name",
-        "startup_ms",
-        "shutdown_ms",
-        flags.crate_name(args).alias("crate"),
-        flags.crate_type(args).alias("crate_type"),
-        flags.unit_hash(args).alias("unit_hash"),
-        flags.source_package(args).alias("package"),
-        F.to_json(flags.unit_settings(args)).alias("flags"),
-        symbols.thread_class(F.col("name")).alias("thread"),
+    rustc = threads.where(F.startswith("process_name", F.lit("rustc")))
+    return (
+        rustc.select(
+            *THREAD,
+            "name",
+            "startup_ms",
+            "shutdown_ms",
+            symbols.thread_class(F.col("name")).alias("thread"),
+            F.inline(flags.compile_facts(F.col("process_name"))),
+        )
+        .where("is_compile")
+        .withColumn("flags", F.to_json("settings"))
+        .drop("is_compile", "settings")
     )
 
 

@@ -117,8 +117,8 @@ def e5(spark, sf):
         IF(p_partkey % 5 = 0, ' -C incremental=/home/u/t', ''), ' -C metadata=abc -C extra-filename=-abc --out-dir /home/u',
         CASE p_partkey % 3 WHEN 0 THEN concat(' --target ', p_brand) WHEN 1 THEN concat(' --target=', p_type) ELSE '' END,
         array_join(transform(split(concat(p_name, ' ', p_type, ' ', p_name), ' '), x -> concat(' --cfg ''feature="', x, '"''')), ''))""")
-    settings = flags.unit_settings(flags.tokens(line))
-    return table(spark, sf, "part").select("p_partkey", F.explode(settings).alias("flag", "value"))
+    facts = table(spark, sf, "part").select("p_partkey", F.inline(flags.compile_facts(line)))
+    return facts.select("p_partkey", F.explode("settings").alias("flag", "value"))
 
 
 @query("e6_thread_class", """SELECT c_custkey, name, CASE WHEN c_custkey % 7 IN (0, 1, 2) THEN 'parallel' ELSE 'serial' END AS thread FROM
