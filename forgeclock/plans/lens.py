@@ -100,9 +100,9 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
         "concat('o', l_orderkey) AS run_id",
         "CAST(l_linenumber AS BIGINT) AS index",
         "replace(p_name, ' ', '-') AS crate",
-        "p_brand AS package",
+        "replace(p_brand, '#', '') AS package",
         "l_returnflag AS mode",
-        "concat('registry+https://github.com/rust-lang/crates.io-index#', p_brand, '@1.0.', p_size) AS package_id",
+        "concat('registry+https://github.com/rust-lang/crates.io-index#', replace(p_brand, '#', ''), '@1.0.', p_size) AS package_id",
         "l_extendedprice AS duration",
         "l_quantity AS started",
         "l_quantity + l_extendedprice AS finished",
@@ -115,8 +115,8 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 _UNITS_SQL = """units AS (
   SELECT 'o' || l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS index, replace(p_name, ' ', '-') AS crate,
-    p_brand AS package, l_returnflag AS mode,
-    'registry+https://github.com/rust-lang/crates.io-index#' || p_brand || '@1.0.' || p_size AS package_id,
+    replace(p_brand, '#', '') AS package, l_returnflag AS mode,
+    'registry+https://github.com/rust-lang/crates.io-index#' || replace(p_brand, '#', '') || '@1.0.' || p_size AS package_id,
     l_extendedprice AS duration, l_quantity AS started, l_quantity + l_extendedprice AS finished,
     CAST(l_quantity AS DOUBLE) AS frontend,
     CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber * 2 AS DOUBLE) END AS codegen,
@@ -192,7 +192,7 @@ def phases(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey).selectExpr(
         "concat('o', l_orderkey) AS run_id",
         "replace(p_name, ' ', '_') AS crate",
-        "concat(p_brand, '-1.0.', p_size) AS package",
+        "concat(replace(p_brand, '#', ''), '-1.0.', p_size) AS package",
         "CASE WHEN l_returnflag = 'R' THEN 'bin' ELSE 'lib' END AS crate_type",
         "CASE WHEN l_linenumber % 3 = 0 THEN 'parallel' ELSE 'serial' END AS thread",
         f"element_at(array({_PHASE_LIST}), CAST(1 + (l_partkey + l_suppkey) % 10 AS INT)) AS phase",
@@ -204,7 +204,7 @@ def phases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PHASES_SQL = f"""phases AS (
-  SELECT 'o' || l_orderkey AS run_id, replace(p_name, ' ', '_') AS crate, p_brand || '-1.0.' || p_size AS package,
+  SELECT 'o' || l_orderkey AS run_id, replace(p_name, ' ', '_') AS crate, replace(p_brand, '#', '') || '-1.0.' || p_size AS package,
     CASE WHEN l_returnflag = 'R' THEN 'bin' ELSE 'lib' END AS crate_type,
     CASE WHEN l_linenumber % 3 = 0 THEN 'parallel' ELSE 'serial' END AS thread,
     [{_PHASE_LIST}][1 + (l_partkey + l_suppkey) % 10] AS phase,
@@ -246,7 +246,7 @@ def unit_flags(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey).selectExpr(
         "concat('o', l_orderkey) AS run_id",
         "replace(p_name, ' ', '_') AS crate",
-        "concat(p_brand, '-1.0.', p_size) AS package",
+        "concat(replace(p_brand, '#', ''), '-1.0.', p_size) AS package",
         "'lib' AS crate_type",
         """stack(5, 'opt-level', CAST(p_size % 4 AS STRING), 'codegen-units', CAST(16 * (1 + p_size % 16) AS STRING),
              'lto', CASE p_type WHEN 'PROMO' THEN 'fat' WHEN 'SMALL' THEN 'thin' ELSE 'off' END,
@@ -256,7 +256,7 @@ def unit_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FLAGS_SQL = """unit_flags AS (
-  SELECT 'o' || l_orderkey AS run_id, replace(p_name, ' ', '_') AS crate, p_brand || '-1.0.' || p_size AS package,
+  SELECT 'o' || l_orderkey AS run_id, replace(p_name, ' ', '_') AS crate, replace(p_brand, '#', '') || '-1.0.' || p_size AS package,
     'lib' AS crate_type, f.flag AS flag, f.value AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey,
     LATERAL (VALUES ('opt-level', CAST(p_size % 4 AS VARCHAR)),
