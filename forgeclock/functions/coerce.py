@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from forgeclock.functions.text import strip
+
 
 def text(v: Column, path: str = "$") -> Column:
     return F.try_variant_get(v, path, "string")
@@ -13,7 +15,7 @@ def text(v: Column, path: str = "$") -> Column:
 def number(v: Column, path: str = "$") -> Column:
     """DOUBLE from number, boolean or numeric text; blank text is 0, non-finite is null."""
     n = F.try_variant_get(v, path, "double")
-    blank = F.trim(F.try_variant_get(v, path, "string")) == ""
+    blank = strip(F.try_variant_get(v, path, "string")) == ""
     usable = ~F.isnan(n) & (F.abs(n) != F.lit(float("inf")))
     return F.when(n.isNull(), F.when(blank, F.lit(0.0))).when(usable, n)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from forgeclock.functions.text import BLANKS, strip
+
 # The only environment variables that are kept.
 ENV_VARIABLES = (
     "RUSTFLAGS",
@@ -34,9 +36,6 @@ CODEGEN_KEYS = (
     "strip",
 )
 
-BLANKS = r"\p{IsWhite_Space}"
-
-
 def path_like(value: Column) -> Column:
     return F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\"))
 
@@ -47,13 +46,13 @@ def base_name(value: Column) -> Column:
 
 def program_name(value: Column) -> Column:
     """Last path part of a program; null for blank text."""
-    trimmed = F.regexp_replace(value, rf"^{BLANKS}+|{BLANKS}+$", "")
+    trimmed = strip(value)
     return F.when(trimmed != "", base_name(trimmed))
 
 
 def sanitise_flag(flag: Column) -> Column:
     """One flag made safe to publish; null means drop it."""
-    flag = F.regexp_replace(flag, rf"^{BLANKS}+|{BLANKS}+$", "")
+    flag = strip(flag)
     cut = F.instr(flag, "=")
     name = F.substr(flag, F.lit(1), cut - 1)
     value = F.substr(flag, cut + 1)

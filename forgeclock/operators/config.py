@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock.functions import flags
+from forgeclock.functions.text import strip
 
 STALL_KINDS = ("cpu", "io", "memory")
 ARTIFACT_KINDS = {"rmeta": "rmeta", "rlib": "rlib", "o": "obj"}
@@ -35,8 +36,8 @@ def stall_seconds(samples: DataFrame) -> DataFrame:
 
 def machine_id(env_id: Column, project_id: Column, file_id: Column) -> Column:
     """First present source decides; blank or ``none`` means no id. A blank file is absent."""
-    chosen = F.coalesce(env_id, project_id, F.nullif(F.trim(file_id), F.lit("")))
-    return F.nullif(F.nullif(F.trim(chosen), F.lit("")), F.lit("none"))
+    chosen = F.coalesce(env_id, project_id, F.nullif(strip(file_id), F.lit("")))
+    return F.nullif(F.nullif(strip(chosen), F.lit("")), F.lit("none"))
 
 
 def memory_gb(size: Column) -> Column:
