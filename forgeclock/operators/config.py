@@ -81,15 +81,22 @@ def merged_config(layers: DataFrame) -> DataFrame:
 
 def crate_bytes(listing: DataFrame) -> DataFrame:
     """Artifact bytes per target folder and crate from a file listing (target_dir, path, length)."""
-    inside = listing.where(F.col("path").rlike(r"/(debug|release)/deps/[^/]+$"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    tail = F.substring_index("path", "/", -3)
+    inside = listing.where(
+        (F.startswith(tail, F.lit("debug/deps/")) | F.startswith(tail, F.lit("release/deps/")))
+        & F.contains("path", F.lit("/"))
+    )
+    name = F.substring_index("path", "/", -1)
+    last = F.substring_index(name, ".", -1)
     # A leading dot starts a hidden file, not an extension.
-    ext = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
-    stem = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
-    base = F.regexp_replace(stem, "^lib", "")
+    has_ext = F.length(last) + 1 < F.length(name)
+    stem = F.when(has_ext, F.substr(name, F.lit(1), F.length(name) - F.length(last) - 1)).otherwise(name)
+    base = F.when(F.startswith(stem, F.lit("lib")), F.substr(stem, F.lit(4))).otherwise(stem)
+    crate = F.substr(base, F.lit(1), F.length(base) - F.length(F.substring_index(base, "-", -1)) - 1)
+    ext = F.when(has_ext, last)
     return (
         inside.where(F.contains(base, F.lit("-")))
-        .groupBy("target_dir", F.regexp_extract(base, r"^(.*)-[^-]*$", 1).alias("crate"))
+        .groupBy("target_dir", crate.alias("crate"))
         .agg(
             *[
                 F.coalesce(F.sum(F.when(ext == e, F.col("length"))), F.lit(0)).alias(n)

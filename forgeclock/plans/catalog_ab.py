@@ -35,7 +35,7 @@ def object_lake(spark, sf) -> str:
     keys = ["year", "month", "day", "doc"]
     (
         docs.select("body", "year", "month", "day", F.regexp_extract("object_key", r"/([^/.]+)", 1).alias("doc"))
-        .repartition(*keys)
+        .repartition(spark.sparkContext.defaultParallelism, *keys)
         .write.partitionBy(*keys)
         .option("compression", "gzip")
         .text(folder)
@@ -64,7 +64,7 @@ def a1(spark, sf):
 
 def packed_lake(spark, sf, docs) -> str:
     folder = fresh_folder(spark, "packed")
-    lake.pack(docs.repartition("year", "month", "day"), folder)
+    lake.pack(docs, folder)
     return folder
 
 
@@ -127,7 +127,7 @@ def log_folder(spark, sf) -> str:
     lines = e.select("run_id", "pos", F.coalesce(broken, F.col("event")).alias("value")).unionByName(head)
     (
         lines.withColumnRenamed("run_id", "log")
-        .repartition("log")
+        .repartition(spark.sparkContext.defaultParallelism, "log")
         .sortWithinPartitions("log", "pos")
         .select("log", "value")
         .write.partitionBy("log")
@@ -214,7 +214,7 @@ def a7(spark, sf):
 def a9(spark, sf):
     folder = fresh_folder(spark, "artifacts")
     docs = table(spark, sf, "documents").select("lang", "source", "text")
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(folder)
+    docs.repartition(spark.sparkContext.defaultParallelism, "lang", "source").write.partitionBy("lang", "source").text(folder)
     files = lake.listing(spark, folder)
     return files.groupBy(
         F.regexp_extract("object_key", r"lang=([^/]+)", 1).alias("lang"),
@@ -358,7 +358,7 @@ def a18(spark, sf):
     packed, out = fresh_folder(spark, "packed"), fresh_folder(spark, "published")
     for odd in (1, 0):
         arrived = docs.where(F.col("day") % 2 == odd)
-        lake.pack(arrived.repartition("year", "month", "day"), packed)
+        lake.pack(arrived, packed)
         sinks.compact_new_days(lake.read_packed(spark, packed), out)
     return spark.read.parquet(f"{out}/units").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("units"))
 

@@ -8,6 +8,7 @@ from forgeclock.functions import coerce, flags, symbols
 from forgeclock.operators import config, profile, reports
 from forgeclock.plans import lens
 from forgeclock.plans.lens import over, table
+from forgeclock.shared import materialise
 
 QUERIES = {}
 ORACLES = {}
@@ -428,7 +429,7 @@ def f10(spark, sf):
       FROM bytes JOIN listed USING (target_dir, crate) GROUP BY 1)
     SELECT 'listed' AS rule, * FROM totals UNION ALL SELECT 'distinct', * FROM uniq""")
 def f11(spark, sf):
-    per = config.crate_bytes(artifact_files(spark, sf))
+    per = materialise(config.crate_bytes(artifact_files(spark, sf)), "crate-bytes")
     o, part = table(spark, sf, "orders").where("o_orderstatus = 'F'"), table(spark, sf, "part")
     crates = o.join(part, o.o_custkey == part.p_partkey).selectExpr(
         "concat('t', o_orderkey % 50) AS target_dir", "replace(p_name, ' ', '-') AS crate"

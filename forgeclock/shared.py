@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,14 @@ def shared_root(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def _own_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_root(spark)}/forgeclock/{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared root that no other run uses."""
-    return f"{shared_root(spark)}/forgeclock/{label}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,3 +47,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(work: Callable[[str], object], names: list[str]) -> dict:
+    """Submit one Spark job chain per table at once; the cluster shares its slots."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(work, names)))
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when results are stored."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

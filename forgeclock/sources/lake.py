@@ -33,8 +33,13 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pack(raw: DataFrame, path: str) -> None:
-    """Append raw documents to a packed lake, unchanged."""
-    raw.write.mode("append").partitionBy(*[c for c in DATE_COLUMNS if c in raw.columns]).parquet(path)
+    """Append raw documents to a packed lake, unchanged.
+
+    Rebalancing gives a day as many files as its size needs: small days get one, a
+    day with a large part of all documents is split.
+    """
+    days = [c for c in DATE_COLUMNS if c in raw.columns]
+    raw.hint("rebalance", *days).write.mode("append").partitionBy(*days).parquet(path)
 
 
 def parse(raw: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock import schemas
-from forgeclock.operators.flatten import five_tables
+from forgeclock.operators import flatten
+from forgeclock.shared import together
 from forgeclock.sources import lake
 
 
@@ -29,18 +29,19 @@ def write_tables(tables: dict[str, DataFrame], folder: str, day: str | None = No
     spark = tables["sessions"].sparkSession
     if tables["sessions"].isEmpty():
         raise NoSessions("no session could be read; published tables left unchanged")
-    counts = {}
-    for name, struct in schemas.TABLES.items():
+
+    def publish(name: str) -> int:
+        struct = schemas.TABLES[name]
         table = tables[name].select(*[F.col(f.name).cast(f.dataType) for f in struct.fields])
         if name in schemas.OPTIONAL_TABLES and table.isEmpty():
-            counts[name] = 0
-            continue
+            return 0
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         done = _written(spark, folder, name)
-        counts[name] = done.count()
         if day:
             done.write.mode("overwrite").parquet(f"{folder}/snapshots/{name}/day={day}")
-    return counts
+        return done.count()
+
+    return together(publish, list(schemas.TABLES))
 
 
 def manifest(version: int = schemas.SCHEMA_VERSION) -> dict:
@@ -98,7 +99,7 @@ def compact(raw: DataFrame, folder: str, day: str | None = None) -> DataFrame:
     spark = raw.sparkSession
     ingested = lake.ingest(raw.withColumn("bytes", F.octet_length("body")))
     good = lake.well_formed(ingested)
-    counts = write_tables(five_tables(good), folder, day)
+    counts = write_tables(flatten.five_tables(good), folder, day)
     write_manifest(spark, folder)
     read = ingested.agg(
         F.count(F.lit(1)).alias("objects"),
@@ -135,22 +136,25 @@ def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int
         return days
     good = lake.well_formed(lake.ingest(lake.only_days(packed, days)))
     dated = good.select("object_key", *keys).distinct()
-    from forgeclock.operators import flatten
-
     units = flatten.unit_rows(flatten.event_rows(good)).join(dated, "object_key")
-    phases = {
+    tables = {
         "units": units.select(*schemas.UNITS.names, *keys),
         "phases": flatten.phases_table(good, keys),
         "timeline": flatten.timeline_table(good, keys),
         "unit_flags": flatten.unit_flags_table(good, keys),
         "sessions": flatten.sessions_table(good, keys),
     }
-    for name, table in phases.items():
+
+    def append(name: str) -> None:
         (
-            table.repartition(*keys, F.pmod(F.hash("run_id"), F.lit(16)))
+            tables[name]
+            .hint("rebalance", *keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .parquet(f"{folder}/{name}")
         )
+
+    together(append, [n for n in tables if n != "sessions"])
+    append("sessions")
     return days

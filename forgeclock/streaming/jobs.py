@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from forgeclock import schemas
 from forgeclock.operators import flatten
 from forgeclock.operators.ordered import exact_quantiles
+from forgeclock.shared import together
 from forgeclock.sources import lake
 
 
@@ -62,8 +63,12 @@ def streaming_compaction(packed: DataFrame, out: str, checkpoint: str) -> None:
 
     def work(batch: DataFrame, number: int) -> None:
         good = lake.well_formed(lake.ingest(batch))
-        for name, table in flatten.five_tables(good).items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        tables = flatten.five_tables(good)
+
+        def write(name: str) -> None:
+            tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+        together(write, list(tables))
 
     drain_batches(packed, work, checkpoint)
 
