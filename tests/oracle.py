@@ -75,10 +75,17 @@ def main() -> int:
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--plain", action="store_true", help="use Spark's default settings")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
-    spark = local_session(8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = []
