@@ -126,7 +126,7 @@ def resolve_symbols(probes: DataFrame, table: DataFrame) -> DataFrame:
     found = running_last(
         both, ["lib"], "at", {"resolved": F.col("symbol")}, F.floor(F.col("addr") / ADDRESS_SEGMENT)
     )
-    return found.where(F.col("at") % 2 == 1).select("lib", "addr", F.col("resolved").alias("symbol"))
+    return found.where(F.pmod("at", F.lit(2)) == 1).select("lib", "addr", F.col("resolved").alias("symbol"))
 
 
 def named_nodes(nodes: DataFrame, table: DataFrame) -> DataFrame:

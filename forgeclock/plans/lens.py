@@ -340,13 +340,13 @@ def stack_nodes(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(o_orderkey % 4 AS INT) AS thread_pos",
         "CAST((o_orderkey % 2048) div 4 AS INT) AS node",
         "CASE WHEN (o_orderkey % 2048) div 4 > 0 THEN CAST((o_orderkey % 2048) div 8 AS INT) END AS prefix",
-        "o_custkey * 64 + o_orderkey % 97 AS addr",
+        "o_custkey * 64 + o_orderkey % 97 - 40 AS addr",
         "concat('lib', o_custkey % 3) AS lib",
     )
 
 
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").where("c_custkey % 11 <> 0").selectExpr(
+    return table(spark, sf, "customer").selectExpr(
         "concat('lib', c_custkey % 3) AS lib",
         "c_custkey * 64 AS rva",
         f"element_at(array({_SYMBOL_LIST}), CAST(1 + c_custkey % {_N_SYMBOLS} AS INT)) AS symbol",
@@ -383,11 +383,11 @@ _PROFILE_SQL = f"""nodes AS (
   SELECT 'p' || (o_orderkey // 2048) AS profile_id, CAST(o_orderkey % 4 AS INTEGER) AS thread_pos,
     CAST((o_orderkey % 2048) // 4 AS INTEGER) AS node,
     CASE WHEN (o_orderkey % 2048) // 4 > 0 THEN CAST((o_orderkey % 2048) // 8 AS INTEGER) END AS prefix,
-    o_custkey * 64 + o_orderkey % 97 AS addr, 'lib' || (o_custkey % 3) AS lib
+    o_custkey * 64 + o_orderkey % 97 - 40 AS addr, 'lib' || (o_custkey % 3) AS lib
   FROM orders),
 symbols AS (
   SELECT 'lib' || (c_custkey % 3) AS lib, c_custkey * 64 AS rva, [{_SYMBOL_LIST}][1 + c_custkey % {_N_SYMBOLS}] AS symbol
-  FROM customer WHERE c_custkey % 11 <> 0),
+  FROM customer),
 samples AS (
   SELECT 'p' || (l_orderkey // 2048) AS profile_id, CAST(l_orderkey % 4 AS INTEGER) AS thread_pos,
     CASE WHEN l_linenumber <> 7 THEN CAST((l_orderkey % 2048) // 4 AS INTEGER) END AS stack
