@@ -9,6 +9,12 @@ from forgeclock.functions import flags
 from forgeclock.functions.text import strip
 
 STALL_KINDS = ("cpu", "io", "memory")
+# A file of a deps folder: the crate is what precedes the last dash of the stem, without a
+# leading lib.  First with an extension, then without one (a leading dot is no extension).
+ARTIFACT = (
+    r"(?s)^.*/(?:debug|release)/deps/(?:lib)?+"
+    r"(?:([^/]*)-[^/-]*?\.([^./]*)|(\.?[^./]*)-[^./-]*)$"
+)
 ARTIFACT_KINDS = {"rmeta": "rmeta", "rlib": "rlib", "o": "obj"}
 
 
@@ -81,22 +87,11 @@ def merged_config(layers: DataFrame) -> DataFrame:
 
 def crate_bytes(listing: DataFrame) -> DataFrame:
     """Artifact bytes per target folder and crate from a file listing (target_dir, path, length)."""
-    tail = F.substring_index("path", "/", -3)
-    inside = listing.where(
-        (F.startswith(tail, F.lit("debug/deps/")) | F.startswith(tail, F.lit("release/deps/")))
-        & F.contains("path", F.lit("/"))
-    )
-    name = F.substring_index("path", "/", -1)
-    last = F.substring_index(name, ".", -1)
-    # A leading dot starts a hidden file, not an extension.
-    has_ext = F.length(last) + 1 < F.length(name)
-    stem = F.when(has_ext, F.substr(name, F.lit(1), F.length(name) - F.length(last) - 1)).otherwise(name)
-    base = F.when(F.startswith(stem, F.lit("lib")), F.substr(stem, F.lit(4))).otherwise(stem)
-    crate = F.substr(base, F.lit(1), F.length(base) - F.length(F.substring_index(base, "-", -1)) - 1)
-    ext = F.when(has_ext, last)
+    marked = F.regexp_replace("path", ARTIFACT, "\x1f$1$3\x1f$2")
+    ext = F.split_part(marked, F.lit("\x1f"), F.lit(3))
     return (
-        inside.where(F.contains(base, F.lit("-")))
-        .groupBy("target_dir", crate.alias("crate"))
+        listing.where(F.startswith(marked, F.lit("\x1f")))
+        .groupBy("target_dir", F.split_part(marked, F.lit("\x1f"), F.lit(2)).alias("crate"))
         .agg(
             *[
                 F.coalesce(F.sum(F.when(ext == e, F.col("length"))), F.lit(0)).alias(n)

@@ -59,6 +59,18 @@ def test_artifact_bytes(spark):
     assert config.byte_totals(config.public_bytes(per, crates, distinct=True)).first().rlib == 12
 
 
+def test_artifact_names(spark):
+    names = {
+        "foo-1.2.rmeta": "foo", "a-b-1.o": "a-b", "foo.bar-1": None, ".x-1": ".x", "foo-1": "foo", "libfoo": None,
+        "lib-1.o": "", "foo-1.x-y": "foo", "nodash.rlib": None, "foo-.rlib": "foo",
+    }
+    df = spark.createDataFrame([(n, f"/w/release/deps/{n}", 1) for n in names], "target_dir string, path string, length bigint")
+    got = {r.target_dir: r.crate for r in config.crate_bytes(df).collect()}
+    assert got == {n: c for n, c in names.items() if c is not None}
+    outside = spark.createDataFrame([("t", "/w/release/deps/sub/foo-1.o", 1), ("t", "/w/bench/deps/foo-1.o", 1)], "target_dir string, path string, length bigint")
+    assert config.crate_bytes(outside).isEmpty()
+
+
 def test_config_layers(spark):
     rows = [
         ("r", "home", "build.jobs", "4"), ("r", "workspace", "build.jobs", "8"), ("r", "home", "build.rustc-wrapper", '"/opt/sccache"'),
