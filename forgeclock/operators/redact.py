@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgeclock.functions import ids
+from forgeclock.functions import coerce, ids
 
 REGISTERED = "unit-registered"
 BUILD_STARTED = "build-started"
@@ -23,9 +23,13 @@ def private_units(
     )
 
 
-def hide_units(events: DataFrame, private: DataFrame, key: str = "object_key") -> DataFrame:
+def hide_units(
+    events: DataFrame, private: DataFrame, key: str = "object_key", keep_hidden: bool = False
+) -> DataFrame:
     """Drop events of private units and prune edges that point at them.
 
+    ``keep_hidden`` leaves the private numbers each event mentioned in ``hidden``.
+
     Every unit number an event mentions is looked up by an equi-join, so a build of
     any size spreads over tasks; per event only its own hits are gathered.
     """
@@ -51,8 +55,56 @@ def hide_units(events: DataFrame, private: DataFrame, key: str = "object_key") -
             "dependencies": ids.prune_edges(F.col("dependencies"), F.col("hidden")),
             "unblocked": ids.prune_edges(F.col("unblocked"), F.col("hidden")),
         })
-        .drop("hidden")
-        .select(*events.columns)
+        .select(*events.columns, *(["hidden"] if keep_hidden else []))
+    )
+
+
+def redact_log(
+    events: DataFrame, project_public: Column | None = None, strict_git: bool = True, strict_values: bool = False
+) -> DataFrame:
+    """(log, pos, reason, event): redacted events as JSON text, otherwise verbatim.
+
+    ``events`` is (log, pos, e) with each event as VARIANT.  Fields nobody knows pass
+    through; only edges, local package ids, the command and the path fields change.
+    """
+    typed = events.select(
+        "log", "pos", "e", F.try_variant_get("e", "$", coerce.EVENT).alias("s")
+    ).select("log", "pos", "e", *coerce.event_columns(F.col("s")))
+    private = private_units(typed, "log", project_public, strict_git)
+    kept = hide_units(typed, private, "log", keep_hidden=True)
+    e, reason = F.col("e"), F.col("reason")
+    hidden = F.coalesce("hidden", F.array().cast("array<bigint>"))
+    header = F.coalesce(reason == BUILD_STARTED, F.lit(False))
+
+    def change(name: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("k"), value.cast("variant").alias("v")))
+
+    def pruned(name: str) -> Column:
+        edges = coerce.items(e, f"$.{name}")
+        left = F.filter(edges, lambda x: ~F.coalesce(F.array_contains(hidden, coerce.integer(x)), F.lit(False)))
+        return change(name, F.to_variant_object(left), edges.isNotNull())
+
+    command = F.transform(
+        coerce.items(e, "$.command"),
+        lambda x: F.when(F.schema_of_variant(x) == "STRING", coerce.text(x)),
+    )
+    local = F.startswith("package_id", F.lit(ids.LOCAL_PREFIX))
+    changes = F.filter(
+        F.array(
+            pruned("dependencies"),
+            pruned("unblocked"),
+            change("package_id", ids.canonical_id(F.col("package_id")), local),
+            change("command", F.to_variant_object(ids.scrub_command(command, strict_values)), header & command.isNotNull()),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    changed = F.transform(changes, lambda c: c["k"])
+    fields = F.map_filter(
+        F.try_variant_get(e, "$", "map<string,variant>"),
+        lambda k, _: ~F.array_contains(changed, k) & ~(header & k.isin(*ids.PRIVATE_HEADER_FIELDS)),
+    )
+    return kept.select(
+        "log", "pos", "reason", F.to_json(F.map_concat(fields, F.map_from_entries(changes))).alias("event")
     )
 
 

@@ -347,6 +347,30 @@ def a17(spark, sf):
     return parts.join(whole, "run_id")
 
 
+@query("a17_documents_from_logs", over("events", body="""WITH marked AS (SELECT *, user_id % 13 = 0 AND pos % 5 = 0 OR user_id % 17 = 0 AND pos % 5 = 0 AS broken FROM ev),
+    good AS (SELECT run_id FROM marked GROUP BY 1 HAVING NOT bool_or(broken)),
+    log AS (SELECT ev.* FROM ev JOIN good USING (run_id)),
+    priv AS (SELECT DISTINCT run_id, index FROM log WHERE reason = 'unit-registered' AND NOT PUBLIC),
+    kept AS (SELECT * FROM log WHERE NOT EXISTS (SELECT 1 FROM priv WHERE priv.run_id = log.run_id AND priv.index = log.index)),
+    hid AS (SELECT run_id, list(index) AS hidden FROM priv GROUP BY 1)
+    SELECT g.run_id AS log, 1 + count(k.pos) AS events, count(k.pos) FILTER (WHERE k.reason = 'unit-registered') AS units,
+      coalesce(len(any_value(hidden)), 0)::BIGINT AS units_withheld,
+      coalesce(sum(len(list_filter(k.dependencies, lambda x: NOT list_contains(coalesce(hidden, []), x)))), 0)::BIGINT AS edges
+    FROM good g LEFT JOIN hid USING (run_id) LEFT JOIN kept k ON k.run_id = g.run_id GROUP BY g.run_id""".replace(
+        "PUBLIC", "(starts_with(package_id, 'registry+https://github.com/rust-lang/crates.io-index') OR starts_with(package_id, 'sparse+https://index.crates.io') "
+        "OR (starts_with(package_id, 'git+http') AND NOT contains(package_id, '@')))")))
+def a17_logs(spark, sf):
+    docs = documents.documents_from_logs(scanned(spark, sf), "lens 1.0")
+    made = lake.well_formed(lake.ingest(docs.withColumnRenamed("log", "object_key")))
+    edges = flatten.event_rows(made).groupBy("object_key").agg(
+        F.coalesce(F.sum(F.size("dependencies")), F.lit(0)).alias("edges")
+    )
+    rows = flatten.sessions_table(made).select("object_key", "events", "units", "units_withheld")
+    return rows.join(edges, "object_key").select(
+        _log_name("object_key").alias("log"), "events", "units", "units_withheld", "edges"
+    )
+
+
 @query("a18_incremental_compaction", over("events", body="""
     WITH reg AS (SELECT DISTINCT run_id, index FROM ev WHERE reason = 'unit-registered'),
     runs AS (SELECT run_id, min(ts)::DATE AS d FROM ev GROUP BY 1)

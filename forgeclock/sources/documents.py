@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forgeclock.functions import coerce, ids
+from forgeclock.operators import redact
+from forgeclock.sources.logs import run_headers
+
 # Events per document part; larger builds are written as several parts.
 PART_EVENTS = 50_000
 
@@ -15,16 +19,17 @@ def build_documents(
     client: str,
     version_field: str = "payload_schema",
     part_events: int = PART_EVENTS,
+    key: str = "run_id",
 ) -> DataFrame:
-    """(run_id, part, body): one JSON document per build, split only when oversized.
+    """(key, part, body): one JSON document per build, split only when oversized.
 
-    ``events`` is (run_id, pos, event JSON text, reason); ``headers`` has one row per run:
+    ``events`` is (key, pos, event JSON text, reason); ``headers`` has one row per key:
     run_id, env, machine, load, phases, timings, ... as JSON text or null, and
-    ``units_withheld``.  ``pos`` counts from 0 inside a run.
+    ``units_withheld``.  A part spans ``part_events`` values of ``pos``.
     """
     part = F.floor(F.col("pos") / part_events).cast("bigint")
     pieces = (
-        events.groupBy("run_id", part.alias("part"))
+        events.groupBy(key, part.alias("part"))
         .agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("pos", "event"))), lambda s: s["event"]), ","
@@ -32,14 +37,14 @@ def build_documents(
             F.min("pos").alias("first_pos"),
         )
     )
-    totals = events.groupBy("run_id").agg(
+    totals = events.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("reason") == "unit-registered").alias("n_units"),
         F.count_if(F.col("reason") == "unit-section-finished").alias("n_sections"),
         F.count_if(F.col("reason") == "unit-finished").alias("n_finished"),
     )
-    side = [c for c in headers.columns if c not in ("run_id", "units_withheld")]
-    joined = pieces.join(totals, "run_id").join(headers, "run_id", "left")
+    side = [c for c in headers.columns if c not in (key, "run_id", "units_withheld")]
+    joined = pieces.join(totals, key).join(headers, key, "left")
 
     def field(name: str, value: Column) -> Column:
         return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
@@ -68,4 +73,30 @@ def build_documents(
         ),
         F.lit("}"),
     )
-    return joined.select("run_id", "part", body.alias("body"))
+    return joined.select(key, "part", body.alias("body"))
+
+
+# Header fields that go into ``env``.
+ENV_FIELDS = ("host", "profile", "jobs", "num_cpus", "rustc_version", "rustc_version_verbose", "timestamp")
+
+# Log bytes per document part; positions of log lines are byte based.
+PART_BYTES = 1 << 26
+
+
+def documents_from_logs(events: DataFrame, client: str, project_public: Column | None = None) -> DataFrame:
+    """(log, part, body): redacted session documents of valid logs (log, pos, e)."""
+    e = F.col("e")
+    started = F.when(coerce.text(e, "$.reason") == redact.BUILD_STARTED, F.col("pos"))
+    env = F.map_filter(F.try_variant_get(e, "$", "map<string,variant>"), lambda k, _: k.isin(*ENV_FIELDS))
+    last = events.groupBy("log").agg(F.max_by(F.to_json(env), started).alias("env"))
+    typed = events.select("log", F.try_variant_get("e", "$", coerce.EVENT).alias("s")).select(
+        "log", *coerce.event_columns(F.col("s"))
+    )
+    hidden = F.when(
+        (F.col("reason") == redact.REGISTERED) & ~ids.is_public(F.col("package_id"), project_public), F.col("index")
+    )
+    withheld = typed.groupBy("log").agg(F.count_distinct(hidden).alias("units_withheld"))
+    runs = run_headers(events).select("log", "run_id")
+    headers = runs.join(last, "log").join(withheld, "log")
+    kept = redact.redact_log(events, project_public)
+    return build_documents(kept, headers, client, part_events=PART_BYTES, key="log")

@@ -77,3 +77,30 @@ def test_published_phases_only_of_public_crates(spark):
     phases = spark.createDataFrame([("r", "a_b", 1), ("r", "secret", 2), ("q", "a_b", 3)], "run_id string, crate string, samples int")
     crates = spark.createDataFrame([("r", "a-b")], "run_id string, crate string")
     assert [r.samples for r in redact.restrict_to_public(phases, crates).collect()] == [1]
+
+
+def test_log_text_passes_verbatim_except_for_redaction(spark):
+    import json
+
+    from forgeclock.sources import documents
+
+    lines = [
+        {"reason": "build-started", "run_id": "r", "cwd": "/h", "workspace_root": "/h", "target_dir": "/t", "manifest_path": "/m", "jobs": 8, "profile": "dev",
+         "command": ["/x/cargo", 3, "build", "-Zq"], "new": {"deep": [1, None, "\u00e9"]}},
+        {"reason": "unit-registered", "index": 0, "package_id": PUBLIC, "dependencies": [1, 0, 1, "odd"], "target": {"name": "a", "kind": ["lib"]}},
+        {"reason": "unit-registered", "index": 1, "package_id": "path+file:///h/secret#0.1"},
+        {"reason": "unit-finished", "index": 0, "elapsed": 1.5, "unblocked": 7, "future": 1},
+        {"reason": "unit-started", "index": 1, "elapsed": 1},
+    ]
+    df = spark.createDataFrame([("l", i, json.dumps(x)) for i, x in enumerate(lines)], "log string, pos bigint, t string")
+    events = df.select("log", "pos", F.parse_json("t").alias("e"))
+    out = {r.pos: json.loads(r.event) for r in redact.redact_log(events).collect()}
+    assert set(out) == {0, 1, 3}
+    assert out[0] == {"reason": "build-started", "run_id": "r", "jobs": 8, "profile": "dev", "command": ["cargo", "<arg>", "-Zq"], "new": {"deep": [1, None, "\u00e9"]}}
+    assert out[1] == {**lines[1], "dependencies": [0, "odd"]}
+    assert out[3] == lines[3]
+    public = {r.pos: json.loads(r.event) for r in redact.redact_log(events, F.lit(True)).collect()}
+    assert public[2]["package_id"] == "workspace#secret@0.1" and public[1]["dependencies"] == [1, 0, 1, "odd"]
+    doc = json.loads(documents.documents_from_logs(events, "c 1").first().body)
+    assert (doc["run_id"], doc["env"], doc["counts"]) == ("r", {"jobs": 8, "profile": "dev"}, {"events": 3, "units": 1, "sections": 0, "units_withheld": 1})
+    assert doc["complete"] is True and [e["reason"] for e in doc["events"]] == ["build-started", "unit-registered", "unit-finished"]
