@@ -64,12 +64,13 @@ def redact_log(
 ) -> DataFrame:
     """(log, pos, reason, event): redacted events as JSON text, otherwise verbatim.
 
-    ``events`` is (log, pos, e) with each event as VARIANT.  Fields nobody knows pass
-    through; only edges, local package ids, the command and the path fields change.
+    ``events`` is (log, pos, e) with each event as VARIANT, plus any column that
+    ``project_public`` refers to.  Fields nobody knows pass through; only edges, local
+    package ids, the command and the path fields change.
     """
-    typed = events.select(
-        "log", "pos", "e", F.try_variant_get("e", "$", coerce.EVENT).alias("s")
-    ).select("log", "pos", "e", *coerce.event_columns(F.col("s")))
+    typed = events.withColumn("s", F.try_variant_get("e", "$", coerce.EVENT)).select(
+        *events.columns, *coerce.event_columns(F.col("s"))
+    )
     private = private_units(typed, "log", project_public, strict_git)
     kept = hide_units(typed, private, "log", keep_hidden=True)
     e, reason = F.col("e"), F.col("reason")

@@ -84,13 +84,16 @@ PART_BYTES = 1 << 26
 
 
 def documents_from_logs(events: DataFrame, client: str, project_public: Column | None = None) -> DataFrame:
-    """(log, part, body): redacted session documents of valid logs (log, pos, e)."""
+    """(log, part, body): redacted session documents of valid logs (log, pos, e).
+
+    ``project_public`` may refer to further columns of ``events``.
+    """
     e = F.col("e")
     started = F.when(coerce.text(e, "$.reason") == redact.BUILD_STARTED, F.col("pos"))
     env = F.map_filter(F.try_variant_get(e, "$", "map<string,variant>"), lambda k, _: k.isin(*ENV_FIELDS))
     last = events.groupBy("log").agg(F.max_by(F.to_json(env), started).alias("env"))
-    typed = events.select("log", F.try_variant_get("e", "$", coerce.EVENT).alias("s")).select(
-        "log", *coerce.event_columns(F.col("s"))
+    typed = events.withColumn("s", F.try_variant_get("e", "$", coerce.EVENT)).select(
+        *events.columns, *coerce.event_columns(F.col("s"))
     )
     hidden = F.when(
         (F.col("reason") == redact.REGISTERED) & ~ids.is_public(F.col("package_id"), project_public), F.col("index")

@@ -101,6 +101,8 @@ def test_log_text_passes_verbatim_except_for_redaction(spark):
     assert out[3] == lines[3]
     public = {r.pos: json.loads(r.event) for r in redact.redact_log(events, F.lit(True)).collect()}
     assert public[2]["package_id"] == "workspace#secret@0.1" and public[1]["dependencies"] == [1, 0, 1, "odd"]
+    flagged = redact.redact_log(events.withColumn("open", F.lit(True)), F.col("open"))
+    assert flagged.count() == 5
     doc = json.loads(documents.documents_from_logs(events, "c 1").first().body)
     assert (doc["run_id"], doc["env"], doc["counts"]) == ("r", {"jobs": 8, "profile": "dev"}, {"events": 3, "units": 1, "sections": 0, "units_withheld": 1})
     assert doc["complete"] is True and [e["reason"] for e in doc["events"]] == ["build-started", "unit-registered", "unit-finished"]
