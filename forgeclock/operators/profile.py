@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce, flags, symbols
@@ -178,7 +178,7 @@ def path_facts(nodes: DataFrame) -> DataFrame:
     return done.drop("up")
 
 
-def sample_phase() -> F.Column:
+def sample_phase() -> Column:
     """Phase of a sample from the facts of its node; parked wins over any marker."""
     return F.when(F.coalesce("parked", F.lit(False)), F.lit("blocked")).otherwise(
         F.coalesce("phase", F.lit("unattributed"))

@@ -274,9 +274,6 @@ def a12(spark, sf):
     return counted(spark, {t: f"{folder}/{t}" for t in ("units", "sessions", "phases", "timeline")})
 
 
-_TYPES = {"run_id": "string"}
-
-
 def _manifest_oracle() -> str:
     from forgeclock import schemas
 
@@ -454,8 +451,6 @@ def b2(spark, sf):
 _PRIVATE = f"""WITH priv AS (SELECT DISTINCT run_id, index FROM ev WHERE reason = 'unit-registered' AND NOT {_PUB}),
 kept AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM priv WHERE priv.run_id = ev.run_id AND priv.index = ev.index))
 """
-_EDGES = """list_filter({c}, lambda x: NOT list_contains(coalesce((SELECT list(index) FROM priv WHERE priv.run_id = kept.run_id), []), x))"""
-
 
 @query("b3_private_units", over("events", body=_PRIVATE + "SELECT run_id, index FROM priv"))
 def b3(spark, sf):

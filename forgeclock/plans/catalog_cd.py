@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce, ids
-from forgeclock.operators import flatten
-from forgeclock.operators.frontier import iterate
+from forgeclock.operators import flatten, graph
 from forgeclock.plans import lens, published, raw_lens
 from forgeclock.plans.lens import over
 from forgeclock.sources import lake
@@ -268,10 +267,8 @@ def d3(spark, sf):
     SELECT sum(l_quantity) AS cpu_s FROM closure JOIN graph ON src = node JOIN lineitem ON l_partkey = dst
     WHERE package = 'Brand#7'"""))
 def d10(spark, sf):
-    from forgeclock.operators.graph import cones
-
     units = lens.graph_units(spark, sf)
-    cone = cones(lens.graph_edges(spark, sf))
+    cone = graph.cones(lens.graph_edges(spark, sf))
     arrays = cone.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("cone_class_ids"))
     classes = arrays.join(units, arrays.src == units.node).select(F.col("package").alias("name"), "cone_class_ids")
     m = lens.table(spark, sf, "lineitem").selectExpr("l_partkey AS class_id", "l_quantity AS cpu_s")

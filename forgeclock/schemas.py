@@ -111,24 +111,3 @@ CAUTION = {
 
 # Tables that an empty run leaves as they were.
 OPTIONAL_TABLES = ("phases", "timeline", "unit_flags")
-
-
-def empty_columns(struct: T.StructType) -> list[str]:
-    return [f.name for f in struct.fields]
-
-
-# Flattened event log: the input of redaction and of the unit flattening.
-EVENTS = T.StructType([
-    T.StructField("object_key", _S),
-    T.StructField("run_id", _S),
-    T.StructField("pos", _L),
-    T.StructField("reason", _S),
-    T.StructField("index", _L),
-    T.StructField("elapsed", _D),
-    T.StructField("section", _S),
-    T.StructField("package_id", _S),
-    T.StructField("target_name", _S),
-    T.StructField("mode", _S),
-    T.StructField("dependencies", T.ArrayType(_L)),
-    T.StructField("unblocked", T.ArrayType(_L)),
-])
