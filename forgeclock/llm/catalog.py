@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import linededup, simhash
+from forgeclock.llm import linededup, packing, sharding, simhash, templates
 from forgeclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = templates.leaks(docs, table(spark, sf_dir, "benchmark"), size=8, lexical=4, coverage=0.5)
+    counts = "matched", "n_windows", "changed_slots"
+    return found.select("doc_id", "item_id", *counts, "coverage", F.lit(True).alias("contaminated"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,3 +61,10 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM cut"""
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, threshold=2)
+
+
+@query
+def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("number").alias("row_number"))
