@@ -19,7 +19,7 @@ def changed(pairs):
 def test_leaks(spark):
     rows = [
         (1, FILL * 3 + ITEM + " " + FILL),
-        (2, FILL + changed([("Alice", "Marta"), ("12", "45"), ("7", "19"), ("Paris", "Lyon"), ("3 km", "5 miles")]) + FILL),
+        (2, FILL + changed([("Alice", "Marta"), ("12", "45"), ("7", "19"), ("Paris", "Lyon"), ("3 km", "5 miles")]) + " " + FILL),
         (3, FILL + changed([("Alice buys", "Marta buys"), ("12 red", "45 red"), ("12 apples away", "46 apples away"), ("Alice have", "Paris have")])),
         (4, FILL * 20),
         (5, None),
