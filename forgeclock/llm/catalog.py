@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import linededup, packing, sharding, simhash, templates
+from forgeclock.llm import linededup, packing, severity, sharding, simhash, templates
 from forgeclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,14 @@ ORACLES["op6_line_dedup"] = "WITH " + LINES_SQL.format(documents="documents") +
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM cut"""
 
 
+@query
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = severity.train(docs, table(spark, sf_dir, "labels"))
+    out = severity.scored(docs, model)
+    return out.select("row.doc_id", F.col("severity").alias("expected_severity"), "grade", "p_toxic", "toxic")
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, threshold=2)
