@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import linededup, packing, severity, sharding, simhash, templates
+from forgeclock.llm import fertility, linededup, packing, quality, severity, sharding, simhash, templates
 from forgeclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
 
 
+@query
+def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, threshold=0.3).select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.ruled(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
