@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import fertility, linededup, packing, quality, severity, sharding, simhash, templates
+from forgeclock.llm import fertility, linededup, packing, pii, quality, secrets, severity, sharding, simhash, templates
 from forgeclock.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
 
 
+@query
+def op3_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.findings(docs, secrets.train(docs))
+
+
 @query
 def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +84,14 @@ def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.col("severity").alias("expected_severity"), "grade", "p_toxic", "toxic")
 
 
+@query
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.found(docs, pii.train(docs))
+    joined = {"base_sha256": F.sha2(F.array_join("base", ","), 256), "spans": F.array_join("spans", ",")}
+    return out.select("row.doc_id", *(f"n_{k}" for k in pii.KINDS), *(c.alias(n) for n, c in joined.items()))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, threshold=2)
