@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
     of_all = bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", most, 13)
     web = materialise(of_all, "unlabelled")
     chosen = known.withColumn("known", F.lit(1)).unionByName(web.withColumn("known", F.lit(0)))
-    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "known").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "known").agg(F.min("text").alias("text"))
     found = rows.select("doc_id", "known", text_measures()("text").alias("m")).toPandas().sort_values(["known", "doc_id"], kind="stable")
     x = np.array(found["m"].tolist(), np.float64).reshape(-1, MEASURES)
     of = found["known"].to_numpy() == 1

@@ -129,7 +129,7 @@ def train(docs: DataFrame, most: int = 4000) -> Model:
 
     The dictionary comes from the same documents.  Without findings of both kinds the forest has no trees and rates 0.5.
     """
-    likely = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9]|[=:]"))
+    likely = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9]|[=:]"))
     ids = materialise(likely.select("doc_id").distinct(), "likely")
     sample = materialise(bounded_sample(ids, "doc_id", most, 19), "sample")  # bounded by ``most``
     rows = likely.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))

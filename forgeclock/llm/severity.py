@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     known = materialise(known, "known")
     chosen = [bounded_sample(known.where(F.col("toxic") == t), "doc_id", most, 7) for t in (0, 1)]
     sample = materialise(chosen[0].unionByName(chosen[1]), "sample")  # bounded by ``most``
-    rows = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     found = rows.select("doc_id", "toxic", text_features()("text").alias("seen")).toPandas()
     found = found.sort_values("doc_id", kind="stable")
     seen = [list(r) for r in found["seen"]]
