@@ -131,17 +131,23 @@ def _descend(positive: np.ndarray, other: np.ndarray, prior: float | None, steps
     return w
 
 
-def estimate_prior(positive: np.ndarray, other: np.ndarray) -> float:
-    """Smallest upper bound on the share of positives, over all thresholds on the two samples' scores."""
+def estimate_prior(positive: np.ndarray, other: np.ndarray, least: float = 0.3) -> float:
+    """Smallest ratio of unlabelled to positive mass above a threshold that keeps at least ``least`` of the positives.
+
+    Above a good threshold only positives are left, so the ratio is the prior; a standard error is taken off, since too high a prior
+    keeps the risk from pushing negatives down, while one slightly low costs little.
+    """
     at = np.unique(positive)
     qp = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
     qu = 1 - np.searchsorted(np.sort(other), at) / len(other)
-    slack = math.sqrt(math.log(40) / 2 / len(other)) + math.sqrt(math.log(40) / 2 / len(positive))
-    best = np.argmin((qu + slack) / qp)
-    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+    at_least = qp >= least
+    qp, qu = qp[at_least], qu[at_least]
+    ratio = qu / qp
+    error = ratio * np.sqrt((1 - qu) / np.maximum(qu * len(other), 1) + (1 - qp) / np.maximum(qp * len(positive), 1))
+    return float(np.clip((ratio - error).min(), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, other: np.ndarray, bins: int = 12, steps: int = 400) -> Model:
+def fit(positive: np.ndarray, other: np.ndarray, bins: int = 12, steps: int = 800) -> Model:
     """Borders at quantiles of the unlabelled sample; the prior comes from scores of the half that the first fit did not see."""
     if len(positive) < 10 or len(other) < 10:
         return Model([], [], 0.0, 0.5)
