@@ -70,11 +70,13 @@ def merged_config(layers: DataFrame) -> DataFrame:
     plain = key.isin("build.incremental", "build.target", "build.jobs")
     program = key.isin("build.rustc-wrapper", "build.rustc-workspace-wrapper") | key.rlike(r"^target\..*\.linker$")
     rustflags = (key == "build.rustflags") | key.rlike(r"^target\..*\.rustflags$")
-    bare = F.translate(F.trim(value, F.lit("[]")), ',"', "  ")
+    # A list keeps its elements as they are, commas inside included; plain text is split at spaces.
+    listed = F.array_join(F.try_variant_get(F.try_parse_json(value), "$", "array<string>"), "\x1f")
+    safe_flags = F.coalesce(flags.sanitised_flags(listed, encoded=True), flags.sanitised_flags(F.trim(value, F.lit('"'))))
     safe = (
         F.when(plain, F.trim(value, F.lit('"')))
         .when(program, flags.program_name(F.trim(value, F.lit('"'))))
-        .when(rustflags, F.to_json(flags.sanitised_flags(bare)))
+        .when(rustflags, F.to_json(safe_flags))
     )
     rank = F.when(F.col("layer") == "workspace", F.lit(1)).otherwise(F.lit(0))
     return (

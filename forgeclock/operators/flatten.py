@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock import schemas
@@ -72,22 +72,54 @@ def with_fault(parsed: DataFrame) -> DataFrame:
     return cut.select(*parsed.columns, fault.alias("fault"))
 
 
-def event_rows(docs: DataFrame) -> DataFrame:
-    """Typed event log: one row per event, ``pos`` keeps the order."""
+def shaped(docs: DataFrame, version_field: str = "payload_schema") -> DataFrame:
+    """Replace ``v`` by the parts the tables read: ``head`` scalars, typed ``events``, ``sampled`` and ``timings``.
+
+    Written like this, each table's scan reads its own part only.  A build split into documents carries its key as
+    ``build``: all its parts are one build, in whatever files they lie.  Documents shaped before pass through.
+    """
+    if "head" in docs.columns:
+        return docs
     v = F.col("v")
-    first = F.coalesce(coerce.integer(v, "$.first_pos"), F.lit(0).cast("bigint"))
-    exploded = docs.select(
-        "object_key",
-        coerce.text(v, "$.run_id").alias("run_id"),
-        first.alias("first"),
-        F.posexplode(F.try_variant_get(v, "$.events", f"array<{coerce.EVENT}>")).alias("i", "e"),
+    build = coerce.text(v, "$.build")
+    head = [coerce.text(v, "$.run_id").alias("run_id"), coerce.text(v, "$.client").alias("client")]
+    head += [coerce.integer(v, f"$.{version_field}").alias("schema")]
+    head += [coerce.text(v, f"$.env.{c}").alias(c) for c in ("timestamp", "rustc_version", "profile")]
+    head += [coerce.integer(v, "$.env.jobs").alias("jobs"), coerce.truth(v, "$.env.ci").alias("ci")]
+    head += [coerce.truth(v, "$.complete").alias("complete")]
+    head += [coerce.integer(v, f"$.counts.{c}").alias(c) for c in ("events", "units", "units_withheld", "sections")]
+    head += [coerce.text(v, f"$.machine.{c}").alias(c) for c in ("machine_id", "os", "arch", "cpu_model")]
+    head += [coerce.integer(v, f"$.machine.{c}").alias(c) for c in ("cpu_cores", "mem_gb")]
+    head += [coerce.number(v, f"$.load.{c}").alias(c) for c in ("loadavg_mean", "cpu_busy_mean")]
+    head += [coerce.integer(v, f"$.{c}").alias(c) for c in ("part", "parts", "first_pos")]
+    typed = F.transform(
+        F.try_variant_get(v, "$.events", f"array<{coerce.EVENT}>"), lambda e: F.struct(*coerce.event_columns(e))
     )
-    return exploded.select(
+    rest = [c for c in docs.columns if c not in ("v", "object_key", "part")]
+    return docs.select(
+        F.coalesce(build, F.col("object_key")).alias("object_key"),
+        *rest,
+        F.struct(*head).alias("head"),
+        typed.alias("events"),
+        F.try_variant_get(v, "$.phases", "variant").alias("sampled"),
+        F.try_variant_get(v, "$.timings", "variant").alias("timings"),
+    )
+
+
+def split_build() -> Column:
+    """Whether a shaped document holds only a part of its build."""
+    return F.col("head.part").isNotNull() & (F.coalesce("head.parts", F.lit(0)) != 1)
+
+
+def event_rows(docs: DataFrame) -> DataFrame:
+    """Typed event log: one row per event, ``pos`` keeps the order."""
+    exploded = shaped(docs).select(
         "object_key",
-        "run_id",
-        (F.col("first") + F.col("i")).alias("pos"),
-        *coerce.event_columns(F.col("e")),
+        F.col("head.run_id").alias("run_id"),
+        F.coalesce("head.first_pos", F.lit(0).cast("bigint")).alias("first"),
+        F.posexplode("events").alias("i", "e"),
     )
+    return exploded.select("object_key", "run_id", (F.col("first") + F.col("i")).alias("pos"), "e.*")
 
 
 def unit_rows(events: DataFrame, segment_events: int = SEGMENT_EVENTS) -> DataFrame:
@@ -179,40 +211,24 @@ def units_table(events: DataFrame, segment_events: int = SEGMENT_EVENTS) -> Data
 
 
 def sessions_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document; a document split into parts counts once."""
-    v = F.col("v")
-    # The payload version is the one top-level field whose name ends in `_schema`.
-    fields = F.try_variant_get(v, "$", "map<string,variant>")
-    version = F.try_element_at(
-        F.map_values(F.map_filter(fields, lambda k, _: F.endswith(k, F.lit("_schema")))), F.lit(1)
-    )
-    columns = [coerce.text(v, "$.run_id").alias("run_id"), F.col("object_key")]
-    columns += [coerce.text(v, "$.client").alias("client"), coerce.integer(version).alias("schema")]
-    columns += [coerce.text(v, f"$.env.{c}").alias(c) for c in ("timestamp", "rustc_version", "profile")]
-    columns += [coerce.integer(v, "$.env.jobs").alias("jobs"), coerce.truth(v, "$.env.ci").alias("ci")]
-    columns += [coerce.truth(v, "$.complete").alias("complete")]
-    columns += [
-        coerce.integer(v, f"$.counts.{c}").alias(c) for c in ("events", "units", "units_withheld", "sections")
-    ]
-    columns += [
-        coerce.text(v, f"$.machine.{c}").alias(c) for c in ("machine_id", "os", "arch", "cpu_model")
-    ]
-    columns += [coerce.integer(v, f"$.machine.{c}").alias(c) for c in ("cpu_cores", "mem_gb")]
-    columns += [coerce.number(v, f"$.load.{c}").alias(c) for c in ("loadavg_mean", "cpu_busy_mean")]
-    # Packed lakes carry the part number as a column; plain objects have no parts.
-    if "part" in docs.columns:
-        docs = docs.where(F.col("part") == 0)
-    return docs.select(*columns, *keep)
+    """One row per document; a build split into parts has one row, from its first part that exists."""
+    named = [F.col("head")[f.name].alias(f.name) for f in schemas.SESSIONS if f.name != "object_key"]
+    rows = shaped(docs).select("object_key", *named, *keep, F.when(split_build(), F.col("head.part")).alias("__part"))
+    rows = rows.select(*schemas.SESSIONS.names, *keep, "__part")
+    fields = [c for c in rows.columns if c not in ("object_key", "__part")]
+    parts = rows.where("__part IS NOT NULL").groupBy("object_key")
+    first = parts.agg(F.min_by(F.struct(*fields), "__part").alias("s")).select("object_key", "s.*")
+    return rows.where("__part IS NULL").drop("__part").unionByName(first)
 
 
 def _sampled_units(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    v = F.col("v")
-    return docs.select(
+    v = F.col("sampled")
+    return shaped(docs).select(
         *keep,
-        coerce.text(v, "$.run_id").alias("run_id"),
-        coerce.integer(v, "$.phases.rate_hz").alias("rate_hz"),
-        coerce.text(v, "$.phases.sampler").alias("sampler"),
-        F.explode(coerce.items(v, "$.phases.units")).alias("u"),
+        F.col("head.run_id").alias("run_id"),
+        coerce.integer(v, "$.rate_hz").alias("rate_hz"),
+        coerce.text(v, "$.sampler").alias("sampler"),
+        F.explode(coerce.items(v, "$.units")).alias("u"),
     ).select(
         "*", *[coerce.text(F.col("u"), f"$.{c}").alias(c) for c in ("crate", "package", "crate_type")]
     )
@@ -254,11 +270,11 @@ def unit_flags_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def timeline_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Concurrency points and CPU pairs as sparse rows of one table, in one scan."""
-    v = F.col("v")
+    v = F.col("timings")
     row = "array<struct<t:double,active:bigint,waiting:bigint,inactive:bigint,cpu_pct:double>>"
     nothing = F.array().cast(row)
     points = F.transform(
-        coerce.items(v, "$.timings.concurrency_data"),
+        coerce.items(v, "$.concurrency_data"),
         lambda c: F.struct(
             coerce.number(c, "$.t").alias("t"),
             *[coerce.integer(c, f"$.{n}").alias(n) for n in ("active", "waiting", "inactive")],
@@ -266,22 +282,22 @@ def timeline_table(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         ),
     )
     pairs = F.transform(
-        coerce.items(v, "$.timings.cpu_usage"),
+        coerce.items(v, "$.cpu_usage"),
         lambda p: F.struct(
             coerce.number(p, "$[0]").alias("t"),
             *[F.lit(None).cast("bigint").alias(n) for n in ("active", "waiting", "inactive")],
             coerce.number(p, "$[1]").alias("cpu_pct"),
         ),
     )
-    return docs.select(
-        coerce.text(v, "$.run_id").alias("run_id"),
+    return shaped(docs).select(
+        F.col("head.run_id").alias("run_id"),
         F.inline(F.concat(F.coalesce(points, nothing), F.coalesce(pairs, nothing))),
         *keep,
     ).select(*schemas.TIMELINE.names, *keep)
 
 
 def five_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """All published tables of well-formed documents (object_key, v).
+    """All published tables of well-formed documents.
 
     Typed events are written once, because the unit flattening reads them twice.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def reconciled(units: DataFrame, phases: DataFrame) -> DataFrame:
 def conservation(units: DataFrame, phases: DataFrame, tolerance: float) -> DataFrame:
     """Whether serial sampled seconds stay within ``tolerance`` of a unit's wall."""
     both = reconciled(units, phases)
-    sampled = F.coalesce("serial", F.lit(0)) / F.col("rate_hz")
+    sampled = F.try_divide(F.coalesce("serial", F.lit(0)), F.col("rate_hz"))
     off = F.abs(sampled - F.col("duration"))
     return both.select(
         "run_id", "package", "crate", "duration", sampled.alias("sampled_s"),
@@ -73,7 +75,7 @@ def conservation(units: DataFrame, phases: DataFrame, tolerance: float) -> DataF
 def codegen_parallelism(units: DataFrame, phases: DataFrame) -> DataFrame:
     """CPU seconds on codegen threads per wall second of codegen."""
     both = reconciled(units, phases)
-    cpu = F.col("parallel_codegen") / F.col("rate_hz")
+    cpu = F.try_divide(F.col("parallel_codegen"), F.col("rate_hz"))
     return both.where("codegen > 0").select(
         "run_id", "package", "crate", (cpu / F.col("codegen")).alias("parallelism")
     )
@@ -90,7 +92,7 @@ def blocked_share(phases: DataFrame) -> DataFrame:
     """Blocked samples over all samples per unit."""
     unit = ["run_id", "package", "crate", "crate_type"]
     blocked = F.sum(F.when(F.col("phase") == "blocked", F.col("samples")).otherwise(F.lit(0)))
-    return phases.groupBy(*unit).agg((blocked / F.sum("samples")).alias("blocked_share"))
+    return phases.groupBy(*unit).agg(F.try_divide(blocked, F.sum("samples")).alias("blocked_share"))
 
 
 def sample_seconds(phases: DataFrame) -> DataFrame:
@@ -228,47 +230,71 @@ def robust_stats(observations: DataFrame, keys: list[str], cost: str, machine: s
     return spread.join(mad, keys).join(hosts, keys)
 
 
-def crossed_effects(
-    observations: DataFrame, anchor, rounds: int = 3, class_col: str = "class_id", machine_col: str = "machine_id"
-) -> tuple[DataFrame, DataFrame, float]:
-    """Two-way fit of log cost = class + machine + slope * load.
+class CrossedFit(NamedTuple):
+    classes: DataFrame
+    machines: DataFrame
+    slope: float
+    rounds: int
+    left_out: int
 
-    ``observations`` holds class, machine, ``y`` and ``load``.  They are reduced to one
-    cell per class and machine first; each round re-estimates classes, machines and
-    the slope by sums over cells.  ``anchor`` is the machine held at 0.
+
+def crossed_effects(
+    observations: DataFrame,
+    anchor,
+    class_col: str = "class_id",
+    machine_col: str = "machine_id",
+    tolerance: float = 1e-9,
+    max_rounds: int = 200,
+) -> CrossedFit:
+    """Least-squares fit of log cost = class + machine + slope * load; the machine ``anchor`` is held at 0.
+
+    Rows without cost or load tell nothing about the slope and are left out, counted in ``left_out``.  The rest is reduced to one cell per class and
+    machine.  Cost and load are freed from class and machine means in turn until the machine means move by
+    less than ``tolerance``; the slope is then that of what is left of cost on what is left of load.
+    A fit that doesn't settle in ``max_rounds`` fails.
     """
     c, m = class_col, machine_col
+    known = F.col("y").isNotNull() & F.col("load").isNotNull()
     cells = materialise(
-        observations.groupBy(c, m).agg(
-            F.count(F.lit(1)).alias("n"),
+        observations.where(known).groupBy(c, m).agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
             F.sum("y").alias("sy"),
-            F.sum("load").alias("sl"),
-            F.sum(F.col("y") * F.col("load")).alias("sly"),
-            F.sum(F.col("load") * F.col("load")).alias("sll"),
+            F.sum("load").cast("double").alias("sl"),
+            F.sum(F.col("y") * F.col("load")).cast("double").alias("sly"),
+            F.sum(F.col("load") * F.col("load")).cast("double").alias("sll"),
         ),
         "cells",
     )
-    slope = 0.0
-    hosts = materialise(cells.select(m).distinct().withColumn("b", F.lit(0.0)), "hosts")
-    classes = None
-    for _ in range(rounds):
-        rest = F.col("sy") - F.col("b") * F.col("n") - F.lit(slope) * F.col("sl")
-        classes = materialise(
-            cells.join(hosts, m).groupBy(c).agg((F.sum(rest) / F.sum("n")).alias("a")), "classes"
-        )
-        rest = F.col("sy") - F.col("a") * F.col("n") - F.lit(slope) * F.col("sl")
-        hosts = materialise(
-            cells.join(classes, c).groupBy(m).agg((F.sum(rest) / F.sum("n")).alias("b")), "hosts"
-        )
-        rest = F.col("sly") - (F.col("a") + F.col("b")) * F.col("sl")
-        slope = (
-            cells.join(classes, c).join(hosts, m).agg(F.coalesce(F.try_divide(F.sum(rest), F.sum("sll")), F.lit(0.0))).first()[0]
-        )
+    left_out = observations.where(~known).count()
+
+    def means(key: str, y: str, load: str, other: DataFrame, on: str, names: tuple[str, str]) -> DataFrame:
+        rest = [F.col("sy") - F.col(y) * F.col("n"), F.col("sl") - F.col(load) * F.col("n")]
+        grouped = cells.join(other, on).groupBy(key)
+        return grouped.agg(*[(F.sum(r) / F.sum("n")).alias(name) for r, name in zip(rest, names)])
+
+    hosts = materialise(cells.select(m).distinct().withColumns({"by": F.lit(0.0), "bl": F.lit(0.0)}), "hosts")
+    for rounds in range(1, max_rounds + 1):
+        classes = materialise(means(c, "by", "bl", hosts, m, ("ay", "al")), "classes")
+        new = materialise(means(m, "ay", "al", classes, c, ("by", "bl")), "hosts")
+        before = hosts.select(m, F.col("by").alias("py"), F.col("bl").alias("pl"))
+        moved = new.join(before, m).agg(F.max(F.greatest(F.abs(F.col("by") - F.col("py")), F.abs(F.col("bl") - F.col("pl"))))).first()[0]
+        hosts = new
+        if moved is None or moved < tolerance:
+            break
+    else:
+        raise RuntimeError(f"no fit after {max_rounds} rounds: machine means still move by {moved}")
+    fitted = F.col("al") + F.col("bl")
+    both = F.sum(F.col("sly") - fitted * F.col("sy")), F.sum(F.col("sll") - fitted * F.col("sl"))
+    slope = cells.join(classes, c).join(hosts, m).agg(F.coalesce(F.try_divide(*both), F.lit(0.0))).first()[0]
+    classes = classes.select(c, (F.col("ay") - F.lit(slope) * F.col("al")).alias("a"))
+    hosts = hosts.select(m, (F.col("by") - F.lit(slope) * F.col("bl")).alias("b"))
     zero = hosts.where(F.col(m) == anchor).agg(F.max("b")).scalar()
-    return (
+    return CrossedFit(
         classes.select(c, (F.col("a") + zero).alias("intrinsic")),
         hosts.select(m, (F.col("b") - zero).alias("speed")),
         slope,
+        rounds,
+        left_out,
     )
 
 
@@ -295,7 +321,7 @@ def version_steps(observations: DataFrame) -> DataFrame:
         "version",
         "median",
         F.lag("version").over(order).alias("previous"),
-        (F.col("median") / F.lag("median").over(order)).alias("ratio"),
+        F.try_divide(F.col("median"), F.lag("median").over(order)).alias("ratio"),
     )
 
 
@@ -312,14 +338,14 @@ def candle_calibration(readings: DataFrame, stale_before: str) -> DataFrame:
     return newest.select(
         "machine_id",
         "observed_at",
-        (fleet / F.col("cost_us")).alias("speed"),
+        F.try_divide(fleet, F.col("cost_us")).alias("speed"),
         F.when(F.col("observed_at") >= stale_before, F.lit(1.0)).otherwise(F.lit(0.5)).alias("weight"),
     )
 
 
 def contention_weight(load: Column, cores: Column) -> Column:
     """1 on an idle machine, falling with load per core; unknown load stays unknown."""
-    return F.lit(1.0) / (F.lit(1.0) + load / cores)
+    return F.try_divide(F.lit(1.0), F.lit(1.0) + F.try_divide(load, cores))
 
 
 def noise_floor(observations: DataFrame, keys: list[str], y: str) -> DataFrame:
@@ -425,11 +451,18 @@ def settings_columns(unit_flags: DataFrame, wanted: tuple[str, ...] = CENSUS_FLA
     )
 
 
+def ci_and_local(sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """Builds per key in CI, on local machines, and unknown."""
+    return sessions.groupBy(*keys).agg(
+        F.count_if("ci").alias("ci"), F.count_if(~F.col("ci")).alias("local"), F.count_if(F.col("ci").isNull()).alias("unknown")
+    )
+
+
 def jobs_per_core(sessions: DataFrame) -> DataFrame:
     """Quartiles of jobs per core (in thousandths) and mean load, CI and local apart."""
-    s = sessions.withColumn("permille", F.floor(F.col("jobs") * 1000 / F.col("cpu_cores")).cast("bigint"))
+    s = sessions.withColumn("permille", F.floor(F.try_divide(F.col("jobs") * 1000, F.col("cpu_cores"))).cast("bigint"))
     spread = exact_quantiles(s, ["ci"], "permille", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    load = s.groupBy(F.col("ci").alias("__ci")).agg(F.avg(F.col("loadavg_mean") / F.col("cpu_cores")).alias("load_per_core"))
+    load = s.groupBy(F.col("ci").alias("__ci")).agg(F.avg(F.try_divide(F.col("loadavg_mean"), F.col("cpu_cores"))).alias("load_per_core"))
     return spread.join(load, spread.ci.eqNullSafe(load["__ci"])).drop("__ci")
 
 

@@ -456,7 +456,7 @@ def g1(spark, sf):
         "concat('o', o_orderkey) AS run_id",
         "concat('t', o_custkey) AS target_dir",
         """IF(o_orderkey % 11 = 0, date_format(o_orderdate, 'yyyy-MM-dd'),
-             concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:0', o_orderkey % 3, ':06.131984Z')) AS started""",
+             concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:0', o_orderkey % 3, ':41.070253Z')) AS started""",
     )
     made = o.selectExpr(
         "concat('t', o_custkey) AS target_dir",

@@ -180,6 +180,7 @@ _SESSIONS_SQL = """sessions AS (
 # --------------------------------------------------------------------------- phases
 # One lineitem = one phase count of the unit (build, part).
 
+# The phase names of the published tables.
 _PHASE_LIST = (
     "'macro_expand', 'resolve', 'type_check', 'borrowck', 'coherence', 'monomorphize', "
     "'metadata_encode', 'codegen', 'unattributed', 'blocked'"
@@ -324,6 +325,7 @@ _MEASURE_SQL = """meas AS (
 # --------------------------------------------------------------------------- profiles
 # Orders form call trees (parent = half), lineitems are samples, customers are symbols.
 
+# Symbol names with known phases, and some without.
 _SYMBOL_LIST = (
     "'rustc_expand::mbe::expand', 'rustc_resolve::late', 'rustc_hir_analysis::coherence::orphan', "
     "'rustc_hir_typeck::check', 'rustc_borrowck::mir_borrowck', 'rustc_mir_transform::run_passes', "
@@ -367,11 +369,11 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.distinct().selectExpr(
         "concat('p', p) AS profile_id",
         "t AS thread_pos",
-        """CASE WHEN p % 5 = 4 AND t = 3 THEN 'rustc - --crate-name ___ --print=file-names --crate-type bin'
-             WHEN p % 5 = 3 AND t >= 2 THEN concat('/home/u/target/debug/build/crate-', p, '/build-script-build --x=', p)
-             WHEN t < 2 THEN concat('rustc --crate-name crate_', p, ' ''--edition=2021'' /home/u/.cargo/registry/src/idx/crate-',
+        """CASE WHEN p % 5 = 4 AND t = 3 THEN 'rustc --print target-libdir --crate-name probe -'
+             WHEN p % 5 = 3 AND t >= 2 THEN concat('/work/out/release/build/crate-', p, '/build-script-build --jobs=', p)
+             WHEN t < 2 THEN concat('rustc --crate-name crate_', p, ' ''--edition=2021'' /work/.cargo/registry/src/idx/crate-',
                p, '-1.0.', p, '/src/lib.rs --crate-type lib -C opt-level=', p % 4, ' -C ''metadata=h', p,
-               ''' --cfg ''feature="std"'' --cfg ''feature="alloc"'' -C incremental=/home/u/x')
+               ''' --cfg ''feature="net"'' --cfg ''feature="async"'' -C incremental=/work/inc')
              ELSE concat('rustc --crate-name build_script_build src/build.rs --crate-type bin -Cdebuginfo=2 -C metadata=b', p) END AS process_name""",
         "CASE t WHEN 0 THEN 'rustc' WHEN 1 THEN 'opt cgu.00' WHEN 2 THEN 'coordinator' ELSE 'main' END AS name",
         "CASE WHEN t <> 1 THEN CAST(1000 + t AS DOUBLE) END AS startup_ms",

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +37,33 @@ def _own_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/forgeclock/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared root that no other run uses."""
-    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside are deleted at the end; results must be stored before."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -57,5 +82,4 @@ def together(work: Callable[[str], object], names: list[str]) -> dict:
 
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; call it when results are stored."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _own_root(spark))

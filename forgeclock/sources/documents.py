@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ from forgeclock.sources.logs import run_headers
 PART_EVENTS = 50_000
 
 
+def _quoted(value: Column) -> Column:
+    """A text as a JSON string; null stays null."""
+    listed = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), listed.substr(F.lit(2), F.length(listed) - 2))
+
+
 def build_documents(
     events: DataFrame,
     headers: DataFrame,
@@ -25,7 +33,8 @@ def build_documents(
 
     ``events`` is (key, pos, event JSON text, reason); ``headers`` has one row per key:
     run_id, env, machine, load, phases, timings, ... as JSON text or null, and
-    ``units_withheld``.  A part spans ``part_events`` values of ``pos``.
+    ``units_withheld``.  A part spans ``part_events`` values of ``pos``; all parts carry the key as ``build``, so
+    readers put them together from any number of files.
     """
     part = F.floor(F.col("pos") / part_events).cast("bigint")
     pieces = (
@@ -38,6 +47,7 @@ def build_documents(
         )
     )
     totals = events.groupBy(key).agg(
+        F.count_distinct(part).alias("n_parts"),
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("reason") == "unit-registered").alias("n_units"),
         F.count_if(F.col("reason") == "unit-section-finished").alias("n_sections"),
@@ -62,9 +72,11 @@ def build_documents(
         F.concat_ws(
             ",",
             field(version_field, F.lit("1")),
-            F.lit(f'"client":"{client}"'),
-            field("run_id", F.to_json(F.array("run_id")).substr(F.lit(2), F.length(F.to_json(F.array("run_id"))) - 2)),
+            field("client", F.lit(json.dumps(client))),
+            field("build", _quoted(F.col(key))),
+            field("run_id", _quoted(F.col("run_id"))),
             field("part", F.col("part").cast("string")),
+            field("parts", F.col("n_parts").cast("string")),
             field("first_pos", F.col("first_pos").cast("string")),
             *[field(c, F.col(c)) for c in side],
             field("complete", (F.col("n_finished") == F.col("n_units")).cast("string")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.operators.flatten import with_fault
+from forgeclock.operators.flatten import shaped, with_fault
 from forgeclock.shared import materialise
 
 DATE_COLUMNS = ("year", "month", "day")
@@ -50,11 +50,11 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def ingest(raw: DataFrame) -> DataFrame:
-    """Parse and check every document once: (..., v, fault), written to the shared folder.
+    """Parse, check and shape every document once: (..., head, events, sampled, timings, fault), in the shared folder.
 
-    All tables are derived from this copy, so the text is never parsed twice.
+    All tables are derived from this copy, so the text is never parsed twice and each table reads its own columns.
     """
-    return materialise(with_fault(parse(raw)), "documents")
+    return materialise(shaped(with_fault(parse(raw))), "documents")
 
 
 def well_formed(ingested: DataFrame) -> DataFrame:
@@ -95,18 +95,12 @@ def date_columns(ts):
     return [F.year(ts).alias("year"), F.month(ts).alias("month"), F.day(ts).alias("day")]
 
 
-def pending_days(packed: DataFrame, done: DataFrame) -> list[tuple[int, int, int]]:
-    """Days present in the lake and absent from the processed table.
-
-    The list is bounded by the calendar, so it may steer partition pruning.
-    """
-    keys = list(DATE_COLUMNS)
-    rows = packed.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti").collect()
-    return sorted((r.year, r.month, r.day) for r in rows)
+def pending_objects(packed: DataFrame, done: DataFrame) -> DataFrame:
+    """(object_key, date columns) of documents that ``done`` doesn't list yet, whatever their day."""
+    keys = packed.select("object_key", *DATE_COLUMNS).distinct()
+    return keys.join(done.select("object_key", *DATE_COLUMNS), ["object_key", *DATE_COLUMNS], "left_anti")
 
 
-def only_days(packed: DataFrame, days: list[tuple[int, int, int]]) -> DataFrame:
-    wanted = F.lit(False)
-    for year, month, day in days:
-        wanted = wanted | ((F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day))
-    return packed.where(wanted)
+def only_days(packed: DataFrame, days: DataFrame) -> DataFrame:
+    """Documents of the given days; the join prunes partitions at run time."""
+    return packed.join(days.select(*DATE_COLUMNS).distinct(), list(DATE_COLUMNS), "left_semi")

@@ -11,14 +11,14 @@ from forgeclock.shared import materialise
 UNKNOWN_RUN = "?"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log, pos, line) of every log below ``path``; ``pos`` follows the file order.
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(log, pos, line) of every log below ``path``, other files left aside; ``pos`` follows the file order.
 
     Lines are read split by split, so one very large log spreads over tasks.  ``pos``
     is the split's byte offset plus the line's number inside it; a line takes at least
     one byte, so positions never overlap.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     lines = materialise(
         raw.select(
             F.col("_metadata.file_path").alias("log"),

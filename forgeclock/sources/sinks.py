@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
-from forgeclock.shared import together
+from forgeclock.shared import materialise, scratch, together
 from forgeclock.sources import lake
 
 
@@ -60,9 +63,10 @@ def manifest(version: int = schemas.SCHEMA_VERSION) -> dict:
     }
 
 
-def write_manifest(spark: SparkSession, folder: str) -> None:
-    """The manifest as one small JSON text beside the tables."""
-    text = json.dumps(manifest())
+def write_manifest(spark: SparkSession, folder: str, source: str | None = None) -> None:
+    """The manifest as one small JSON text beside the tables, with the time it was made and where the documents lie."""
+    made = datetime.now(timezone.utc).isoformat(timespec="seconds")
+    text = json.dumps({"generated": made, "source": source, **manifest()})
     spark.createDataFrame([Row(value=text)]).coalesce(1).write.mode("overwrite").text(
         f"{folder}/schema/v{schemas.SCHEMA_VERSION}"
     )
@@ -90,53 +94,61 @@ def manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def compact(raw: DataFrame, folder: str, day: str | None = None) -> DataFrame:
+def compact(raw: DataFrame, folder: str, day: str | None = None, source: str | None = None) -> DataFrame:
     """Rebuild the five tables from raw documents (object_key, body); one row of statistics.
 
     Parsing happens once: the well-formed documents are written to the shared folder
-    and feed all five tables.
+    and feed all five tables.  With ``source``, the folder of the objects, every object there counts:
+    those that could not be decoded are failures too, and ``stored_bytes`` is their size as stored.
     """
-    spark = raw.sparkSession
-    ingested = lake.ingest(raw.withColumn("bytes", F.octet_length("body")))
-    good = lake.well_formed(ingested)
-    counts = write_tables(flatten.five_tables(good), folder, day)
-    write_manifest(spark, folder)
-    read = ingested.agg(
-        F.count(F.lit(1)).alias("objects"),
-        F.count_if(F.col("fault").isNotNull()).alias("failed"),
-        F.sum("bytes").alias("bytes_in"),
-    )
-    return read.select(
-        F.lit(counts["sessions"]).cast("bigint").alias("sessions"),
-        F.lit(counts["units"]).cast("bigint").alias("units"),
-        "objects",
-        "failed",
-        "bytes_in",
-        F.lit(counts["phases"]).cast("bigint").alias("phase_rows"),
-        F.lit(counts["timeline"]).cast("bigint").alias("timeline_rows"),
-        F.lit(counts["unit_flags"]).cast("bigint").alias("flag_rows"),
-    )
+    spark, begun = raw.sparkSession, time.monotonic()
+    with scratch(spark):
+        ingested = lake.ingest(raw.withColumn("bytes", F.octet_length("body")))
+        counts = write_tables(flatten.five_tables(lake.well_formed(ingested)), folder, day)
+        write_manifest(spark, folder, source)
+        read = ingested.agg(
+            F.count(F.lit(1)), F.count_if(F.col("fault").isNotNull()), F.coalesce(F.sum("bytes"), F.lit(0))
+        ).first()
+    size = F.coalesce(F.sum("length"), F.lit(0))
+    listed, stored = lake.listing(spark, source).agg(F.count(F.lit(1)), size).first() if source else (read[0], None)
+    (written,) = lake.listing(spark, folder).agg(size).first()
+    row = {
+        "sessions": counts["sessions"],
+        "units": counts["units"],
+        "objects": listed,
+        "failed": listed - read[0] + read[1],
+        "bytes_in": read[2],
+        "stored_bytes": stored,
+        "bytes_out": written,
+        "phase_rows": counts["phases"],
+        "timeline_rows": counts["timeline"],
+        "flag_rows": counts["unit_flags"],
+        "millis": int((time.monotonic() - begun) * 1000),
+    }
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} BIGINT" for k in row))
 
 
 def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int]]:
-    """Flatten only days that the folder does not hold yet, each into its own partition.
+    """Flatten every day that has documents not published yet, each into its own partition.
 
-    The sessions partitions are written last and mark a day as done, so a failed run
-    is simply repeated.
+    ``objects`` lists the documents done, by key, so one that arrives late for a published day brings that day up
+    again.  It is written last: a run that fails is simply repeated.  The days touched are returned; the calendar
+    bounds them.
     """
     spark = packed.sparkSession
     keys = list(lake.DATE_COLUMNS)
-    day_type = ", ".join(f"{k} INT" for k in keys)
-    path = f"{folder}/sessions"
+    path = f"{folder}/objects"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    done = spark.read.parquet(path).select(*keys) if exists else spark.createDataFrame([], day_type)
-    days = lake.pending_days(packed, done)
-    if not days:
-        return days
+    fields = "object_key STRING, " + ", ".join(f"{k} INT" for k in keys)
+    done = spark.read.schema(fields).parquet(path) if exists else spark.createDataFrame([], fields)
+    new = materialise(lake.pending_objects(packed, done), "pending")
+    days = materialise(new.select(*keys).distinct(), "days")
+    if days.isEmpty():
+        return []
     good = lake.well_formed(lake.ingest(lake.only_days(packed, days)))
     dated = good.select("object_key", *keys).distinct()
-    units = flatten.unit_rows(flatten.event_rows(good)).join(dated, "object_key")
+    units = flatten.unit_rows(materialise(flatten.event_rows(good), "events")).join(dated, "object_key")
     tables = {
         "units": units.select(*schemas.UNITS.names, *keys),
         "phases": flatten.phases_table(good, keys),
@@ -145,7 +157,7 @@ def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int
         "sessions": flatten.sessions_table(good, keys),
     }
 
-    def append(name: str) -> None:
+    def replace(name: str) -> None:
         (
             tables[name]
             .hint("rebalance", *keys)
@@ -155,6 +167,6 @@ def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int
             .parquet(f"{folder}/{name}")
         )
 
-    together(append, [n for n in tables if n != "sessions"])
-    append("sessions")
-    return days
+    together(replace, list(tables))
+    new.write.mode("append").parquet(path)
+    return sorted(tuple(r) for r in days.collect())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from forgeclock import schemas
 from forgeclock.operators import flatten
 from forgeclock.operators.ordered import exact_quantiles
-from forgeclock.shared import together
+from forgeclock.shared import scratch, together
 from forgeclock.sources import lake
 
 
@@ -56,25 +56,59 @@ def drain_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], che
 def streaming_compaction(packed: DataFrame, out: str, checkpoint: str) -> None:
     """Flatten arriving documents (object_key, body) into the five tables.
 
-    Each document is self-contained, so no state crosses batches; all parts of an
-    oversized document must arrive in one file.  A batch writes its own partition
-    with overwrite, so a batch that is run again after a failure replaces itself.
+    A document that holds its whole build is flattened at once.  Parts of split builds are kept shaped and put together when
+    the tables are read, in whatever batches they come.  Malformed documents go to ``quarantine``, and every batch
+    leaves a row of ``statistics``.  A batch writes its own partition with overwrite, so a batch that is
+    run again after a failure replaces itself.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        good = lake.well_formed(lake.ingest(batch))
-        tables = flatten.five_tables(good)
-
-        def write(name: str) -> None:
-            tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-
-        together(write, list(tables))
+        with scratch(batch.sparkSession):
+            ingested = lake.ingest(batch)
+            good = lake.well_formed(ingested)
+            tables = flatten.five_tables(good.where(~flatten.split_build()))
+            tables["parts"] = good.where(flatten.split_build())
+            tables["quarantine"] = lake.quarantine(ingested)
+            tables["statistics"] = ingested.agg(
+                F.count(F.lit(1)).alias("objects"),
+                F.count_if(F.col("fault").isNotNull()).alias("failed"),
+                F.count_if(F.col("fault").isNull() & flatten.split_build()).alias("parts"),
+            )
+
+            def write(name: str) -> None:
+                tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+            together(write, list(tables))
 
     drain_batches(packed, work, checkpoint)
 
 
 def compacted(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.schema(schemas.TABLES[name]).option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
+    """One of the five tables over all batches, builds that came in parts included."""
+    whole = _batches(spark, out, name, schemas.TABLES[name]).select(*schemas.TABLES[name].names)
+    parts = _batches(spark, out, "parts").drop("batch")
+    if name == "units":
+        return whole.unionByName(flatten.units_table(flatten.event_rows(parts)))
+    table = {
+        "sessions": flatten.sessions_table, "phases": flatten.phases_table,
+        "timeline": flatten.timeline_table, "unit_flags": flatten.unit_flags_table,
+    }[name]
+    return whole.unionByName(table(parts))
+
+
+def quarantined(spark: SparkSession, out: str) -> DataFrame:
+    """Malformed documents of all batches with their faults."""
+    return _batches(spark, out, "quarantine")
+
+
+def batch_statistics(spark: SparkSession, out: str) -> DataFrame:
+    """Objects, failures and parts of every batch."""
+    return _batches(spark, out, "statistics")
+
+
+def _batches(spark: SparkSession, out: str, name: str, schema=None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch=*")
 
 
 def quiescent_runs(events: DataFrame, gap: str, watermark: str) -> DataFrame:
@@ -125,7 +159,7 @@ def tripwire(
         median = exact_quantiles(affected, keys, "cost_us", {"median": 0.5})
         alerts = (
             median.join(baseline, "class_id")
-            .withColumn("ratio", F.col("median") / F.col("base_median"))
+            .withColumn("ratio", F.try_divide("median", "base_median"))
             .where(F.col("ratio") > limit)
         )
         alerts.select(*keys, "n", "median", "ratio").write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")

@@ -137,7 +137,7 @@ def test_two_blobs_of_one_run_stay_apart(spark):
 
 def test_sessions_and_null_is_not_zero(spark):
     doc = {
-        "any_schema": "1", "run_id": "r", "client": "c 1", "complete": "false", "env": {"jobs": "8", "ci": 0},
+        "payload_schema": "1", "run_id": "r", "client": "c 1", "complete": "false", "env": {"jobs": "8", "ci": 0},
         "machine": {"machine_id": "m", "mem_gb": 15.9}, "load": {"loadavg_mean": None, "cpu_busy_mean": "Infinity"},
     }
     docs = documents(spark, [("k", json.dumps(doc))])

@@ -118,3 +118,64 @@ def test_log_selection(spark):
     assert len(names(logs.select_logs(df, since=2))) == 2
     assert len(names(logs.select_logs(df, everything=True))) == 3
     assert sorted(names(logs.select_logs(df, everything=True, fragment="-a"))) == ["20260101-a.jsonl", "20260103-a.jsonl"]
+
+
+def test_a_late_document_is_published(spark, tmp_path):
+    def arrive(run, day):
+        body = json.dumps({**GOOD, "run_id": run})
+        raw = spark.createDataFrame([(f"sessions/{run}", body, 2026, 1, day)], "object_key string, body string, year int, month int, day int")
+        lake.pack(raw, str(tmp_path / "packed"))
+        return sinks.compact_new_days(lake.read_packed(spark, str(tmp_path / "packed")), str(tmp_path / "out"))
+
+    assert [arrive("a", 1), arrive("c", 2), arrive("b", 1)] == [[(2026, 1, 1)], [(2026, 1, 2)], [(2026, 1, 1)]]
+    for name in ("sessions", "units"):
+        rows = spark.read.parquet(str(tmp_path / "out" / name)).collect()
+        assert sorted((r.run_id, r.day) for r in rows) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def part_bodies(parts):
+    events = [
+        {"reason": "unit-registered", "index": 1, "package_id": "registry+x#a@1"}, {"reason": "unit-started", "index": 1, "elapsed": 1},
+        {"reason": "unit-finished", "index": 1, "elapsed": 5},
+    ]
+    head = {"run_id": "r", "build": "log-1", "parts": len(parts)}
+    return [json.dumps({**head, "part": p, "first_pos": 10 * p, "events": [events[k]]}) for k, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("parts", [[0, 1, 2], [1, 4, 9]])
+def test_parts_in_objects_of_their_own_are_one_build(spark, tmp_path, parts):
+    from forgeclock.streaming import jobs
+
+    root = tmp_path / "objects"
+    root.mkdir()
+    for n, body in enumerate(part_bodies(parts)):
+        (root / f"{n}.json").write_text(body)
+    raw = lake.read_objects(spark, str(root))
+    good = lake.well_formed(lake.ingest(raw))
+    assert flatten.sessions_table(good).count() == 1
+    assert [u.duration for u in flatten.units_table(flatten.event_rows(good)).collect()] == [4.0]
+    for n, body in enumerate([*part_bodies(parts), "{"]):
+        rows = spark.createDataFrame([(f"k{n}", body)], "object_key string, body string")
+        rows.write.parquet(str(tmp_path / "arriving" / f"f{n}"))
+    stream = jobs.file_stream(spark, str(tmp_path / "arriving" / "*"), rows.schema, per_trigger=1)
+    jobs.streaming_compaction(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert [u.duration for u in jobs.compacted(spark, str(tmp_path / "out"), "units").collect()] == [4.0]
+    assert jobs.compacted(spark, str(tmp_path / "out"), "sessions").count() == 1
+    assert [(q.object_key, q.fault) for q in jobs.quarantined(spark, str(tmp_path / "out")).collect()] == [("k3", "not json")]
+    total = jobs.batch_statistics(spark, str(tmp_path / "out")).groupBy().sum("objects", "failed", "parts").first()
+    assert tuple(total) == (4, 1, 3)
+
+
+def test_compaction_counts_what_could_not_be_decoded(spark, tmp_path):
+    import zstandard
+
+    root = tmp_path / "objects"
+    root.mkdir()
+    (root / "a.json.zst").write_bytes(zstandard.compress(json.dumps(GOOD).encode()))
+    (root / "b.json.zst").write_bytes(b"not compressed")
+    (root / "c.json.zst").write_bytes(zstandard.compress(b"{"))
+    stats = sinks.compact(lake.read_objects(spark, str(root)), str(tmp_path / "out"), source=str(root)).first()
+    assert (stats.objects, stats.failed, stats.sessions) == (3, 2, 1)
+    assert stats.stored_bytes == sum(f.stat().st_size for f in root.iterdir()) and stats.bytes_out > 0
+    doc = json.loads(spark.read.text(str(tmp_path / "out" / "schema" / "v1")).first().value)
+    assert doc["source"] == str(root) and doc["generated"].startswith("20")

@@ -12,13 +12,30 @@ def test_crossed_effects_recover_a_planted_model(spark):
     a = {"x": 3.0, "y": 5.0, "z": 4.0}
     b = {"m0": 0.0, "m1": 0.7, "m2": -0.4}
     rows = [(c, m, a[c] + b[m] + 0.1 * ld, float(ld)) for c in a for m in b for ld in (0, 1, 4) if (c, m) != ("z", "m2")]
-    obs = spark.createDataFrame(rows, "class_id string, machine_id string, y double, load double")
-    classes, machines, slope = study.crossed_effects(obs, "m0", rounds=25)
-    assert slope == pytest.approx(0.1, abs=1e-3)
-    for r in classes.collect():
-        assert r.intrinsic == pytest.approx(a[r.class_id], abs=1e-2)
-    for r in machines.collect():
-        assert r.speed == pytest.approx(b[r.machine_id], abs=1e-2)
+    unknown = [(c, m, y + 3, None) for c, m, y, _ in rows] + [("x", "m0", None, 2.0)]
+    obs = spark.createDataFrame(rows + unknown, "class_id string, machine_id string, y double, load double")
+    fit = study.crossed_effects(obs, "m0")
+    assert fit.slope == pytest.approx(0.1, abs=1e-6) and fit.left_out == len(unknown) and fit.rounds > 3
+    for r in fit.classes.collect():
+        assert r.intrinsic == pytest.approx(a[r.class_id], abs=1e-6)
+    for r in fit.machines.collect():
+        assert r.speed == pytest.approx(b[r.machine_id], abs=1e-6)
+    with pytest.raises(RuntimeError, match="no fit"):
+        study.crossed_effects(obs, "m0", max_rounds=2)
+
+
+def test_a_zero_fails_no_job(spark):
+    phases = spark.createDataFrame([("r", "c", "p", "lib", "blocked", 0)], "run_id string, crate string, package string, crate_type string, phase string, samples bigint")
+    assert study.blocked_share(phases).first().blocked_share is None
+    sessions = spark.createDataFrame([(True, 4, 0, 1.0), (True, 4, 8, 2.0), (None, 4, 8, 2.0)], "ci boolean, jobs bigint, cpu_cores bigint, loadavg_mean double")
+    rows = {r.ci: r for r in study.jobs_per_core(sessions).collect()}
+    assert rows[True].median == 500.0 and rows[True].load_per_core == 0.25 and None in rows
+    assert sessions.select(study.contention_weight(F.col("loadavg_mean"), F.col("cpu_cores")).alias("w")).first().w is None
+    readings = spark.createDataFrame([("m", "2026-01-01", 0), ("n", "2025-01-01", 8)], "machine_id string, observed_at string, cost_us bigint")
+    got = {r.machine_id: (r.speed, r.weight) for r in study.candle_calibration(readings, "2025-06-01").collect()}
+    assert got == {"m": (None, 1.0), "n": (0.5, 0.5)}
+    sides = study.ci_and_local(sessions.withColumn("k", F.lit(1)), ["k"]).first()
+    assert (sides.ci, sides.local, sides.unknown) == (2, 0, 1)
 
 
 def test_key_reconciliation(spark):
