@@ -101,18 +101,25 @@ def value_band(value: Column) -> Column:
     )
 
 
+def _within_band(value: Column) -> Column:
+    """Monotone inside a band: the next ten bits, so a band is sorted in up to 1024 pieces."""
+    shift = F.greatest(F.length(F.bin(F.abs(value))) - 16, F.lit(0))
+    return F.signum(value).cast("bigint") * F.call_function("shiftright", F.abs(value), shift)
+
+
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles of a BIGINT column per key, plus the row count ``n``.
 
     Equal values are merged first, a banded histogram locates the wanted ranks, and
-    only the bands that hold a rank are sorted, so a hot key is never gathered whole.
+    only the bands that hold a rank are sorted, in pieces, so a hot key is never gathered whole.
+    ``weight`` says how many rows a row stands for.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
         .withColumn("__band", value_band(F.col("__x")))
     )
     by_key = Window.partitionBy(*keys)
@@ -136,14 +143,10 @@ def exact_quantiles(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__band").alias("__hb"), "__before", "n"
     )
     cond = _null_safe(counts, hit, [*keys, "__band"], [*[f"__k_{k}" for k in keys], "__hb"])
-    in_band = (
-        Window.partitionBy(*keys, "__band")
-        .orderBy("__x")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = counts.join(hit, cond).drop(*[f"__k_{k}" for k in keys], "__hb")
+    summed = running_sum(inside, [*keys, "__band"], "__x", "__n", "__end", _within_band(F.col("__x")))
     placed = (
-        counts.join(hit, cond)
-        .withColumn("__end", F.sum("__n").over(in_band) + F.col("__before"))
+        summed.withColumn("__end", F.col("__end") + F.col("__before"))
         .withColumn("__start", F.col("__end") - F.col("__n"))
         .withColumns(ranks)
     )

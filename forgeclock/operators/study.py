@@ -220,13 +220,18 @@ def cone_totals(cones: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 def robust_stats(observations: DataFrame, keys: list[str], cost: str, machine: str) -> DataFrame:
-    """Median, median absolute deviation, p10, p90, rows and machines per key; exact."""
-    spread = exact_quantiles(observations, keys, cost, {"median": 0.5, "p10": 0.1, "p90": 0.9})
-    twice = observations.join(spread.select(*keys, "median"), keys).withColumn(
+    """Median, median absolute deviation, p10, p90, rows and machines per key; exact.
+
+    Observations are read once and reduced to counts per key, cost and machine; everything else reads the counts.
+    """
+    counted = materialise(observations.groupBy(*keys, cost, machine).agg(F.count(F.lit(1)).alias("__w")), "counted")
+    spread = exact_quantiles(counted, keys, cost, {"median": 0.5, "p10": 0.1, "p90": 0.9}, weight="__w")
+    spread = materialise(spread, "spread")
+    twice = counted.join(spread.select(*keys, "median"), keys).withColumn(
         "__dev2", F.abs(F.col(cost) * 2 - F.round(F.col("median") * 2).cast("bigint"))
     )
-    mad = exact_quantiles(twice, keys, "__dev2", {"mad2": 0.5}).select(*keys, (F.col("mad2") / 2).alias("mad"))
-    hosts = observations.groupBy(*keys).agg(F.count_distinct(machine).alias("machines"))
+    mad = exact_quantiles(twice, keys, "__dev2", {"mad2": 0.5}, weight="__w").select(*keys, (F.col("mad2") / 2).alias("mad"))
+    hosts = counted.groupBy(*keys).agg(F.count_distinct(machine).alias("machines"))
     return spread.join(mad, keys).join(hosts, keys)
 
 

@@ -268,7 +268,8 @@ def d3(spark, sf):
     WHERE package = 'Brand#7'"""))
 def d10(spark, sf):
     units = lens.graph_units(spark, sf)
-    cone = graph.cones(lens.graph_edges(spark, sf))
+    named = units.where("package = 'Brand#7'").select(F.col("node").alias("src"))
+    cone = graph.cones(lens.graph_edges(spark, sf), sources=named)
     arrays = cone.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("cone_class_ids"))
     classes = arrays.join(units, arrays.src == units.node).select(F.col("package").alias("name"), "cone_class_ids")
     m = lens.table(spark, sf, "lineitem").selectExpr("l_partkey AS class_id", "l_quantity AS cpu_s")

@@ -64,11 +64,12 @@ def i2(spark, sf):
 
 @query("i3_single_delivery", "SELECT DISTINCT 'o' || l_orderkey AS run_id FROM lineitem")
 def i3(spark, sf):
-    sends = stream_of(spark, sf, "lineitem").select(
-        F.concat(F.lit("o"), "l_orderkey").alias("run_id"), F.col("l_shipdate").cast("timestamp").alias("ts")
-    )
+    """Two batches, each with lines of every order, so ids come again in the second."""
+    lines, arriving = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey) AS run_id"), fresh_folder(spark, "sends")
+    lines.repartition(2).write.parquet(arriving)
     out, checkpoint = folders(spark, "delivery")
-    return jobs.drain(jobs.single_delivery(sends, "5000 days"), out, checkpoint).select("run_id")
+    jobs.single_delivery(jobs.file_stream(spark, arriving, lines.schema, per_trigger=1), out, checkpoint)
+    return spark.read.parquet(out).select("run_id")
 
 
 @query("i4_load_windows", over("clicks", body="""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from forgeclock import schemas
 from forgeclock.operators import flatten
 from forgeclock.operators.ordered import exact_quantiles
-from forgeclock.shared import scratch, together
+from forgeclock.shared import materialise, scratch, together
 from forgeclock.sources import lake
 
 
@@ -121,9 +121,22 @@ def quiescent_runs(events: DataFrame, gap: str, watermark: str) -> DataFrame:
     )
 
 
-def single_delivery(sends: DataFrame, watermark: str) -> DataFrame:
-    """Each run id passes once while its state lives; the state outlasts restarts."""
-    return sends.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id"])
+def single_delivery(sends: DataFrame, out: str, checkpoint: str) -> None:
+    """Each run id (``run_id``) passes once for good, however late it is sent again.
+
+    ``out`` is the ledger: a batch anti-joins the batches before it and writes its new ids as its own partition, so a
+    batch that is run again replaces itself, and no state is kept between batches.
+    """
+    spark, schema = sends.sparkSession, sends.select("run_id").schema
+
+    def work(batch: DataFrame, number: int) -> None:
+        new = batch.select("run_id").distinct()
+        if number:
+            known = spark.read.schema(schema).parquet(*[f"{out}/batch={i}" for i in range(number)])
+            new = new.join(known, "run_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    drain_batches(sends, work, checkpoint)
 
 
 def load_windows(samples: DataFrame, width: str, watermark: str) -> DataFrame:
@@ -148,7 +161,7 @@ def tripwire(
     Every batch is stored, then the medians of the classes and toolchains it touched
     are taken over all stored observations; breaches go to the batch's alert partition.
     """
-    spark = baseline.sparkSession
+    spark, baseline = baseline.sparkSession, materialise(baseline, "baseline")
 
     def work(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/observations/batch={number}")
