@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock.llm import fertility, linededup, packing, pii, quality, secrets, severity, sharding, simhash, templates
-from forgeclock.llm.common import table
+from forgeclock.llm.common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    QUERIES[fn.__name__] = reachable(fn)
+    return QUERIES[fn.__name__]
 
 
 @query

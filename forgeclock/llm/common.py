@@ -6,6 +6,10 @@ caller can never clash with internal names.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reachable(work: Callable) -> Callable:
+    """Let Python workers import this package from where the driver has it; ``work`` takes the session first.
+
+    On a cluster without that folder the package is shipped by ``--py-files`` as usual, and this changes nothing.
+    """
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+        if root not in paths:
+            environment["PYTHONPATH"] = ":".join([root, *paths])
+        return work(spark, *args, **kwargs)
+
+    return run
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]
