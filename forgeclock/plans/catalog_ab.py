@@ -368,6 +368,37 @@ def a17_logs(spark, sf):
     )
 
 
+@query("a17_full_payload", over("events", body="""WITH marked AS (SELECT *, user_id % 13 = 0 AND pos % 5 = 0 OR user_id % 17 = 0 AND pos % 5 = 0 AS broken FROM ev),
+    good AS (SELECT run_id, any_value(user_id) AS u FROM marked GROUP BY 1 HAVING NOT bool_or(broken))
+    SELECT run_id AS log, 'm' || (u % 10) AS machine_id, CASE WHEN u % 4 <> 0 THEN 2 + u % 7 END AS cpu_cores,
+      CASE WHEN u % 3 <> 0 THEN (u % 8) / 4.0::DOUBLE END AS loadavg_mean, CASE WHEN u % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS points,
+      CASE WHEN u % 6 = 0 THEN NULL ELSE u % 11 END AS samples FROM good"""))
+def a17_payload(spark, sf):
+    """Machine, load, timings and phases go into the documents and come out of four tables; parts are small here."""
+    events = scanned(spark, sf)
+    logs_ = events.select("log").distinct().withColumn("u", F.regexp_extract(_log_name("log"), r"(\d+)", 1).cast("bigint"))
+
+    def field(text: str) -> DataFrame:
+        return logs_.select("log", F.expr(text).alias("value"))
+
+    payload = {
+        "machine": field("to_json(named_struct('machine_id', concat('m', u % 10), 'cpu_cores', IF(u % 4 <> 0, 2 + u % 7, NULL)))"),
+        "load": field("IF(u % 3 <> 0, to_json(named_struct('loadavg_mean', u % 8 / 4.0D)), NULL)"),
+        "timings": field("""IF(u % 5 <> 0, '{"concurrency_data":[{"t":1,"active":1}],"cpu_usage":[[2,50]]}', NULL)"""),
+        "phases": field("""IF(u % 6 <> 0, concat('{"rate_hz":64,"units":[{"crate":"c","serial":{"borrowck":', u % 11, '}}]}'), NULL)"""),
+    }
+    docs = documents.documents_from_logs(events, 'lens "1.0"', payload=payload, part_bytes=4096)
+    # An object of its own for each part, so that no reader can rely on a common key.
+    named = docs.withColumn("object_key", F.concat("log", F.lit("-"), "part")).drop("log", "part")
+    good = lake.well_formed(lake.ingest(named))
+    key = ["object_key"]
+    sessions = flatten.sessions_table(good).select("object_key", "machine_id", "cpu_cores", "loadavg_mean")
+    points = flatten.timeline_table(good, key).groupBy(*key).agg(F.count(F.lit(1)).alias("points"))
+    samples = flatten.phases_table(good, key).groupBy(*key).agg(F.sum("samples").alias("samples"))
+    joined = sessions.join(points, key, "left").join(samples, key, "left").fillna(0, ["points"])
+    return joined.withColumn("log", _log_name("object_key")).drop("object_key")
+
+
 @query("a18_incremental_compaction", over("events", body="""
     WITH reg AS (SELECT DISTINCT run_id, index FROM ev WHERE reason = 'unit-registered'),
     runs AS (SELECT run_id, min(ts)::DATE AS d FROM ev GROUP BY 1)

@@ -34,7 +34,7 @@ def build_documents(
     ``events`` is (key, pos, event JSON text, reason); ``headers`` has one row per key:
     run_id, env, machine, load, phases, timings, ... as JSON text or null, and
     ``units_withheld``.  A part spans ``part_events`` values of ``pos``; all parts carry the key as ``build``, so
-    readers put them together from any number of files.
+    readers put them together from any number of files, and only a build's first part carries the header fields.
     """
     part = F.floor(F.col("pos") / part_events).cast("bigint")
     pieces = (
@@ -48,6 +48,7 @@ def build_documents(
     )
     totals = events.groupBy(key).agg(
         F.count_distinct(part).alias("n_parts"),
+        F.min(part).alias("first_part"),
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("reason") == "unit-registered").alias("n_units"),
         F.count_if(F.col("reason") == "unit-section-finished").alias("n_sections"),
@@ -78,7 +79,7 @@ def build_documents(
             field("part", F.col("part").cast("string")),
             field("parts", F.col("n_parts").cast("string")),
             field("first_pos", F.col("first_pos").cast("string")),
-            *[field(c, F.col(c)) for c in side],
+            *[field(c, F.when(F.col("part") == F.col("first_part"), F.col(c))) for c in side],
             field("complete", (F.col("n_finished") == F.col("n_units")).cast("string")),
             field("counts", counts),
             F.concat(F.lit('"events":['), F.col("events_text"), F.lit("]")),
@@ -91,14 +92,25 @@ def build_documents(
 # Header fields that go into ``env``.
 ENV_FIELDS = ("host", "profile", "jobs", "num_cpus", "rustc_version", "rustc_version_verbose", "timestamp")
 
+# Payload fields that other operators supply as JSON text.
+PAYLOAD = ("repository", "machine", "load", "artifacts", "phases", "timings", "build_env")
+
 # Log bytes per document part; positions of log lines are byte based.
 PART_BYTES = 1 << 26
 
 
-def documents_from_logs(events: DataFrame, client: str, project_public: Column | None = None) -> DataFrame:
+def documents_from_logs(
+    events: DataFrame,
+    client: str,
+    project_public: Column | None = None,
+    payload: dict[str, DataFrame] | None = None,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """(log, part, body): redacted session documents of valid logs (log, pos, e).
 
-    ``project_public`` may refer to further columns of ``events``.
+    ``project_public`` may refer to further columns of ``events``.  ``payload`` gives, by field name, one JSON text per
+    log as (log, value): the machine, load summary, artifact bytes, sampled phases, report timings or build
+    environment that their operators made.  Every field of ``PAYLOAD`` is in each document, null where nothing is known.
     """
     e = F.col("e")
     started = F.when(coerce.text(e, "$.reason") == redact.BUILD_STARTED, F.col("pos"))
@@ -113,5 +125,10 @@ def documents_from_logs(events: DataFrame, client: str, project_public: Column |
     withheld = typed.groupBy("log").agg(F.count_distinct(hidden).alias("units_withheld"))
     runs = run_headers(events).select("log", "run_id")
     headers = runs.join(last, "log").join(withheld, "log")
+    for name in PAYLOAD:
+        if payload and name in payload:
+            headers = headers.join(payload[name].select("log", F.col("value").alias(name)), "log", "left")
+        else:
+            headers = headers.withColumn(name, F.lit(None).cast("string"))
     kept = redact.redact_log(events, project_public)
-    return build_documents(kept, headers, client, part_events=PART_BYTES, key="log")
+    return build_documents(kept, headers, client, part_events=part_bytes, key="log")
