@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     found = rows.select("doc_id", "toxic", text_features()("text").alias("seen")).toPandas()
     found = found.sort_values("doc_id", kind="stable")
-    seen = [list(r) for r in found["seen"]]
+    seen = [np.asarray(r, np.int64) for r in found["seen"]]
     return fit(seen, found["toxic"].to_numpy(np.int64) > 0)
 
 

@@ -80,6 +80,7 @@ def test_components_of_a_long_chain(spark):
     links = materialise(spark.createDataFrame(chain, "a long, b long"), "chain")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+    assert {r.node: r.root for r in components(links, chunk=20).collect()} == got
     none = materialise(spark.createDataFrame([], "a long, b long"), "none")
     assert components(none).count() == 0
 
