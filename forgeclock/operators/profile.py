@@ -274,6 +274,11 @@ def codegen_units(hits: DataFrame) -> DataFrame:
     return hits.where(named).groupBy(*UNIT, F.col("name").alias("codegen_unit")).agg(F.sum("samples").alias("samples"))
 
 
+def codegen_unit_counts(hits: DataFrame) -> DataFrame:
+    """How many codegen units each unit was split into, as far as their threads were sampled."""
+    return codegen_units(hits).groupBy(*UNIT).agg(F.count_distinct("codegen_unit").alias("codegen_units"))
+
+
 def trait_cost(hits: DataFrame) -> DataFrame:
     """Samples inside the trait solver and all samples, per unit and thread class."""
     return hits.groupBy(*UNIT, "thread").agg(

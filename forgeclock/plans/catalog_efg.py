@@ -231,6 +231,11 @@ def e15(spark, sf):
     return profile.codegen_units(hits(spark, sf)).drop("flags")
 
 
+@query("e15_codegen_unit_counts", _tree(f"SELECT {_U}, count(DISTINCT name) AS codegen_units FROM hits WHERE starts_with(name, 'opt cgu') GROUP BY ALL"))
+def e15_counts(spark, sf):
+    return profile.codegen_unit_counts(hits(spark, sf)).drop("flags")
+
+
 @query("e16_trait_cost", _tree(f"SELECT {_U}, thread, count(*) FILTER (WHERE traits) AS trait_samples, count(*) AS samples FROM hits GROUP BY ALL"))
 def e16(spark, sf):
     return profile.trait_cost(hits(spark, sf)).drop("flags")
