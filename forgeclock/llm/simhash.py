@@ -9,12 +9,15 @@ reported at the home of its midpoint only: once.
 
 Anchors with many fingerprints are cut into slices, and each pair of slices is compared in a task of its own, so no
 group grows without bound and none is cut short.
+
+The pipeline's near-dedup stage wants every pair above a Jaccard similarity, which no number of differing bits gives. It joins texts
+by their rarest shingles (prefix filter, no pair missed) and decides each pair by its shingles.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeclock.llm.common import as_bytes, signed, text_key, unsigned
+from forgeclock.llm.common import as_bytes, share_of_hash, signed, text_key, unsigned
 from forgeclock.llm.components import components
 from forgeclock.shared import materialise
 
@@ -245,64 +248,137 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 
 # ---------------------------------------------------------------- pipeline form
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Further 64 bits from 64 bits (fixed values: the constants of the public splitmix64 finaliser)."""
-    z = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
+#: Slack for products of a similarity and a count, which floats don't give exactly.
+EPS = 1e-9
+#: Shingles whose frequency is told apart, at most: fixed, as it only decides how many candidates there are.
+COMMON = 1 << 18
 
 
-def profile(words: int, width: int):
-    """Column function: text -> [fp, w1, .., w_width].
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
-    ``fp`` is the SimHash of single words weighted by 1 + ln(count), which few edits change little, so copies meet
-    within few bits; the ``width`` further longs are a long SimHash of distinct ``words``-word shingles, whose Hamming
-    distance estimates their cosine similarity.
-    """
+
+def shingles(words: int):
+    """Column function: text -> its distinct shingles."""
 
     @F.arrow_udf("array<bigint>")
-    def prints(texts: pa.Array) -> pa.Array:
-        out = []
+    def distinct(texts: pa.Array) -> pa.Array:
+        return pa.array([signed(shingle_set(t, words)) for t in as_bytes(texts)], pa.list_(pa.int64()))
+
+    return distinct
+
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count), sorted: at most ``COMMON`` of the shingles that a sixteenth of the texts has twice or more.
+
+    They only order the shingles: whatever is listed, no pair of near copies is missed.
+    """
+    share = max(1 / 16, 4000 / max(1, rows.count()))
+    sample = rows.where(share_of_hash(F.col("th"), 23) < share).select(F.explode(shingles(words)("text")).alias("s"))
+    counts = materialise(sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    sizes = sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True)
+    upto = itertools.accumulate(many for _, many in sizes)
+    least = min((n for (n, _), sum_ in zip(sizes, upto) if sum_ <= COMMON), default=1 << 62)
+    found = counts.where(F.col("n") >= least).toPandas()  # bounded by ``COMMON``
+    s, n = unsigned(found["s"].to_numpy(np.int64)), found["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def first_shingles(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """Column function: text -> key of its set of shingles, their number, and its rarest ones.
+
+    Two sets with this Jaccard similarity or more share one of the rarest ``n - ceil(similarity * n) + 1`` of each, in any
+    order that is the same for all sets.
+    """
+    known, count = common
+
+    @F.arrow_udf("struct<id: bigint, n: int, rare: array<bigint>>")
+    def first(texts: pa.Array) -> pa.Array:
+        ids, sizes, rare = [], [], []
         for text in as_bytes(texts):
-            counts: dict[bytes, int] = {}
-            for w in text.lower().split():
-                counts[w] = counts.get(w, 0) + 1
-            single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-            runs = np.unique(shingle_hashes(text, words))
-            weights = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-            out.append([bit_votes(single, weights), *(bit_votes(_mixed(runs, k + 1)) for k in range(width))])
-        return pa.array([signed(np.array(x, np.uint64)).tolist() for x in out], pa.list_(pa.int64()))
+            found = shingle_set(text, words)
+            ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            sizes.append(len(found))
+            if len(known) and len(found):
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                found = found[np.lexsort((found, np.where(known[at] == found, count[at], 0)))]
+            rare.append(signed(found[: len(found) - int(np.ceil(similarity * len(found) - EPS)) + 1]))
+        parts = [pa.array(signed(np.array(ids, np.uint64))), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(parts, names=["id", "n", "rare"])
+
+    return first
+
+
+def _possible(similarity: float):
+    """Sizes, and what can follow after a shingle at ``pos`` on either side, allow the similarity."""
+    n, m, after = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - EPS) & (after >= similarity / (1 + similarity) * (n + m) - EPS)
+
 
-    return prints
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    x, y = F.col("x.id"), F.col("y.id")
+    return met.where(_possible(similarity)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def distance_at(similarity: float, bits: int) -> int:
-    """Hamming distance of ``bits``-bit SimHashes of sets with this Jaccard similarity and equal sizes."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(bits * float(np.arccos(cosine)) / np.pi)
+def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is high enough; only sets in a pair are built."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialise(sets_of(ids), "sets")
+    left, right = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = both >= similarity * (F.size("sa") + F.size("sb") - both) - EPS
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def keep_one(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 4, width: int = 4
-) -> DataFrame:
+def similar_groups(marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root) of the sets in ``marks`` (id, n, rare) that links of at least this similarity join with others.
+
+    First all sets with a shingle in common are compared with one of them, so groups of near copies come together without all
+    their pairs; then, per shingle, every pair of sets that are still apart is.
+    """
+    spread = marks.select("id", "n", F.posexplode("rare").alias("pos", "s"))
+    shared = spread.groupBy("s").count().where("count > 1").select("s")
+    met = materialise(spread.join(shared, "s").distinct(), "met")
+    heads = met.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    members = materialise(met.join(heads.select("s", "least"), "s"), "members")
+    others, head = members.where("id != least"), members.where("id = least").select("s", "id", "n", "pos")
+    star = materialise(_pairs(others.alias("x").join(head.alias("y"), "s"), similarity), "star")
+    near = materialise(_similar(star, sets_of, similarity), "near")
+
+    root = components(near).select(F.col("node").alias("id"), "root")
+    placed = members.join(root, "id", "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    placed = materialise(placed, "placed")
+    apart = placed.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    placed = materialise(placed.join(apart.select("s"), "s"), "apart")
+    roots = placed.select("s", "root").distinct()
+    cross = roots.select("s", F.col("root").alias("ra")).join(roots.select("s", F.col("root").alias("rb")), "s").where("ra < rb")
+    met = cross.join(placed.withColumnRenamed("root", "ra").alias("x"), ["s", "ra"])
+    met = met.join(placed.withColumnRenamed("root", "rb").alias("y"), ["s", "rb"])
+    rest = materialise(_pairs(met, similarity).join(star, ["a", "b"], "left_anti"), "rest")
+    return components(materialise(near.unionByName(_similar(rest, sets_of, similarity)), "links"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Candidates are fingerprints within ``threshold`` bits (anchor covering, no pair missed); they link if their
-    ``64 * width``-bit SimHashes of ``words``-word shingles are as near as sets of Jaccard ``similarity`` are.  Groups are
-    connected components.  All columns stay as they are.  Repeated rows and null ids: one row of a group stays, a null id
-    only if no other exists.  Texts without words form one group; null counts as empty.
+    Two texts link if the sets of their ``words``-word shingles (as 64-bit hashes) have Jaccard ``similarity`` or more, whatever
+    their length; no pair is missed.  Groups are connected components.  All columns stay as they are.  Repeated rows and null
+    ids: one row of a group stays, a null id only if no other exists.  Texts without words form one group; null counts as empty.
     """
     rows = docs.select(F.struct("*").alias("row"))
     key = [F.col("row.doc_id").alias("doc_id"), text_key(F.col("row.text")).alias("th")]
-    mark = profile(words, width)(F.col("row.text")).alias("mark")
-    marks = materialise(rows.select(*key, mark).withColumn("id", F.xxhash64("mark")), "marks")
-    nodes = materialise(marks.groupBy("id").agg(F.first("mark").alias("mark")), "nodes")
-    pairs = materialise(links(nodes.select("id", F.col("mark")[0].alias("fp")), threshold), "pairs")
-    left, right = (nodes.select(F.col("id").alias(n), F.col("mark").alias(f"m{n}")) for n in "ab")
-    far = sum(F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(1, width + 1))
-    linked = pairs.join(left, "a").join(right, "b").where(far <= distance_at(similarity, 64 * width)).select("a", "b")
-    member = components(materialise(linked, "links")).select(F.col("node").alias("id"), "root")
+    texts = rows.select(*key, F.col("row.text").alias("text"))
+    first = first_shingles(words, similarity, common_shingles(texts, words))
+    marks = materialise(texts.select("doc_id", "th", first("text").alias("m")).select("doc_id", "th", "m.*"), "marks")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        chosen = marks.join(ids, "id").groupBy("id").agg(F.min("th").alias("th"))
+        some = marks.join(chosen, ["id", "th"]).groupBy("id", "th").agg(F.min("doc_id").alias("doc_id")).alias("c")
+        same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th"))
+        return texts.alias("t").join(some, same).select("c.id", "t.text").dropDuplicates(["id"]).select("id", shingles(words)("text").alias("s"))
+
+    member = similar_groups(marks, sets_of, similarity).select(F.col("node").alias("id"), "root")
     grouped = marks.select("doc_id", "th", "id").join(member, "id", "left")
     stays = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")

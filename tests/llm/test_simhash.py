@@ -98,3 +98,30 @@ def test_keep_one(spark):
     assert sorted(kept) == [(10 * i, "k") for i in range(12)] + [(500, "e")]
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_misses_no_pair(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=30))
+    texts = []
+    for k in [3, 5, 12, 25, 30, 40, 60, 100, 250] * 6:
+        base = " ".join(rng.choices(vocabulary, k=k))
+        middle = base.split(" ")
+        middle[k // 2] = "other"
+        texts += [base, base + " two more", " ".join(middle), f"{passage} {base}", base.upper()]
+    chain = rng.choices(vocabulary, k=130)
+    texts += [" ".join(chain[i : i + 70]) for i in range(0, 60, 6)]
+    rows = list(enumerate(texts))
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+
+    def near(a, b):
+        both = len(np.intersect1d(a, b))
+        return both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+
+    label, want = plain_components(sets, near), {}
+    for i, g in enumerate(label):
+        want.setdefault(g, i)
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want.values())
+    assert len(want) < len(rows) * 0.8
