@@ -2,13 +2,15 @@
 
 Words become template tokens: numbers, names (capitalised words) and units turn into typed placeholders, all others are
 lower-cased without punctuation at their ends.  Windows of template tokens are hashed on both sides and hash-joined, so a
-question whose numbers or names were changed still meets its benchmark item.  A match counts only if its slots are
-consistent: along one alignment, each value of the item stands for one value in the document and the other way round.
+question whose numbers or names were changed still meets its benchmark item.  Names must be consistent: along one alignment, windows
+that contradict what a name mostly stands for don't count, and an alignment with a name that stands for several others equally often
+counts nothing.  Numbers and units are independent of each other.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +88,49 @@ def window_hashes(text: str, size: int, literal: bool, words: _Words, lexical: i
 
 
 def slots(words: list[str], at: int, size: int) -> list[str]:
-    """Values of a window's placeholders, each with its type."""
-    pairs = (template(w) for w in words[at : at + size])
-    return [f"{token} {value}" for token, value in pairs if value]
+    """Values of a window's placeholders, each with its place in the window and its type."""
+    pairs = enumerate(template(w) for w in words[at : at + size])
+    return [f"{i} {token} {value}" for i, (token, value) in pairs if value]
+
+
+def consistent(windows: list[dict]) -> tuple[list[int], int]:
+    """(item windows that count, changed slots) of one alignment, whose ``windows`` have at, own and theirs.
+
+    A name stands for the value it meets in most places, itself on a tie; the same holds the other way round.  Windows that
+    contradict it go, those without a changed slot stay.
+    """
+    places = {(w["at"] + int(own.split(" ", 1)[0]), own.split(" ", 1)[1], their.split(" ", 1)[1]) for w in windows for own, their in zip(w["own"], w["theirs"])}
+    votes = Counter((own, their) for _, own, their in places if own.startswith(NAME + " "))
+    best: tuple[dict, dict] = {}, {}
+    for side in (0, 1):
+        rank = lambda pair: (votes[pair], pair[0] == pair[1])
+        for pair in votes:
+            best[side].setdefault(pair[side], []).append(pair)
+        for value, pairs in best[side].items():
+            top = max(map(rank, pairs))
+            best[side][value] = [p for p in pairs if rank(p) == top]
+    if any(len(pairs) > 1 for pairs in best[0].values()):
+        return [], 0
+    wrong = {p for p in votes if p[0] != p[1] and not all(best[side][p[side]] == [p] for side in (0, 1))}
+    ats, changed = set(), set()
+    for w in windows:
+        pairs = {(own.split(" ", 1)[1], their.split(" ", 1)[1]) for own, their in zip(w["own"], w["theirs"])}
+        if not pairs & wrong:
+            ats.add(w["at"])
+            changed |= {p for p in pairs if p[0] != p[1]}
+    return sorted(ats), len(changed)
+
+
+def settled():
+    """Column function: windows of an alignment -> item windows that count, changed slots."""
+
+    @F.arrow_udf("struct<ats: array<bigint>, changed: bigint>")
+    def settle(alignments: pa.Array) -> pa.Array:
+        found = [consistent(windows) for windows in alignments.to_pylist()]
+        kind = pa.struct([("ats", pa.list_(pa.int64())), ("changed", pa.int64())])
+        return pa.array([{"ats": ats, "changed": changed} for ats, changed in found], kind)
+
+    return settle
 
 
 _WINDOWS = pa.list_(
@@ -167,7 +209,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, th, item_id, matched, n_windows, coverage, changed_slots): documents that hold a benchmark item.
 
-    An item is held if windows along consistent alignments cover at least ``coverage`` of its windows; ``changed_slots`` counts
+    An item is held if the consistent windows of all alignments cover at least ``coverage`` of its windows; ``changed_slots`` counts
     the placeholders whose values differ.  ``th`` is the key of the text: repeated rows share one finding.  Null ids are
     kept; null or empty texts and items hold nothing.  Items with equal texts are each reported.
     """
@@ -181,16 +223,14 @@ def leaks(
 
     hits = docs.select("doc_id", text_key(F.col("text")).alias("th"), F.explode(windows("text")).alias("w"))
     met = hits.select("doc_id", "th", "w.h", "w.pos", F.col("w.slots").alias("theirs")).join(items, "h")
-    pair = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("own", "theirs"))))
+    one = F.collect_set(F.struct("at", "own", "theirs"))
     lines = met.groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.collect_set("at").alias("ats"), pair.alias("pairs"), F.max("n").alias("n_windows")
+        one.alias("windows"), F.max("n").alias("n_windows")
     )  # at most as many windows as the item has
-    one_way = [F.size(F.array_distinct(F.col("pairs")[side])) == F.size("pairs") for side in ("own", "theirs")]
-    changed = F.size(F.filter("pairs", lambda p: p["own"] != p["theirs"]))
-    consistent = lines.where(one_way[0] & one_way[1]).withColumn("changed", changed)
-    matched = F.size(F.array_distinct(F.flatten(F.collect_list("ats"))))
-    out = consistent.groupBy("doc_id", "th", "item_id").agg(
-        matched.cast("long").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("changed").cast("long").alias("changed_slots")
+    kept = lines.select("doc_id", "th", "item_id", "n_windows", settled()("windows").alias("k")).where(F.size("k.ats") > 0)
+    matched = F.size(F.array_distinct(F.flatten(F.collect_list("k.ats"))))
+    out = kept.groupBy("doc_id", "th", "item_id").agg(
+        matched.cast("long").alias("matched"), F.max("n_windows").alias("n_windows"), F.min("k.changed").alias("changed_slots")
     )
     share = F.col("matched") / F.col("n_windows")
     return out.withColumn("coverage", share).where(share >= coverage)

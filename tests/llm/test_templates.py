@@ -58,3 +58,25 @@ def test_template():
     assert [templates.template(w)[0] for w in ("12", "$3.50,", "seven", "km.", "5kg", "Paris", "NASA", "apple,", "--")] == [
         "<number>", "<number>", "<number>", "<unit>", "<number><unit>", "<name>", "nasa", "apple", "--",
     ]
+
+
+def test_one_changed_name_and_repeated_numbers(spark):
+    item = "The farmer Ben sold 3 apples and 3 pears to the baker. The baker paid 9 coins and gave the farmer two cakes for his trouble."
+    texts = [
+        item.replace("The farmer", "A farmer"),
+        item.replace("3 apples", "4 apples").replace("3 pears", "7 pears"),
+        item.replace("3 apples", "9 apples"),
+    ]
+    docs = spark.createDataFrame([(i, f"{FILL} {t} {FILL}") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = templates.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    got = {r.doc_id: (r.coverage > 0.9, r.changed_slots) for r in found}
+    assert got == {0: (True, 0), 1: (True, 2), 2: (True, 1)}
+
+
+def test_consistent():
+    window = lambda at, *pairs: {"at": at, "own": [f"{i} {o}" for i, o, _ in pairs], "theirs": [f"{i} {t}" for i, _, t in pairs]}
+    a, b, c = (f"{templates.NAME} {x}" for x in "abc")
+    assert templates.consistent([window(0, (0, a, b)), window(9, (0, a, b)), window(20, (0, a, c)), window(30)]) == ([0, 9, 30], 1)
+    assert templates.consistent([window(0, (0, a, b)), window(9, (0, a, a))]) == ([9], 0)
+    assert templates.consistent([window(0, (0, a, c)), window(9, (0, b, c)), window(20, (0, b, c))]) == ([9, 20], 1)
+    assert templates.consistent([window(0, (0, a, b)), window(9, (0, a, c))]) == ([], 0)
