@@ -4,7 +4,8 @@ Words become template tokens: numbers, names (capitalised words) and units turn
 lower-cased without punctuation at their ends.  Windows of template tokens are hashed on both sides and hash-joined, so a
 question whose numbers or names were changed still meets its benchmark item.  Names must be consistent: along one alignment, windows
 that contradict what a name mostly stands for don't count, and an alignment with a name that stands for several others equally often
-counts nothing.  Numbers and units are independent of each other.
+counts nothing.  Numbers and units are independent of each other.  Names are told by their capital letter, so windows of lower-cased
+words are joined too, and a window met by either counts.
 """
 
 from __future__ import annotations
@@ -68,13 +69,15 @@ class _Words(dict):
         return out
 
 
-def window_hashes(text: str, size: int, literal: bool, words: _Words, lexical: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the windows with at least ``lexical`` words that are no placeholder."""
-    found = [words[w] for w in text.split()]
-    n = len(found) - size + 1
+def word_table(text: str, words: _Words) -> np.ndarray:
+    return np.array([words[w] for w in text.split()], np.uint64).reshape(-1, 3)
+
+
+def window_hashes(table: np.ndarray, size: int, literal: bool, lexical: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the windows with at least ``lexical`` words that are no placeholder; all literal ones."""
+    n = len(table) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = np.array(found, np.uint64)
     token = table[:, 1 if literal else 0]
     out = np.full(n, size * 2 + literal, np.uint64)
     for j in range(size):
@@ -141,9 +144,9 @@ _WINDOWS = pa.list_(
 def _windows(texts: pa.Array, modes: list[tuple[int, bool]], lexical: int, bits: np.ndarray | None) -> pa.Array:
     words, out = _Words(), []
     for text in as_text(texts):
-        rows, parts = [], None
+        rows, parts, tokens = [], None, word_table(text, words)
         for size, literal in modes:
-            hashes, at = window_hashes(text, size, literal, words, lexical)
+            hashes, at = window_hashes(tokens, size, literal, lexical)
             total = len(hashes)
             if bits is not None and total:
                 spot = hashes >> np.uint64(64 - FILTER_BITS)
@@ -161,6 +164,7 @@ def item_windows(size: int, lexical: int):
     """Column function: item text -> its windows.
 
     An item shorter than a window is one window; one without enough words that are no placeholder is matched word by word.
+    All others have each window a second time as lower-cased words, which copies in other letter case still have.
     """
 
     @F.arrow_udf("array<struct<h: bigint, pos: bigint, slots: array<string>, n: bigint>>")
@@ -169,8 +173,11 @@ def item_windows(size: int, lexical: int):
         for text in as_text(texts):
             many = min(size, len(text.split()))
             found = _windows(pa.array([text]), [(many, False)] if many else [], min(lexical, many), None)
-            if many and not len(found[0]):
-                found = _windows(pa.array([text]), [(many, True)], 0, None)
+            if many:
+                plain = _windows(pa.array([text]), [(many, True)], 0, None)
+                typed = {w["pos"]: w["n"] for w in found[0].as_py()}
+                same = [w | {"n": typed[w["pos"]]} for w in plain[0].as_py() if w["pos"] in typed]
+                found = pa.array([found[0].as_py() + same], _WINDOWS) if typed else plain
             rows.append(found)
         return pa.concat_arrays(rows) if rows else pa.array([], _WINDOWS)
 
@@ -178,19 +185,20 @@ def item_windows(size: int, lexical: int):
 
 
 def _modes(benchmark: DataFrame, size: int, lexical: int) -> list[tuple[int, bool]]:
-    """Window lengths and kinds that the items need: at most two for each length up to ``size``."""
+    """Window lengths and kinds that the items need: at most two for each length up to ``size``, literal ones always."""
 
     @F.arrow_udf("int")
     def mode(texts: pa.Array) -> pa.Array:
         words, out = _Words(), []
         for text in as_text(texts):
             many = min(size, len(text.split()))
-            typed = many and len(window_hashes(text, many, False, words, min(lexical, many))[0])
+            typed = many and len(window_hashes(word_table(text, words), many, False, min(lexical, many))[0])
             out.append(2 * many + (0 if typed else 1))
         return pa.array(out, pa.int32())
 
     found = benchmark.select(mode("text").alias("mode")).distinct().collect()
-    return sorted((r["mode"] // 2, bool(r["mode"] % 2)) for r in found if r["mode"] >= 2)
+    needed = {(r["mode"] // 2, bool(r["mode"] % 2)) for r in found if r["mode"] >= 2}
+    return sorted(needed | {(many, True) for many, _ in needed})
 
 
 def _filter(windows: DataFrame) -> np.ndarray:

@@ -80,3 +80,10 @@ def test_consistent():
     assert templates.consistent([window(0, (0, a, b)), window(9, (0, a, a))]) == ([9], 0)
     assert templates.consistent([window(0, (0, a, c)), window(9, (0, b, c)), window(20, (0, b, c))]) == ([9, 20], 1)
     assert templates.consistent([window(0, (0, a, b)), window(9, (0, a, c))]) == ([], 0)
+
+
+def test_other_letter_case(spark):
+    rows = [(1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM), (4, ITEM.lower()[:60])]
+    docs = spark.createDataFrame([(i, FILL + t) for i, t in rows], "doc_id long, text string")
+    found = templates.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.matched == r.n_windows, r.changed_slots) for r in found} == dict.fromkeys((1, 2, 3), (True, 0))
