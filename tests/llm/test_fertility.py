@@ -59,3 +59,15 @@ def test_bands(spark):
     assert out[1001].base_failed and out[1002].base_failed and out[1003].base_failed and not out[1003].kept
     assert out[1004].kept
     assert fertility.ruled(docs.limit(0)).count() == 0
+
+
+def test_small_groups_are_judged(spark):
+    rng = random.Random(5)
+    words = "the of and to in that it was for on are with his they at be this from have or by one had not but what all".split()
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en") for i in range(200)]
+    odd = lambda n: " ".join("\U0001f9ff\U0001f9a4"[i % 2] + str(i) for i in range(n))
+    rows += [(900, odd(60), "xx"), (901, odd(4000), "en"), (902, " ".join(rng.choices(words, k=60)), "xx")]
+    out = {r.doc_id: r for r in fertility.ruled(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(out[i].base_failed for i in (900, 901, 902))
+    assert [out[i].kept for i in (900, 901, 902)] == [False, False, True]
+    assert [fertility.script(t) for t in ("abc", "äbcd где", "где a", "12 \u3042", "")] == ["LATIN", "LATIN", "CYRILLIC", "HIRAGANA", ""]
