@@ -29,27 +29,30 @@ FORMATS = re.compile(
     r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"
 )
 NAMES = "password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "auth", "credential"
-ASSIGNED = re.compile(r"(?i)\b(" + "|".join(NAMES) + r")\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})")
+ASSIGNED = re.compile(r"(?i)(?<![^\W_])(" + "|".join(NAMES) + r")\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})")
 LONG = re.compile(r"[A-Za-z0-9+/=_\-.]{12,}")
 WORD = re.compile(r"[^\W\d_]{3,}")
 _SPACE = re.compile(r"\s")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points; a candidate inside another goes."""
-    found = {m.span() for m in FORMATS.finditer(text)} | {m.span(2) for m in ASSIGNED.finditer(text)}
-    found |= {m.span() for m in LONG.finditer(text) if any(map(str.isdigit, m[0]))}
+    """(start, end) in code points, in order; a long token inside a key or an assigned value goes, all others stay."""
+    strong = {m.span() for m in FORMATS.finditer(text)} | {m.span(2) for m in ASSIGNED.finditer(text)}
+    long = {m.span() for m in LONG.finditer(text) if any(map(str.isdigit, m[0]))} - strong
     out: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
-        if not out or b > out[-1][1]:
+    upto = 0
+    for a, b in sorted(strong | long, key=lambda s: (s[0], -s[1])):
+        if (a, b) in strong or b > upto:
             out.append((a, b))
+        if (a, b) in strong:
+            upto = max(upto, b)
     return out
 
 
 def labelled(text: str, a: int, b: int) -> int:
     """1: a true finding, 0: a false one, -1: unknown."""
     s, before = text[a:b], text[max(0, a - 24) : a]
-    if FORMATS.fullmatch(s):
+    if FORMATS.search(s):
         return 1
     named = ASSIGNED.search(before + s)
     if named and named.end(2) == len(before + s):
