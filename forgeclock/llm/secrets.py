@@ -86,7 +86,7 @@ def coverage(s: str, words: frozenset[str]) -> float:
 
 
 def features(text: str, a: int, b: int, words: frozenset[str]) -> list[float]:
-    s, word = text[a:b][:400], _word_around(text, a, b)
+    s, word = text[a:b], _word_around(text, a, b)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in s]
     steps = Counter(x + y for x, y in zip(kinds, kinds[1:]))
     count = Counter(kinds)

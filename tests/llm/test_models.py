@@ -129,3 +129,10 @@ def test_keys_inside_runs(text, inside):
     spans = secrets.candidates(text)
     assert inside in [text[a:b] for a, b in spans]
     assert all(secrets.labelled(text, a, b) == 1 for a, b in spans if inside in text[a:b])
+
+
+def test_features_see_the_whole_candidate():
+    plain, other = "a1" * 400, "a1" * 250 + "Zq9/" * 75
+    assert len(plain) == len(other) and plain[:400] == other[:400]
+    x, y = (secrets.features(t, 0, len(t), frozenset()) for t in (plain, other))
+    assert y[1] > x[1] and x[0] == y[0]
