@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -119,25 +120,41 @@ class Model:
     words: frozenset[str]
 
 
-def dictionary(texts: Iterable[str], least: int = 3, most: int = 30_000) -> frozenset[str]:
-    """Lower-case words found in at least ``least`` of the texts; the ``most`` frequent."""
-    seen: Counter[str] = Counter()
-    for t in texts:
-        seen.update({w.lower() for w in WORD.findall(t) if len(w) <= 12})
-    return frozenset(w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most] if c >= least)
+def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): in how many texts of a batch each lower-case word is."""
+    for batch in batches:
+        seen: Counter[str] = Counter()
+        for t in as_text(batch.column(0)):
+            seen.update({w.lower() for w in WORD.findall(t) if len(w) <= 12})
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+
+def dictionary(docs: DataFrame, least: int = 3, most: int = 30_000) -> frozenset[str]:
+    """Lower-case words found in at least ``least`` of all rows' texts: the most frequent, at most ``most``.
+
+    Words as frequent as each other are all taken or all left.  Only the bounded list and the sizes of its classes reach the driver.
+    """
+    words = docs.select("text").mapInArrow(_document_words, "word string, n long")
+    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "words")
+    sizes = sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().toLocalIterator()), reverse=True)
+    upto = accumulate(many for _, many in sizes)
+    floor = min((n for (n, _), total in zip(sizes, upto) if total <= most), default=None)
+    if floor is None:
+        return frozenset()
+    return frozenset(r["word"] for r in counts.where(F.col("n") >= floor).select("word").collect())  # at most ``most``
 
 
 def train(docs: DataFrame, most: int = 4000) -> Model:
     """Fit on the labelled candidates of at most about ``most`` documents with a digit or an assignment, by a hash of doc_id.
 
-    The dictionary comes from the same documents.  Without findings of both kinds the forest has no trees and rates 0.5.
+    The dictionary comes from all documents.  Without findings of both kinds the forest has no trees and rates 0.5.
     """
     likely = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9]|[=:]"))
     ids = materialise(likely.select("doc_id").distinct(), "likely")
     sample = materialise(bounded_sample(ids, "doc_id", most, 19), "sample")  # bounded by ``most``
     rows = likely.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = materialise(rows, "texts")
-    words = dictionary(r["text"] for r in rows.orderBy("doc_id").toLocalIterator())
+    words = dictionary(docs)
 
     @F.arrow_udf("array<struct<x: array<double>, y: int>>")
     def label(texts: pa.Array) -> pa.Array:

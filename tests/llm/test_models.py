@@ -136,3 +136,12 @@ def test_features_see_the_whole_candidate():
     assert len(plain) == len(other) and plain[:400] == other[:400]
     x, y = (secrets.features(t, 0, len(t), frozenset()) for t in (plain, other))
     assert y[1] > x[1] and x[0] == y[0]
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(i, f"value = {i} common rare{'x' if i % 2 else 'y'} end") for i in range(40)] + [(100 + i, "plain glimmer glimmer words") for i in range(3)]
+    docs = spark.createDataFrame([*rows, (None, None)], "doc_id long, text string")
+    model = secrets.train(docs, most=10)
+    assert model.words == {"value", "common", "rarex", "rarey", "end", "plain", "glimmer", "words"}
+    assert secrets.dictionary(docs, most=3) == {"value", "common", "end"}
+    assert secrets.dictionary(docs, most=4) == {"value", "common", "end"} and secrets.dictionary(docs.limit(0)) == frozenset()
