@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import fertility, linededup, packing, pii, quality, secrets, severity, sharding, simhash, templates
-from forgeclock.llm.common import reachable, table
+from forgeclock.llm import fertility, linededup, merkle, packing, pii, quality, secrets, severity, sharding, simhash, templates
+from forgeclock.llm.common import lowered, reachable, table
+from forgeclock.llm.sql import merkle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,17 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("number").alias("row_number"))
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claims = {"text": F.when(chosen, lowered(F.col("text"))).otherwise(F.col("text"))}
+    return merkle.checked(docs, LEAF_FIELDS, claims=claims).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op13_merkle_manifest"] = merkle_sql(LEAF_FIELDS, levels=4, above=3)

@@ -54,6 +54,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def share_of_hash(key: Column, salt: int) -> Column:
     """A fixed pseudo-random number in [0, 1) for a key."""
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
