@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeclock.llm import fertility, linededup, merkle, packing, pii, quality, secrets, severity, sharding, simhash, templates
+from forgeclock.llm import (
+    fertility, linededup, merkle, packing, pii, quality, secrets, severity, sharding, simhash, templates, variants,
+)
 from forgeclock.llm.common import lowered, reachable, table
-from forgeclock.llm.sql import merkle_sql
+from forgeclock.llm.sql import merkle_sql, variants_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +107,14 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("number").alias("row_number"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variant_groups(docs, min_chars=7, min_count=2, every=31, factor=10)
+
+
+ORACLES["op11_spelling_variants"] = variants_sql(min_chars=7, min_count=2, every=31, factor=10)
+
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 

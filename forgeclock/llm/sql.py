@@ -72,3 +72,42 @@ def merkle_sql(fields: list[str], levels: int, above: int) -> str:
     return "WITH " + ",\n".join(tables) + f"""
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM p{len(steps) - 1}"""
+
+
+def letter_bytes(text: str) -> str:
+    """UTF-8 bytes of a text with code points below U+0100 only, of which those above U+007F are U+00C0 to U+00FF."""
+    return (
+        f"flatten(list_transform(string_split({text}, ''), lambda x: "
+        "CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END))"
+    )
+
+
+def variants_sql(min_chars: int, min_count: int, every: int, factor: int) -> str:
+    """Near pairs by words with one letter taken out; forms followed one by one."""
+    h = crc(letter_bytes("CAST(doc_id AS VARCHAR) || ':' || run"))
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, {lowered("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {min_chars} GROUP BY ALL),
+hashed AS (SELECT run, n, {h} AS h FROM counted, crc),
+spoiled AS (
+  SELECT n, CASE WHEN h % {every} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoiled WHERE length(word) >= {min_chars} GROUP BY word HAVING sum(n) >= {min_count}),
+gaps AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.rest
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.rest),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {factor} * w.n THEN best END AS form,
+    CASE WHEN best_n >= {factor} * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+up AS (
+  SELECT word, word AS root, 0 AS steps FROM words
+  UNION ALL SELECT u.word, f.form, steps + 1 FROM up u JOIN formed f ON f.word = u.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, steps) AS root FROM up GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)"""
