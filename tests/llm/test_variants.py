@@ -77,7 +77,7 @@ def test_against_plain_loop(spark):
     rng = random.Random(5)
     pool = ["Straßenbahn", "Élevée", "élevées", "élevéée", "different", "diferent", "differant", "diferant", "zzzzzzz", "x" * 5000]
     rows = [(d, " ".join(rng.choices(pool, [30, 2, 9, 1, 400, 30, 3, 1, 1, 1], k=200))) for d in range(20)]
-    rows += [(None, "different " * 9 + "DIFFERENT"), (30, None), (31, ""), rows[0], rows[0], (32, "short 1234567 a"), (33, "different" * * 9000)]
+    rows += [(None, "different " * 9 + "DIFFERENT"), (30, None), (31, ""), rows[0], rows[0], (32, "short 1234567 a"), (33, "different" * 9000)]
     docs = spark.createDataFrame([(d, t, "w", 1) for d, t in rows], "doc_id long, text string, word string, n int")
     got = variants.variant_groups(docs).collect()
     assert sorted((r.word, str(r.form), r.root, r.n, r.n_near, str(r.form_n)) for r in got) == plain(rows, 10)
