@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock.llm import (
-    fertility, linededup, merkle, packing, pii, quality, secrets, severity, sharding, simhash, templates, variants,
+    fertility, linededup, merkle, ngrams, packing, pii, quality, secrets, severity, sharding, simhash, templates, variants,
 )
 from forgeclock.llm.common import lowered, reachable, table
 from forgeclock.llm.sql import merkle_sql, variants_sql
+from forgeclock.shared import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +116,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op11_spelling_variants"] = variants_sql(min_chars=7, min_count=2, every=31, factor=10)
 
+@query
+def op12_lm_trie_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    trie = ngrams.train(docs.where("NOT held_out").select("text"))
+    out = ngrams.scored(docs, trie)
+    size = F.lit(trie.n).cast("long").alias("train_tokens")
+    out = materialise(out.select("row.doc_id", "row.held_out", "n_tokens", "n_known", size, "base_score", "score"), "scores")
+    ngrams.delete(trie)
+    return out
+
+
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
