@@ -1,12 +1,13 @@
 """Elias-Fano sequences in files that are mapped into memory, with whole arrays of queries at a time.
 
 A sorted sequence of ``n`` numbers below ``u`` keeps the ``l = log2(u / n)`` low bits of each number as they are, and the rest as a
-bit string in which every number sets one bit behind the zeros that count up to its high part.  That takes about ``l + 2`` bits a number.
-Ones give numbers by place; zeros give the places of all numbers with a high part, among which a search ends in a step or two.
+bit string in which every number sets one bit behind the zeros that count up to its high part.  That takes about ``l + 2`` bits a number,
+and counts before each word of that string two more.  Ones give numbers by place; zeros give the places of all numbers with a high part, among which a search ends in a step or two.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import mmap
 import os
@@ -14,8 +15,6 @@ import uuid
 
 import numpy as np
 
-#: Every so many ones and zeros the place of one is kept.
-SAMPLE = 64
 _ONE = np.uint64(1)
 
 
@@ -40,29 +39,18 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     size = (int(places[-1]) if n else 0) + 2
     high = np.zeros(size // 64 + 2, np.uint64)
     np.add.at(high, places >> 6, _ONE << _u(places & 63))
-    bits = np.unpackbits(high.view(np.uint8), bitorder="little")[:size]
-    zeros = np.nonzero(bits == 0)[0]
-    kept = [places[::SAMPLE], zeros[::SAMPLE]]
+    # how many ones, and how many zeros, stand before each word
     kind = np.uint32 if size < 1 << 32 else np.uint64
-    head = np.array([n, low, len(zeros)], np.int64)
-    return {"head": head, "low": packed, "high": high, "ones": kept[0].astype(kind), "zeros": kept[1].astype(kind)}
-
-
-def _select(words: np.ndarray, samples: np.ndarray, rank: np.ndarray, flip: np.uint64) -> np.ndarray:
-    """Place of the bit number ``rank`` that is set (or, with ``flip`` all ones, not set)."""
-    start = samples[rank // SAMPLE].astype(np.int64)
-    word, left = start >> 6, _u(rank % SAMPLE)
-    here = (words[word] ^ flip) & (~np.uint64(0) << _u(start & 63))
-    count = np.bitwise_count(here)
-    short = np.nonzero(left >= count)[0]
-    while len(short):
-        left[short] -= count[short]
-        word[short] += 1
-        now = words[word[short]] ^ flip
-        here[short] = now
-        count[short] = np.bitwise_count(now)
-        short = short[left[short] >= count[short]]
-    return (word << 6) + _within(here, left)
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high[:-1]), dtype=np.int64)])
+    zeros = 64 * np.arange(len(high)) - ones
+    head = np.array([n, low, size - n], np.int64)
+    return {"head": head, "low": packed, "high": high, "ones": ones.astype(kind), "zeros": zeros.astype(kind)}
+
+
+def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, flip: np.uint64) -> np.ndarray:
+    """Place of the bit number ``rank`` that is set (or, with ``flip`` all ones, not set); ``before`` counts them up to each word."""
+    word = np.searchsorted(before, rank.astype(before.dtype), "right") - 1
+    return (word << 6) + _within(words[word] ^ flip, _u(rank - before[word]))
 
 
 def _repeated(byte: int) -> np.uint64:
@@ -142,14 +130,19 @@ class Sequence:
         want = x[inside] & np.uint64((1 << self.bits) - 1)
         met = np.zeros(len(high), bool)
         todo = np.nonzero(begin < end)[0]
-        while len(todo):
-            middle = (begin[todo] + end[todo]) >> 1
+        least, most = np.zeros(len(todo)), np.full(len(todo), float(1 << self.bits))  # what is known of the low bits there
+        for step in itertools.count():
+            if not len(todo):
+                break
+            low, high, sought = begin[todo], end[todo], want[todo]
+            share = 0.5 if step % 3 == 2 else (sought - least) / np.maximum(most - least, 1)  # guess, and halve now and then
+            middle = np.clip(low + (share * (high - low)).astype(np.int64), low, high - 1)
             found = self._low(middle)
-            less = found < want[todo]
-            begin[todo[less]] = middle[less] + 1
-            end[todo[~less]] = middle[~less]
-            met[todo] |= found == want[todo]
-            todo = todo[begin[todo] < end[todo]]
+            less = found < sought
+            begin[todo], end[todo] = low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            met[todo] |= found == sought
+            stay = low < high
+            todo, least, most = todo[stay], np.where(less, found, least)[stay], np.where(less, most, found)[stay]
         place[inside], same[inside] = begin, met
         return place, same
 

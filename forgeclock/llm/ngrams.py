@@ -38,7 +38,7 @@ from forgeclock.shared import fresh_folder, materialise
 END = b"\n"
 STEPS = 2048
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 
 
 def mounted(path: str) -> str:
