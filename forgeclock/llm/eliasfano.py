@@ -104,11 +104,11 @@ class Sequence:
         return _u(high) << np.uint64(self.bits) | self._low(i)
 
     def between(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers at places ``i`` and ``i + 1``."""
+        """The numbers at places ``i`` and ``i + 1``; the second is none where ``i`` is the last place."""
         at = _select(self.high, self.ones, i, np.uint64(0))
         step = _zeros_before(_window(self.high, at + 1))
         after = at + 1 + step
-        far = np.nonzero(step == 64)[0]
+        far = np.nonzero((step == 64) & (i + 1 < self.n))[0]
         after[far] = _select(self.high, self.ones, i[far] + 1, np.uint64(0))
         bits = np.uint64(self.bits)
         return _u(at - i) << bits | self._low(i), _u(after - i - 1) << bits | self._low(i + 1)
@@ -116,18 +116,14 @@ class Sequence:
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first number that is ``x`` or more, whether it is ``x``)."""
         x = _u(x)
-        high = (x >> np.uint64(self.bits)).astype(np.int64)
-        place, same = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
-        inside = np.nonzero((high >= 0) & (high <= self.n_zeros))[0]
-        high = high[inside]
-        at = np.zeros(len(high), np.int64)  # where the bits of the high part begin
-        some = np.nonzero(high > 0)[0]
-        at[some] = _select(self.high, self.zeros, high[some] - 1, ~np.uint64(0)) + 1
+        high = np.minimum(x >> np.uint64(self.bits), np.uint64(self.n_zeros)).astype(np.int64)
+        zero = _select(self.high, self.zeros, np.maximum(high - 1, 0), ~np.uint64(0))
+        at = np.where(high > 0, zero + 1, 0)  # where the bits of the high part begin
         begin, many = at - high, _zeros_before(~_window(self.high, at))
         long = np.nonzero((many == 64) & (high < self.n_zeros))[0]
         many[long] = _select(self.high, self.zeros, high[long], ~np.uint64(0)) - at[long]
         end = np.minimum(begin + many, self.n)
-        want = x[inside] & np.uint64((1 << self.bits) - 1)
+        want = x & np.uint64((1 << self.bits) - 1)
         met = np.zeros(len(high), bool)
         todo = np.nonzero(begin < end)[0]
         least, most = np.zeros(len(todo)), np.full(len(todo), float(1 << self.bits))  # what is known of the low bits there
@@ -143,8 +139,7 @@ class Sequence:
             met[todo] |= found == sought
             stay = low < high
             todo, least, most = todo[stay], np.where(less, found, least)[stay], np.where(less, most, found)[stay]
-        place[inside], same[inside] = begin, met
-        return place, same
+        return begin, met
 
 
 def store(path: str, arrays: dict[str, np.ndarray]) -> None:

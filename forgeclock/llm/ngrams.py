@@ -19,26 +19,25 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock.llm import eliasfano
-from forgeclock.llm.common import as_bytes, signed, unsigned
+from forgeclock.llm.common import SPACE, as_bytes, signed, unsigned
 from forgeclock.shared import fresh_folder, materialise
 
-#: Stands for the end of a text; no word holds white space.
-END = b"\n"
+#: Steps of a stored log10.
 STEPS = 2048
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
 CHUNK = 4 << 20
+#: Words that a task holds before it hands their counts on.
+HELD = 1 << 21
 
 
 def mounted(path: str) -> str:
@@ -50,28 +49,52 @@ def mounted(path: str) -> str:
 
 
 # ---------------------------------------------------------------- text
+_SOLID = np.ones(256, bool)
+_SOLID[list(SPACE.encode())] = False
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Stands for the end of a text.
+END = np.uint64(0x5851F42D4C957F2D)
+
+
 @dataclass
 class Tokens:
-    """Tokens of some texts: distinct words, each token's place among them, and where texts begin (with the end of the last one)."""
+    """Tokens of some texts: distinct words' hashes, each token's place among them, and where texts begin (with the end of the last one)."""
 
-    words: list[bytes]
+    hashes: np.ndarray
     at: np.ndarray
     begin: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+def word_hashes(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, given the bytes of all of them and their sizes: a polynomial, mixed with the size."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(first, size)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()) - 1, _BASE)]))
+    terms = powers[at]
+    terms *= letters.astype(np.uint64) + np.uint64(1)
+    out = np.add.reduceat(terms, first) ^ size.astype(np.uint64) * _MIX
+    out = (out ^ out >> np.uint64(32)) * _MIX
+    out = (out ^ out >> np.uint64(29)) * _BASE
+    return out ^ out >> np.uint64(32)
 
 
 def tokens(texts: list[bytes]) -> Tokens:
     """Lower-cased words of each text and one end."""
-    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    parts = []
-    for text in texts:
-        words = text.lower().split()
-        words.append(END)
-        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return Tokens(list(index), np.concatenate(parts) if parts else np.zeros(0, np.int64), begin)
+    data = np.frombuffer(b"\n".join([*(t.lower() for t in texts), b""]), np.uint8)
+    solid = _SOLID[data]
+    edges = np.flatnonzero(np.diff(solid, prepend=False))
+    begin, end = edges[::2], edges[1::2]
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    many = np.diff(np.searchsorted(begin, starts))  # words of each text
+    lasts = np.cumsum(many + 1) - 1
+    every = np.empty(len(begin) + len(texts), np.uint64)
+    inside = np.ones(len(every), bool)
+    inside[lasts] = False
+    every[inside], every[lasts] = word_hashes(data[solid], end - begin), END
+    hashes, at = np.unique(every, return_inverse=True)
+    return Tokens(hashes, at, np.concatenate([[0], lasts + 1]))
 
 
 def chunks(texts: list[bytes]) -> Iterator[Tokens]:
@@ -145,14 +168,21 @@ def lists_of(list_no: np.ndarray, key: np.ndarray, count: np.ndarray, lists: int
     }
 
 
-def search(level: dict, lists: np.ndarray, of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of ``key`` in the level or -1, place where its list begins); ``of``: each query's list, a place in ``lists``."""
+def search(level: dict, list_no: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of ``key`` in its list's level or -1, place where the list begins); queries are sorted by their lists."""
+    new = np.concatenate([[True], list_no[1:] != list_no[:-1]])[: len(list_no)]
+    lists, of = list_no[new], np.cumsum(new) - 1
     begin, end = (x.astype(np.int64) for x in level["begin"].between(lists))
-    base = np.zeros(len(lists), np.uint64)
-    later = np.nonzero((begin > 0) & (begin < end))[0]
-    base[later] = level["key"].at(begin[later] - 1) + np.uint64(1)
-    place, same = level["key"].successor(base[of] + key.astype(np.uint64))
-    place[~same | (place >= end[of])] = -1
+    some = np.nonzero(begin < end)[0]
+    base, least = np.zeros(len(lists), np.uint64), np.zeros(len(lists), np.uint64)
+    last, now = level["key"].between(np.maximum(begin[some] - 1, 0))
+    inner = begin[some] > 0
+    base[some], least[some] = np.where(inner, last + np.uint64(1), np.uint64(0)), np.where(inner, now, last)
+    value, size = base[of] + key.astype(np.uint64), (end - begin)[of]
+    place = np.where((size > 0) & (value == least[of]), begin[of], -1)
+    rest = np.nonzero((size > 1) & (value > least[of]))[0]  # lists of one need no search
+    at, same = level["key"].successor(value[rest])
+    place[rest] = np.where(same & (at < end[of[rest]]), at, -1)
     return place, begin[of]
 
 
@@ -165,6 +195,18 @@ def by_file(files: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(files[part[0]]), part
 
 
+@dataclass
+class Around:
+    """A chunk's tokens by ids: ``ids`` of the distinct words (-1: unknown) with the start of a text as the last one, the words' counts, and
+    the places among them of each token and of the token before it.
+    """
+
+    ids: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+
+
 @dataclass
 class Pairs:
     """Distinct pairs of a chunk in the order of their ids: file, place there (-1: not in the trie), place among the first word's
@@ -227,26 +269,26 @@ class Trie:
             out[part] = _open(self.words_file(b))["count"][ids[part] - self.starts[b]]
         return out
 
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> Pairs:
-        """The pairs of ids that stand at each token."""
-        stride = self.v + 1
+    def pairs(self, around: Around) -> Pairs:
+        """The pairs of words that stand at each token."""
+        stride, ids = self.v + 1, around.ids
+        words, rank = np.unique(ids, return_inverse=True)
+        first, second = ids[around.before], ids[around.at]
         keys, of = np.unique(np.where((first >= 0) & (second >= 0), first * stride + second, -1), return_inverse=True)
-        words, word_of = np.unique(first, return_inverse=True)
         n = len(keys)
         out = Pairs(keys // stride // self.width, np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int16), of, np.zeros(0))
         back = np.zeros(len(words), np.int16)
         for s, part in by_file(words // self.width):
             if s < 0 or (level := _open(self.pairs_file(s))) is None:
                 continue
-            lists = words[part]
-            back[part] = level["back"][lists - s * self.width]
-            low, high = np.searchsorted(keys, [lists[0] * stride, (lists[-1] + 1) * stride])
-            place, begin = search(
-                level, lists - s * self.width, np.searchsorted(lists, keys[low:high] // stride), keys[low:high] % stride
-            )
+            lists = words[part] - s * self.width
+            back[part] = level["back"][lists]
+            low, high = np.searchsorted(keys, [(lists[0] + s * self.width) * stride, (lists[-1] + s * self.width + 1) * stride])
+            list_no = keys[low:high] // stride - s * self.width
+            place, begin = search(level, list_no, keys[low:high] % stride)
             out.place[low:high], out.rank[low:high] = place, place - begin
             out.p[low:high] = np.where(place >= 0, level["p"][place], 0)
-        out.back = back[word_of]
+        out.back = back[rank][around.before]
         return out
 
     def triples(self, pairs: Pairs, context: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,30 +307,26 @@ class Trie:
                 back[part] = level["back"][list_no]
                 asked = rank[part] >= 0
                 part, list_no = part[asked], list_no[asked]
-                lists, list_of = np.unique(list_no, return_inverse=True)
-                at, _ = search(level, lists, list_of, rank[part])
+                at, _ = search(level, list_no, rank[part])
                 part, at = part[at >= 0], at[at >= 0]
                 found[part], p[part] = True, level["p"][at]
         return found[of], p[of], back[of]
 
-    def around(self, chunk: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(id, count) of each token, the id before it (the start at a text's beginning), and whether it is a text's first token."""
-        ids, counts = self.ids(chunk.hashes())
-        ids, counts = ids[chunk.at], counts[chunk.at]
-        first = np.zeros(len(ids), bool)
-        first[chunk.begin[:-1]] = True
-        before = np.concatenate([[self.start], ids[:-1]])
-        before[first] = self.start
-        return ids, counts, before, first
+    def around(self, chunk: Tokens) -> Around:
+        ids, counts = self.ids(chunk.hashes)
+        before = np.concatenate([[0], chunk.at[:-1]])
+        before[chunk.begin[:-1]] = len(ids)
+        return Around(np.append(ids, self.start), counts, chunk.at, before)
 
     def score(self, chunk: Tokens) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, add-one score, score) of each text of the chunk."""
-        ids, counts, before, first = self.around(chunk)
-        base = np.log10(self.chance(counts))
-        pairs = self.pairs(before, ids)
+        around = self.around(chunk)
+        counts = around.counts[chunk.at]
+        base = np.log10(self.chance(around.counts))[chunk.at]
+        pairs = self.pairs(around)
         met = pairs.place[pairs.of] >= 0
         out = np.where(met, pairs.p[pairs.of] / STEPS, base + pairs.back / STEPS)
-        follows = np.nonzero(~first[1:] & met[:-1])[0] + 1  # the two words before are a pair of the trie
+        follows = np.nonzero((around.before[1:] < len(chunk.hashes)) & met[:-1])[0] + 1  # the two words before are a pair of the trie
         rank = np.where(met[follows], pairs.rank[pairs.of[follows]], -1)
         found, p, back = self.triples(pairs, pairs.of[follows - 1], rank)
         out[follows] = np.where(found, p / STEPS, out[follows] + back / STEPS)
@@ -311,6 +349,23 @@ def _each_text(work: Callable[[Tokens], Iterator[tuple]], names: list[str]):
     return run
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, count) of words, summed up over as many chunks as fit."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        keys, many = summed(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, np.int64),) * 2
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(many)], names=["h", "c"])
+
+    for batch in batches:
+        for chunk in chunks(as_bytes(batch.column(0))):
+            held.append((signed(chunk.hashes), np.bincount(chunk.at)))
+            if sum(len(k) for k, _ in held) > HELD:
+                yield out()
+    yield out()
+
+
 def _each_file(work: Callable[..., int], keys: int):
     """Batch function over rows sorted by their keys: ``work(key, list of the other columns' values)`` gives the file's entries."""
 
@@ -333,10 +388,7 @@ def train(texts: DataFrame, discount: float = 0.75, words_a_file: int = 1 << 20,
     spark: SparkSession = texts.sparkSession
     texts = texts.select("text")
 
-    def counted(chunk: Tokens) -> Iterator[tuple]:
-        yield from zip(signed(chunk.hashes()).tolist(), np.bincount(chunk.at, minlength=len(chunk.words)).tolist())
-
-    words = texts.mapInArrow(_each_text(counted, ["h", "c"]), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    words = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     words = materialise(words, "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     trie = Trie(mounted(fresh_folder(spark, "ngrams")), n, v, max(0, -(-v // words_a_file) - 1).bit_length(), lists=lists_a_file)
@@ -379,8 +431,8 @@ def _pairs(trie: Trie, texts: DataFrame, discount: float) -> None:
     stride, width = trie.v + 1, trie.width
 
     def counted(chunk: Tokens) -> Iterator[tuple]:
-        ids, _, before, _ = trie.around(chunk)
-        keys, many = np.unique(before * stride + ids, return_counts=True)
+        around = trie.around(chunk)
+        keys, many = np.unique(around.ids[around.before] * stride + around.ids[around.at], return_counts=True)
         for s, part in by_file(keys // stride // width):
             begin = keys[part] - s * width * stride
             yield s, pack(np.diff(begin, prepend=0), many[part])
@@ -401,9 +453,9 @@ def _triples(trie: Trie, texts: DataFrame, discount: float) -> None:
     """Third level: files by pairs, a range of a second-level file's places in each."""
 
     def counted(chunk: Tokens) -> Iterator[tuple]:
-        ids, _, before, first = trie.around(chunk)
-        pairs = trie.pairs(before, ids)
-        after = np.nonzero(~first)[0]
+        around = trie.around(chunk)
+        pairs = trie.pairs(around)
+        after = np.nonzero(around.before < len(chunk.hashes))[0]
         seen, many = np.unique(pairs.of[after - 1] << 32 | pairs.rank[pairs.of[after]], return_counts=True)
         which, rank = seen >> 32, seen & 0xFFFFFFFF
         last = np.zeros(len(seen), np.int64)  # code of the last two words

@@ -40,6 +40,17 @@ def test_sequence_with_long_runs_and_gaps():
     assert (s.at(np.arange(len(values))) == values).all()
 
 
+def test_tokens():
+    texts = ["", " a\tB\x0ba ", "b" * 70_000, "é\x00 \x00é \u00a0", "a", "\n\n"]
+    chunk = ngrams.tokens([t.encode() for t in texts])
+    names, ids = {}, []
+    for t in texts:
+        ids += [names.setdefault(w, len(names)) for w in words_of(t)]
+    pairs = set(zip(ids, chunk.hashes[chunk.at].tolist()))
+    assert len(pairs) == len(names) == len(chunk.hashes)
+    assert chunk.begin.tolist() == np.cumsum([0, *(len(words_of(t)) for t in texts)]).tolist()
+
+
 def words_of(text):
     return [*(text or "").encode().lower().split(), b"\n"]
 
