@@ -3,8 +3,7 @@
 Words become template tokens: numbers, names (capitalised words) and units turn into typed placeholders, all others are
 lower-cased without punctuation at their ends.  Windows of template tokens are hashed on both sides and hash-joined, so a
 question whose numbers or names were changed still meets its benchmark item.  Names must be consistent: along one alignment, windows
-that contradict what a name mostly stands for don't count, and an alignment with a name that stands for several others equally often
-counts nothing.  Numbers and units are independent of each other.  Names are told by their capital letter, so windows of lower-cased
+that contradict what a name mostly stands for don't count.  Windows that are equal word for word always do.  Numbers and units are independent of each other.  Names are told by their capital letter, so windows of lower-cased
 words are joined too, and a window met by either counts.
 """
 
@@ -99,8 +98,8 @@ def slots(words: list[str], at: int, size: int) -> list[str]:
 def consistent(windows: list[dict]) -> tuple[list[int], int]:
     """(item windows that count, changed slots) of one alignment, whose ``windows`` have at, own and theirs.
 
-    A name stands for the value it meets in most places, itself on a tie; the same holds the other way round.  Windows that
-    contradict it go, those without a changed slot stay.
+    A name stands for the value it meets in most places, itself on a tie and none on a tie of others; the same holds the other way
+    round.  Windows that contradict it go, those without a changed slot stay.
     """
     places = {(w["at"] + int(own.split(" ", 1)[0]), own.split(" ", 1)[1], their.split(" ", 1)[1]) for w in windows for own, their in zip(w["own"], w["theirs"])}
     votes = Counter((own, their) for _, own, their in places if own.startswith(NAME + " "))
@@ -112,8 +111,6 @@ def consistent(windows: list[dict]) -> tuple[list[int], int]:
         for value, pairs in best[side].items():
             top = max(map(rank, pairs))
             best[side][value] = [p for p in pairs if rank(p) == top]
-    if any(len(pairs) > 1 for pairs in best[0].values()):
-        return [], 0
     wrong = {p for p in votes if p[0] != p[1] and not all(best[side][p[side]] == [p] for side in (0, 1))}
     ats, changed = set(), set()
     for w in windows:
