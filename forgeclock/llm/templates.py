@@ -10,7 +10,9 @@ words are joined too, and a window met by either counts.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ FILTER_BITS = 24
 
 def template(word: str) -> tuple[str, str]:
     """(template token, value): the value is what a placeholder stands for, else empty."""
-    core = _EDGE.sub("", word)
+    core = word if word.isalpha() else _EDGE.sub("", word)
     low = core.lower()
+    if low == core and core.isalpha():
+        return (NUMBER, low) if low in NUMBER_WORDS else (UNIT, low) if low in UNITS else (low, "")
     if _NUMBER.match(core) or low in NUMBER_WORDS:
         return NUMBER, low
     if low in UNITS:
@@ -57,35 +61,60 @@ def _hash(token: str, open_slot: bool) -> int:
 
 
 class _Words(dict):
-    """word -> (hash of its template token, hash of its literal token, 1 if lexical); emptied when it grows large."""
+    """word -> its place in ``columns``: hash of its template token, hash of its literal token, 1 if it is no placeholder."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
-        if len(self) > 400_000:
-            self.clear()
+    def __init__(self) -> None:
+        self.columns = array("Q"), array("Q"), array("Q")
+
+    def __missing__(self, word: str) -> int:
         token, value = template(word)
-        out = _hash(token, bool(value)), _hash(value or token, False), int(not value)
-        self[word] = out
-        return out
+        for column, x in zip(self.columns, (_hash(token, bool(value)), _hash(value or token, False), int(not value))):
+            column.append(x)
+        self[word] = place = len(self)
+        return place
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """The three columns for each word of a list."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.stack([np.array(c, np.uint64)[at] for c in self.columns])
+
+
+#: Words that a worker remembers over its batches, at most.
+REMEMBERED = 600_000
+
+
+@lru_cache(maxsize=1)
+def _remembered() -> list[_Words]:
+    return [_Words()]
 
 
-def word_table(text: str, words: _Words) -> np.ndarray:
-    return np.array([words[w] for w in text.split()], np.uint64).reshape(-1, 3)
+def _known() -> _Words:
+    """The worker's words, started anew when they are too many."""
+    held = _remembered()
+    if len(held[0]) > REMEMBERED:
+        held[0] = _Words()
+    return held[0]
 
 
-def window_hashes(table: np.ndarray, size: int, literal: bool, lexical: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the windows with at least ``lexical`` words that are no placeholder; all literal ones."""
-    n = len(table) - size + 1
+def window_hashes(table: np.ndarray, ends: np.ndarray, size: int, literal: bool, lexical: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the windows with at least ``lexical`` words that are no placeholder; all literal ones.
+
+    ``table`` has the words of one text after the other; ``ends``: for each word, where its text ends.  No window crosses texts.
+    """
+    n = table.shape[1] - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    token = table[:, 1 if literal else 0]
+    token = table[1 if literal else 0]
     out = np.full(n, size * 2 + literal, np.uint64)
     for j in range(size):
-        out = (out ^ token[j : j + n]) * _BASE
+        out ^= token[j : j + n]
+        out *= _BASE
         out ^= out >> np.uint64(31)
-    if literal:
-        return out, np.arange(n)
-    kept = np.concatenate([[0], np.cumsum(table[:, 2].astype(np.int64))])
-    at = np.nonzero(kept[size:] - kept[:-size] >= lexical)[0]
+    inside = np.arange(size, n + size) <= ends[:n]
+    if not literal:
+        kept = np.concatenate([[0], np.cumsum(table[2].astype(np.int64))])
+        inside &= kept[size:] - kept[:-size] >= lexical
+    at = np.nonzero(inside)[0]
     return out[at], at
 
 
@@ -138,23 +167,41 @@ _WINDOWS = pa.list_(
 )
 
 
+#: Bytes of text whose windows are made at a time; a longer text is worked on alone.
+CHUNK = 4 << 20
+
+
 def _windows(texts: pa.Array, modes: list[tuple[int, bool]], lexical: int, bits: np.ndarray | None) -> pa.Array:
-    words, out = _Words(), []
+    """Windows of each text; with ``bits`` those only that may be some item's."""
+    out, held, size = [], [], 0
     for text in as_text(texts):
-        rows, parts, tokens = [], None, word_table(text, words)
-        for size, literal in modes:
-            hashes, at = window_hashes(tokens, size, literal, lexical)
-            total = len(hashes)
-            if bits is not None and total:
-                spot = hashes >> np.uint64(64 - FILTER_BITS)
-                hit = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                hashes, at = hashes[hit], at[hit]
-            if len(hashes):
-                parts = parts or text.split()
-                for h, p in zip(signed(hashes).tolist(), at.tolist()):
-                    rows.append({"h": h, "pos": p, "slots": [] if literal else slots(parts, p, size), "n": total})
-        out.append(rows)
-    return pa.array(out, _WINDOWS)
+        held.append(text.split())
+        size += len(text)
+        if size >= CHUNK:
+            out += _chunk_windows(held, modes, lexical, bits)
+            held, size = [], 0
+    return pa.array(out + _chunk_windows(held, modes, lexical, bits), _WINDOWS)
+
+
+def _chunk_windows(texts: list[list[str]], modes: list[tuple[int, bool]], lexical: int, bits: np.ndarray | None) -> list[list[dict]]:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    table = _known().table([w for t in texts for w in t])
+    ends = np.repeat(starts + sizes, sizes)
+    rows: list[list[dict]] = [[] for _ in texts]
+    for size, literal in modes:
+        hashes, at = window_hashes(table, ends, size, literal, lexical)
+        if bits is None:
+            totals = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(texts))
+        else:
+            spot = hashes >> np.uint64(64 - FILTER_BITS)
+            hit = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hashes, at, totals = hashes[hit], at[hit], None
+        which = np.searchsorted(starts, at, "right") - 1  # of texts that begin at one place, the last one has words
+        for k, h, p in zip(which.tolist(), signed(hashes).tolist(), (at - starts[which]).tolist()):
+            own = [] if literal else slots(texts[k], p, size)
+            rows[k].append({"h": h, "pos": p, "slots": own, "n": None if totals is None else int(totals[k])})
+    return rows
 
 
 def item_windows(size: int, lexical: int):
@@ -186,10 +233,12 @@ def _modes(benchmark: DataFrame, size: int, lexical: int) -> list[tuple[int, boo
 
     @F.arrow_udf("int")
     def mode(texts: pa.Array) -> pa.Array:
-        words, out = _Words(), []
+        out = []
         for text in as_text(texts):
-            many = min(size, len(text.split()))
-            typed = many and len(window_hashes(word_table(text, words), many, False, min(lexical, many))[0])
+            parts = text.split()
+            many = min(size, len(parts))
+            ends = np.full(len(parts), len(parts))
+            typed = many and len(window_hashes(_known().table(parts), ends, many, False, min(lexical, many))[0])
             out.append(2 * many + (0 if typed else 1))
         return pa.array(out, pa.int32())
 
