@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,26 +38,30 @@ def _own_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/forgeclock/{spark.sparkContext.applicationId}"
 
 
-_scopes: list[list[str]] = []
+#: Folders made in the open scopes of this thread of work, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared root that no other run uses."""
     path = f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
-    for scope in _scopes:
-        scope.append(path)
+    if open_scopes := _scopes.get():
+        open_scopes[-1].append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables that are written inside are deleted at the end; results must be stored before."""
+    """Intermediate tables that are written inside are deleted at the end; results must be stored before.
+
+    Only what this thread writes, and the threads that :func:`together` starts for it; other jobs of the session keep theirs.
+    """
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scopes.reset(token)
         for path in paths:
             _delete(spark, path)
 
@@ -71,13 +76,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nobody reads any more."""
+    for df in stored:
+        _delete(df.sparkSession, df.stored_at)
 
 
 def together(work: Callable[[str], object], names: list[str]) -> dict:
     """Submit one Spark job chain per table at once; the cluster shares its slots."""
+    contexts = [copy_context() for _ in names]
     with ThreadPoolExecutor(len(names)) as pool:
-        return dict(zip(names, pool.map(work, names)))
+        return dict(zip(names, pool.map(lambda context, name: context.run(work, name), contexts, names)))
 
 
 def drop_intermediate(spark: SparkSession) -> None:
