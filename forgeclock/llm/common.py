@@ -81,3 +81,34 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def unsigned(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64, copy=False).view(np.uint64)
+
+
+#: Bits of a filter of keys: a fixed 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bit set of the first bits of a column ``h`` of hashes; its size is fixed, so at most 2^18 rows are collected."""
+    spot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    word = F.shiftright(spot, 6).alias("word")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int")).alias("mask")
+    rows = keys.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among the keys; False is certain."""
+    spot = hashes >> np.uint64(64 - FILTER_BITS)
+    return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def may_hold(bits: np.ndarray):
+    """Column function: hash -> whether it may be among the filter's keys."""
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        return pa.array(passes(bits, unsigned(hashes.to_numpy(zero_copy_only=False))))
+
+    return may

@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeclock.llm.common import as_bytes, share_of_hash, signed, text_key, unsigned
+from forgeclock.llm.common import as_bytes, key_filter, may_hold, share_of_hash, signed, text_key, unsigned
 from forgeclock.llm.components import components
-from forgeclock.shared import materialise
+from forgeclock.shared import discard, materialise
 
 SEED = 42
 BLOCK, CHECK_BITS, RADIUS = 23, 11, 3
@@ -322,40 +322,44 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough; only sets in a pair are built."""
+    """The pairs (a, b) whose exact Jaccard similarity is high enough, stored; only sets in a pair are built."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = materialise(sets_of(ids), "sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both >= similarity * (F.size("sa") + F.size("sb") - both) - EPS
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+    out = materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
+    discard(sets)
+    return out
 
 
-def similar_groups(marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(node, root) of the sets in ``marks`` (id, n, rare) that links of at least this similarity join with others.
+def similar_groups(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, root) of the sets in ``keyed`` (id, n, rare) that links of at least this similarity join with others; ids are distinct.
 
     First all sets with a shingle in common are compared with one of them, so groups of near copies come together without all
     their pairs; then, per shingle, every pair of sets that are still apart is.
     """
-    spread = marks.select("id", "n", F.posexplode("rare").alias("pos", "s"))
+    spread = keyed.select("id", "n", F.posexplode("rare").alias("pos", "s"))
     shared = spread.groupBy("s").count().where("count > 1").select("s")
-    met = materialise(spread.join(shared, "s").distinct(), "met")
-    heads = met.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = materialise(met.join(heads.select("s", "least"), "s"), "members")
-    others, head = members.where("id != least"), members.where("id = least").select("s", "id", "n", "pos")
-    star = materialise(_pairs(others.alias("x").join(head.alias("y"), "s"), similarity), "star")
-    near = materialise(_similar(star, sets_of, similarity), "near")
+    met = materialise(spread.join(shared, "s"), "met")
+    head = met.groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("s", "h.*")
+    star = met.alias("x").join(head.alias("y"), "s").where("x.id != y.id")
+    star = materialise(_pairs(star, similarity), "star")
+    near = _similar(star, sets_of, similarity)
 
     root = components(near).select(F.col("node").alias("id"), "root")
-    placed = members.join(root, "id", "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    placed = met.join(root, "id", "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     placed = materialise(placed, "placed")
+    discard(met)
     apart = placed.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    placed = materialise(placed.join(apart.select("s"), "s"), "apart")
-    roots = placed.select("s", "root").distinct()
+    between = materialise(placed.join(apart.select("s"), "s", "left_semi"), "apart")
+    discard(placed)
+    roots = between.select("s", "root").distinct()
     cross = roots.select("s", F.col("root").alias("ra")).join(roots.select("s", F.col("root").alias("rb")), "s").where("ra < rb")
-    met = cross.join(placed.withColumnRenamed("root", "ra").alias("x"), ["s", "ra"])
-    met = met.join(placed.withColumnRenamed("root", "rb").alias("y"), ["s", "rb"])
+    met = cross.join(between.withColumnRenamed("root", "ra").alias("x"), ["s", "ra"])
+    met = met.join(between.withColumnRenamed("root", "rb").alias("y"), ["s", "rb"])
     rest = materialise(_pairs(met, similarity).join(star, ["a", "b"], "left_anti"), "rest")
+    discard(between)
     return components(materialise(near.unionByName(_similar(rest, sets_of, similarity)), "links"))
 
 
@@ -365,33 +369,37 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     Two texts link if the sets of their ``words``-word shingles (as 64-bit hashes) have Jaccard ``similarity`` or more, whatever
     their length; no pair is missed.  Groups are connected components.  All columns stay as they are.  Repeated rows and null
     ids: one row of a group stays, a null id only if no other exists.  Texts without words form one group; null counts as empty.
+    Rows that surely stay are told by a filter and are not shuffled.
     """
     rows = docs.select(F.struct("*").alias("row"))
-    key = [F.col("row.doc_id").alias("doc_id"), text_key(F.col("row.text")).alias("th")]
-    texts = rows.select(*key, F.col("row.text").alias("text"))
+    doc_id, th = F.col("row.doc_id"), text_key(F.col("row.text"))
+    named = [doc_id.alias("doc_id"), th.alias("th"), F.xxhash64(doc_id, th).alias("h")]
+    texts = rows.select(*named, F.col("row.text").alias("text"))
     first = first_shingles(words, similarity, common_shingles(texts, words))
-    marks = materialise(texts.select("doc_id", "th", first("text").alias("m")).select("doc_id", "th", "m.*"), "marks")
+    marks = materialise(texts.select("doc_id", "th", "h", first("text").alias("m")).select("doc_id", "th", "h", "m.*"), "marks")
+    one = F.min(F.struct("h", "th")).alias("one")
+    keyed = materialise(marks.groupBy("id").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare")), "keyed")
+    narrow = materialise(marks.select("doc_id", "th", "h", "id"), "narrow")
+    discard(marks)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = marks.join(ids, "id").groupBy("id").agg(F.min("th").alias("th"))
-        some = marks.join(chosen, ["id", "th"]).groupBy("id", "th").agg(F.min("doc_id").alias("doc_id")).alias("c")
-        same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th"))
-        return texts.alias("t").join(some, same).select("c.id", "t.text").dropDuplicates(["id"]).select("id", shingles(words)("text").alias("s"))
-
-    member = similar_groups(marks, sets_of, similarity).select(F.col("node").alias("id"), "root")
-    grouped = marks.select("doc_id", "th", "id").join(member, "id", "left")
-    stays = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
-    )
-    copies = grouped.groupBy("doc_id", "th").agg(F.count("*").alias("copies"))
-    same = F.col("best.doc_id").eqNullSafe(copies["doc_id"]) & (F.col("best.th") == copies["th"])
-    chosen = materialise(stays.join(copies, same).select("best.doc_id", "best.th", "copies"), "chosen")
-    c = chosen.alias("c")
-    met = rows.select("row", *key).alias("d").join(
-        c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th"))
-    )
-    once = met.where("copies = 1").select("row.*")
-    if chosen.where("copies > 1").isEmpty():
-        return once
-    again = met.where("copies > 1").select("d.doc_id", "d.th", "row").dropDuplicates(["doc_id", "th"]).select("row.*")
-    return once.unionByName(again)
+        chosen = materialise(keyed.join(ids, "id", "left_semi").select("id", "one.h", "one.th"), "asked")
+        some = texts.where(may_hold(key_filter(chosen))(F.col("h"))).select("h", "th", shingles(words)("text").alias("s"))
+        return some.join(chosen, ["h", "th"]).select("id", "s").dropDuplicates(["id"])
+
+    member = similar_groups(keyed, sets_of, similarity).select(F.col("node").alias("id"), "root")
+    grouped = narrow.join(member, "id", "left").select("doc_id", "th", "h", F.coalesce("root", "id").alias("root"))
+    grouped = materialise(grouped, "grouped")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "h")).alias("best")
+    stays = grouped.groupBy("root").agg(best).select("best.h", "best.th", F.lit(True).alias("stays"))
+    copies = grouped.groupBy("h", "th").agg(F.count("*").alias("copies"))
+    told = copies.join(stays, ["h", "th"], "left").where("stays IS NULL OR copies > 1")
+    told = materialise(told, "told")
+    discard(keyed, narrow, grouped)
+    may = may_hold(key_filter(told))(F.col("h"))
+    asked = rows.select("row", *named[1:]).withColumn("may", may)
+    sure = asked.where(~F.col("may")).select("row.*")
+    doubtful = asked.where("may").join(told, ["h", "th"], "left").where("copies IS NULL OR stays")
+    once = doubtful.where("copies IS NULL").select("row.*")
+    again = doubtful.where("copies > 1").dropDuplicates(["h", "th"]).select("row.*")
+    return sure.unionByName(once).unionByName(again)

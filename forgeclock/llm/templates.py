@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeclock.llm.common import as_text, signed, text_key
+from forgeclock.llm.common import as_text, key_filter, passes, signed, text_key
 from forgeclock.shared import materialise
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
@@ -34,8 +34,6 @@ _EDGE = re.compile(r"^[^\w$€£+\-]+|[^\w%]+$")
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?$")
 _MEASURE = re.compile(r"[+\-]?\d[\d.,]*([^\W\d_]+)$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the filter that keeps windows of no benchmark item from being shuffled: a fixed 2 MB, whatever the benchmark's size.
-FILTER_BITS = 24
 
 
 def template(word: str) -> tuple[str, str]:
@@ -194,8 +192,7 @@ def _chunk_windows(texts: list[list[str]], modes: list[tuple[int, bool]], lexica
         if bits is None:
             totals = np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(texts))
         else:
-            spot = hashes >> np.uint64(64 - FILTER_BITS)
-            hit = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = passes(bits, hashes)
             hashes, at, totals = hashes[hit], at[hit], None
         which = np.searchsorted(starts, at, "right") - 1  # of texts that begin at one place, the last one has words
         for k, h, p in zip(which.tolist(), signed(hashes).tolist(), (at - starts[which]).tolist()):
@@ -247,17 +244,6 @@ def _modes(benchmark: DataFrame, size: int, lexical: int) -> list[tuple[int, boo
     return sorted(needed | {(many, True) for many, _ in needed})
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
-    """Bit set of the benchmark's window hashes; its size is fixed, so at most 2^18 rows are collected."""
-    spot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    word = F.shiftright(spot, 6).alias("word")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int")).alias("mask")
-    rows = windows.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def leaks(
     docs: DataFrame, benchmark: DataFrame, size: int = 8, lexical: int = 4, coverage: float = 0.5
 ) -> DataFrame:
@@ -269,7 +255,7 @@ def leaks(
     """
     cut = benchmark.select("item_id", F.explode(item_windows(size, lexical)("text")).alias("w"))
     items = materialise(cut.select("item_id", "w.h", F.col("w.pos").alias("at"), F.col("w.slots").alias("own"), "w.n"), "items")
-    modes, bits = _modes(benchmark, size, lexical), _filter(items)
+    modes, bits = _modes(benchmark, size, lexical), key_filter(items)
 
     @F.arrow_udf("array<struct<h: bigint, pos: bigint, slots: array<string>, n: bigint>>")
     def windows(texts: pa.Array) -> pa.Array:
