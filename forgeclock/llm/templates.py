@@ -78,7 +78,7 @@ class _Words(dict):
 
 
 #: Words that a worker remembers over its batches, at most.
-REMEMBERED = 600_000
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -166,7 +166,7 @@ _WINDOWS = pa.list_(
 
 
 #: Bytes of text whose windows are made at a time; a longer text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _windows(texts: pa.Array, modes: list[tuple[int, bool]], lexical: int, bits: np.ndarray | None) -> pa.Array:
