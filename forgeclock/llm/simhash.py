@@ -268,6 +268,23 @@ def shingles(words: int):
     return distinct
 
 
+def set_key(found: np.ndarray) -> int:
+    """Key of a sorted set of shingles."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def keyed_shingles(words: int):
+    """Column function: text -> its distinct shingles ``s`` and their key ``id``."""
+
+    @F.arrow_udf("struct<id: bigint, s: array<bigint>>")
+    def keyed(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, words) for t in as_bytes(texts)]
+        ids = signed(np.array([set_key(x) for x in sets], np.uint64))
+        return pa.StructArray.from_arrays([pa.array(ids), pa.array([signed(x) for x in sets], pa.list_(pa.int64()))], names=["id", "s"])
+
+    return keyed
+
+
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, count), sorted: at most ``COMMON`` of the shingles that a sixteenth of the texts has twice or more.
 
@@ -298,7 +315,7 @@ def first_shingles(words: int, similarity: float, common: tuple[np.ndarray, np.n
         ids, sizes, rare = [], [], []
         for text in as_bytes(texts):
             found = shingle_set(text, words)
-            ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            ids.append(set_key(found))
             sizes.append(len(found))
             if len(known) and len(found):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -322,15 +339,13 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough, stored; only sets in a pair are built."""
+    """The pairs (a, b) whose exact Jaccard similarity is high enough, stored; only sets in a pair are built, and dealt by their keys once."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(sets_of(ids), "sets")
+    sets = sets_of(ids)
     left, right = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both >= similarity * (F.size("sa") + F.size("sb") - both) - EPS
-    out = materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
-    discard(sets)
-    return out
+    return materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
 
 
 def similar_groups(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -377,15 +392,15 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     texts = rows.select(*named, F.col("row.text").alias("text"))
     first = first_shingles(words, similarity, common_shingles(texts, words))
     marks = materialise(texts.select("doc_id", "th", "h", first("text").alias("m")).select("doc_id", "th", "h", "m.*"), "marks")
-    one = F.min(F.struct("h", "th")).alias("one")
-    keyed = materialise(marks.groupBy("id").agg(one, F.first("n").alias("n"), F.first("rare").alias("rare")), "keyed")
+    keyed = marks.groupBy("id").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("rare").alias("rare"))
+    keyed = materialise(keyed, "keyed")
     narrow = materialise(marks.select("doc_id", "th", "h", "id"), "narrow")
     discard(marks)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = materialise(keyed.join(ids, "id", "left_semi").select("id", "one.h", "one.th"), "asked")
-        some = texts.where(may_hold(key_filter(chosen))(F.col("h"))).select("h", "th", shingles(words)("text").alias("s"))
-        return some.join(chosen, ["h", "th"]).select("id", "s").dropDuplicates(["id"])
+        chosen = keyed.join(ids, "id", "left_semi").select("h")
+        some = texts.where(may_hold(key_filter(chosen))(F.col("h"))).select(keyed_shingles(words)("text").alias("m"))
+        return some.select("m.id", "m.s").dropDuplicates(["id"])
 
     member = similar_groups(keyed, sets_of, similarity).select(F.col("node").alias("id"), "root")
     grouped = narrow.join(member, "id", "left").select("doc_id", "th", "h", F.coalesce("root", "id").alias("root"))
