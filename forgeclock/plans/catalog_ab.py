@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce, ids
 from forgeclock.operators import flatten, redact
 from forgeclock.plans import lens, published, raw_lens
 from forgeclock.plans.lens import over, table
-from forgeclock.shared import fresh_folder
+from forgeclock.shared import fresh_folder, materialise
 from forgeclock.sources import documents, lake, logs, sinks
+from forgeclock.sources.publication import Publication, union
 
 QUERIES = {}
 ORACLES = {}
@@ -233,62 +235,94 @@ _ALL = ("units", "sessions", "phases", "timeline", "unit_flags")
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _ALL)
 
 
-def counted(spark, paths):
-    out = None
-    for name, path in paths.items():
-        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+#: What a table holds, in figures that any lost, repeated or changed row moves: rows, and sums over its columns.
+_DIGEST = {
+    "units": ("round(sum(duration + started + finished), 2)", "sum(length(crate) + length(package_id)) + sum(index) + sum(coalesce(unblocked, 0))"),
+    "sessions": ("round(sum(cpu_busy_mean + coalesce(loadavg_mean, 0)), 3)", "sum(length(object_key)) + sum(events + units + jobs)"),
+    "phases": ("round(sum(wall_s), 2)", "sum(samples) + sum(length(phase) + length(crate)) + sum(rate_hz)"),
+    "timeline": ("round(sum(t + coalesce(cpu_pct, 0)), 2)", "sum(coalesce(active + waiting + inactive, 0))"),
+    "unit_flags": ("CAST(sum(length(flag)) AS DOUBLE)", "sum(length(value) + length(crate))"),
+}
 
 
-@query("a10_five_table_sink", over(*_ALL, body=_COUNTS))
+def _digest_sql(names, more="") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name{more}, count(*) AS n, CAST({_DIGEST[t][0]} AS DOUBLE) AS measures, CAST({_DIGEST[t][1]} AS BIGINT) AS texts FROM {t}"
+        for t in names
+    )
+
+
+def digested(tables, **more):
+    """Rows and sums of each table (name -> DataFrame)."""
+    out = []
+    for name, df in tables.items():
+        measures, texts = _DIGEST[name]
+        sums = df.agg(
+            F.count(F.lit(1)).alias("n"), F.expr(measures).cast("double").alias("measures"), F.expr(texts).cast("bigint").alias("texts")
+        )
+        out.append(sums.select(F.lit(name).alias("table_name"), *[F.lit(v).alias(k) for k, v in more.items()], "n", "measures", "texts"))
+    return union(out)
+
+
+def published_tables(made, names=_ALL):
+    return {t: made.table(t) for t in names}
+
+
+@query("a10_five_table_sink", over(*_ALL, body=_digest_sql(_ALL)))
 def a10(spark, sf):
-    folder = published_folder(spark, sf)
-    return counted(spark, {t: f"{folder}/{t}" for t in _ALL})
+    return digested(published_tables(Publication(spark, published_folder(spark, sf))))
 
 
-@query("a11_dated_snapshots", over(*_ALL, body=" UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '2026-01-31' AS day, count(*) AS n FROM {t}" for t in _ALL)))
+@query("a11_dated_snapshots", over(*_ALL, body=_digest_sql(_ALL, ", '2026-01-31' AS day")))
 def a11(spark, sf):
+    """The snapshot stays what it was when the tables are published anew with half of their builds."""
     folder = published_folder(spark, sf, "2026-01-31")
-    out = None
-    for t in _ALL:
-        snap = spark.read.parquet(f"{folder}/snapshots/{t}")
-        part = snap.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-        part = part.select(F.lit(t).alias("table_name"), "day", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    half = F.crc32(F.col("run_id")) % 2 == 0
+    sinks.write_tables({n: getattr(lens, n)(spark, sf).where(half) for n in _ALL}, folder, "2026-02-28")
+    made = Publication(spark, folder)
+    assert made.snapshot_days() == ["2026-01-31", "2026-02-28"]
+    return digested({t: made.snapshot(t, "2026-01-31") for t in _ALL}, day="2026-01-31")
 
 
-@query("a12_empty_table_rule", over("units", "sessions", "phases", "timeline", body="""
-    SELECT 'units' AS table_name, count(*) AS n FROM units UNION ALL SELECT 'sessions', count(*) FROM sessions
-    UNION ALL SELECT 'phases', count(*) FROM phases UNION ALL SELECT 'timeline', count(*) FROM timeline"""))
+@query("a12_empty_table_rule", over(*_ALL, body=_digest_sql(("sessions", "phases", "timeline")) + """
+    UNION ALL SELECT 'units', count(*), CAST(round(sum(duration + started + finished), 2) AS DOUBLE),
+      CAST(sum(length(crate) + length(package_id)) + sum(index) + sum(coalesce(unblocked, 0)) AS BIGINT) FROM units WHERE mode = 'R'"""))
 def a12(spark, sf):
-    """A second publication without optional rows leaves the optional tables as they were."""
+    """A second publication without optional rows, and with fewer units, leaves the optional tables as they were."""
     folder = published_folder(spark, sf)
-    nothing = F.lit(False)
     tables = {n: getattr(lens, n)(spark, sf) for n in _ALL}
     for name in ("phases", "timeline", "unit_flags"):
-        tables[name] = tables[name].where(nothing)
+        tables[name] = tables[name].where(F.lit(False))
+    tables["units"] = tables["units"].where("mode = 'R'")
     sinks.write_tables(tables, folder)
-    return counted(spark, {t: f"{folder}/{t}" for t in ("units", "sessions", "phases", "timeline")})
-
-
-def _manifest_oracle() -> str:
-    from forgeclock import schemas
-
-    rows = ", ".join(
-        f"('{name}', {i}, '{f.name}', '{f.dataType.simpleString()}')"
-        for name, struct in schemas.TABLES.items()
-        for i, f in enumerate(struct.fields)
-    )
-    return over(*_ALL, body=f"""SELECT m.table_name, c.n AS rows, m.position, m."column", m.type
-        FROM (VALUES {rows}) AS m(table_name, position, "column", type) JOIN ({_COUNTS}) c ON c.table_name = m.table_name""")
-
-
-@query("a13_schema_manifest", _manifest_oracle())
+    return digested(published_tables(Publication(spark, folder), ("units", "sessions", "phases", "timeline")))
+
+
+#: The published columns and their types, written out so that the manifest is compared with something of its own.
+_COLUMNS = {
+    "units": "run_id string, index bigint, crate string, package string, mode string, package_id string, duration double, started double, "
+    "finished double, frontend double, codegen double, link double, unblocked bigint",
+    "sessions": "run_id string, object_key string, client string, schema bigint, timestamp string, rustc_version string, profile string, "
+    "jobs bigint, ci boolean, complete boolean, events bigint, units bigint, units_withheld bigint, sections bigint, machine_id string, "
+    "os string, arch string, cpu_model string, cpu_cores bigint, mem_gb bigint, loadavg_mean double, cpu_busy_mean double",
+    "phases": "run_id string, crate string, package string, crate_type string, thread string, phase string, samples bigint, wall_s double, "
+    "rate_hz bigint, sampler string",
+    "timeline": "run_id string, t double, active bigint, waiting bigint, inactive bigint, cpu_pct double",
+    "unit_flags": "run_id string, crate string, package string, crate_type string, flag string, value string",
+}
+_COLUMN_ROWS = ", ".join(
+    f"('{name}', {i}, '{column}', '{kind}')"
+    for name, columns in _COLUMNS.items()
+    for i, (column, kind) in enumerate(c.split() for c in columns.split(", "))
+)
+
+
+@query("a13_schema_manifest", over(*_ALL, body=f"""SELECT m.table_name, c.n AS rows, CAST(m.position AS INTEGER) AS position, m."column", m.type
+    FROM (VALUES {_COLUMN_ROWS}) AS m(table_name, position, "column", type) JOIN ({_COUNTS}) c ON c.table_name = m.table_name"""))
 def a13(spark, sf):
-    return sinks.manifest_rows(spark, published_folder(spark, sf))
+    folder = published_folder(spark, sf)
+    sinks.write_manifest(spark, folder)
+    return sinks.manifest_rows(spark, folder).drop("meaning")
 
 
 @query("a14_compaction_stats", f"""WITH d AS (SELECT o.*, fault FROM orders o JOIN ({_DAMAGE}) x
@@ -315,9 +349,9 @@ def a15(spark, sf):
 @query("a16_query_by_path", over("phases", body="""
     SELECT package, phase, sum(samples)::BIGINT AS samples FROM phases WHERE thread = 'serial' GROUP BY 1, 2"""))
 def a16(spark, sf):
-    folder = published_folder(spark, sf)
+    made = Publication(spark, published_folder(spark, sf))
     return spark.sql(
-        f"SELECT package, phase, sum(samples) AS samples FROM parquet.`{folder}/phases` "
+        f"SELECT package, phase, sum(samples) AS samples FROM parquet.`{made.path('phases')}` "
         "WHERE thread = 'serial' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2"
     )
 
@@ -400,19 +434,33 @@ def a17_payload(spark, sf):
 
 
 @query("a18_incremental_compaction", over("events", body="""
-    WITH reg AS (SELECT DISTINCT run_id, index FROM ev WHERE reason = 'unit-registered'),
-    runs AS (SELECT run_id, min(ts)::DATE AS d FROM ev GROUP BY 1)
+    WITH reg AS (SELECT run_id, index, max(pos) AS rp FROM ev WHERE reason = 'unit-registered' GROUP BY 1, 2),
+    fin AS (SELECT r.run_id, r.index, arg_max_null(f.elapsed, f.pos) AS finished FROM reg r
+      LEFT JOIN ev f ON f.run_id = r.run_id AND f.index = r.index AND f.pos > rp AND f.reason = 'unit-finished' GROUP BY 1, 2),
+    runs AS (SELECT run_id, min(ts)::DATE + CAST(any_value(user_id) % 4 AS INTEGER) AS d FROM ev GROUP BY 1)
     SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day,
-      count(*) AS units FROM reg JOIN runs USING (run_id) GROUP BY d"""))
+      count(*) AS units, count(DISTINCT run_id) AS builds, count(finished) AS finished, CAST(sum(finished) AS DOUBLE) AS finished_at
+    FROM fin JOIN runs USING (run_id) GROUP BY d"""))
 def a18(spark, sf):
-    """Three arrivals: a part of the odd days, the even days, and late documents of days published before."""
-    docs = raw_lens.built_documents(spark, sf)
+    """Builds in parts that lie on up to three days and arrive in any order: some parts early, others late, for days published before."""
+    docs = raw_lens.built_documents(spark, sf, part_events=40)
+    first = F.date_add(F.make_date("year", "month", "day"), (F.regexp_extract("object_key", r"u(\d+)", 1).cast("bigint") % 4).cast("int"))
+    # The part decides on which day it lies; the first of a build, on its own day, is always there.
+    later = F.date_add(first, F.when(F.col("part") == F.min("part").over(Window.partitionBy("object_key")), 0).otherwise((F.col("part") % 3).cast("int")))
+    docs = docs.select(F.concat("object_key", F.lit("-"), "part").alias("object_key"), "body", later.alias("lies"))
+    docs = docs.select("object_key", "body", *lake.date_columns(F.col("lies")))
     packed, out = fresh_folder(spark, "packed"), fresh_folder(spark, "published")
-    late = F.crc32("object_key") % 3 == 0
-    for arrived in (docs.where("day % 2 = 1").where(~late), docs.where("day % 2 = 0"), docs.where("day % 2 = 1").where(late)):
-        lake.pack(arrived, packed)
-        sinks.compact_new_days(lake.read_packed(spark, packed), out)
-    return spark.read.parquet(f"{out}/units").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("units"))
+    docs = materialise(docs, "parts")
+    arrival = F.crc32("object_key") % 3
+    for number in (1, 0, 2):
+        lake.pack(docs.where(arrival == number), packed)
+        sinks.compact_new_days(spark, packed, out)
+    made = Publication(spark, out)
+    assert made.days("sessions").groupBy("object_key").count().where("count > 1").isEmpty()
+    return made.days("units").groupBy("year", "month", "day").agg(
+        F.count(F.lit(1)).alias("units"), F.count_distinct("run_id").alias("builds"), F.count("finished").alias("finished"),
+        F.sum("finished").alias("finished_at"),
+    )
 
 
 # ------------------------------------------------------------------ B: redaction

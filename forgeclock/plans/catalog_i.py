@@ -8,6 +8,7 @@ from forgeclock.operators.ordered import exact_quantiles
 from forgeclock.plans import lens, raw_lens
 from forgeclock.plans.lens import over, table
 from forgeclock.shared import fresh_folder
+from forgeclock.sources.ledger import source_of
 from forgeclock.streaming import jobs
 
 QUERIES = {}
@@ -62,14 +63,23 @@ def i2(spark, sf):
     )
 
 
-@query("i3_single_delivery", "SELECT DISTINCT 'o' || l_orderkey AS run_id FROM lineitem")
+@query("i3_single_delivery", """
+    SELECT 'o' || l_orderkey AS run_id, CASE WHEN bool_or(l_linenumber % 2 = 1) THEN 'first' ELSE 'second' END AS stream
+    FROM lineitem GROUP BY l_orderkey
+    UNION ALL SELECT 'c' || c_custkey, 'second' FROM customer""")
 def i3(spark, sf):
-    """Two batches, each with lines of every order, so ids come again in the second."""
-    lines, arriving = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey) AS run_id"), fresh_folder(spark, "sends")
-    lines.repartition(2).write.parquet(arriving)
-    out, checkpoint = folders(spark, "delivery")
-    jobs.single_delivery(jobs.file_stream(spark, arriving, lines.schema, per_trigger=1), out, checkpoint)
-    return spark.read.parquet(out).select("run_id")
+    """Two streams with checkpoints of their own share a ledger; the second sends most ids of the first again, and new ones."""
+    lines = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey) AS run_id", "l_linenumber % 2 = 1 AS odd")
+    more = table(spark, sf, "customer").selectExpr("concat('c', c_custkey) AS run_id")
+    out = fresh_folder(spark, "delivery")
+    sources = {}
+    for name, sends in (("first", lines.where("odd").drop("odd")), ("second", lines.drop("odd").unionByName(more))):
+        arriving, checkpoint = fresh_folder(spark, "sends"), fresh_folder(spark, "checkpoint")
+        sends.repartition(2).write.parquet(arriving)
+        jobs.single_delivery(jobs.file_stream(spark, arriving, sends.schema, per_trigger=1), out, checkpoint)
+        sources[name] = source_of(spark, checkpoint)
+    stream = F.when(F.col("source") == sources["first"], "first").when(F.col("source") == sources["second"], "second")
+    return jobs.delivered(spark, out, sends.schema).select("run_id", stream.alias("stream"))
 
 
 @query("i4_load_windows", over("clicks", body="""

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgeclock import schemas
 from forgeclock.operators.ordered import with_share
+from forgeclock.sources.publication import Publication
 
 SQL = {
     "newest_sessions": """
@@ -55,6 +57,8 @@ def serial_phase_share(phases: DataFrame) -> DataFrame:
 
 
 def create_views(spark: SparkSession, folder: str) -> None:
-    """Temp views over the five Parquet tables of a published folder."""
-    for name in ("sessions", "units", "phases", "timeline", "unit_flags"):
-        spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name)
+    """Temp views over the tables of a published folder, as its newest state names them."""
+    made = Publication(spark, folder)
+    for name in schemas.TABLES:
+        if made.has(name):
+            made.table(name).createOrReplaceTempView(name)

@@ -66,8 +66,8 @@ def quarantine(ingested: DataFrame) -> DataFrame:
     return ingested.where("fault IS NOT NULL").select("object_key", "fault")
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Every object's key and size; contents are not read."""
+def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every object's key and size in one folder or several; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.col("path").alias("object_key"), "length")
 
@@ -95,12 +95,17 @@ def date_columns(ts):
     return [F.year(ts).alias("year"), F.month(ts).alias("month"), F.day(ts).alias("day")]
 
 
-def pending_objects(packed: DataFrame, done: DataFrame) -> DataFrame:
-    """(object_key, date columns) of documents that ``done`` doesn't list yet, whatever their day."""
-    keys = packed.select("object_key", *DATE_COLUMNS).distinct()
-    return keys.join(done.select("object_key", *DATE_COLUMNS), ["object_key", *DATE_COLUMNS], "left_anti")
+def on_days(raw: DataFrame, days: list[tuple[int, int, int]]) -> DataFrame:
+    """Documents of the given days; reaches the scan as partition filters."""
+    some = F.lit(False)
+    for day in days:
+        here = F.lit(True)
+        for name, value in zip(DATE_COLUMNS, day):
+            here = here & (F.col(name) == value)
+        some = some | here
+    return raw.where(some)
 
 
-def only_days(packed: DataFrame, days: DataFrame) -> DataFrame:
-    """Documents of the given days; the join prunes partitions at run time."""
-    return packed.join(days.select(*DATE_COLUMNS).distinct(), list(DATE_COLUMNS), "left_semi")
+def read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Some files of a packed lake, with the date columns of their folders."""
+    return spark.read.option("basePath", path).parquet(*files)

@@ -24,9 +24,14 @@ from forgeclock.sources import pointer
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, keys: StructType, buckets: int = 64, fanout: int = 8) -> None:
-        """``keys``: the key columns.  ``buckets`` is fixed by the first claim; later openings take it from the ledger's state."""
-        self.spark, self.path, self.keys, self.fanout = spark, path, keys, fanout
+    def __init__(
+        self, spark: SparkSession, path: str, keys: StructType, by: list[str] | None = None, buckets: int = 64, fanout: int = 8
+    ) -> None:
+        """``keys``: the key columns; ``by``: those that choose the bucket, all unless told.
+
+        ``buckets`` is fixed by the first claim; later openings take it from the ledger's state.
+        """
+        self.spark, self.path, self.keys, self.fanout, self.by = spark, path, keys, fanout, by or keys.names
         self.buckets = pointer.current(spark, path)[1].get("buckets", buckets)
         more = [StructField("source", StringType()), StructField("batch", LongType()), StructField("bucket", IntegerType())]
         self.schema = StructType([*keys.fields, *more])
@@ -42,9 +47,9 @@ class Ledger:
         rows.select(*self.schema.names).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return folder
 
-    def _same(self, left: str, right: str) -> Column:
+    def _same(self, left: str, right: str, names: list[str]) -> Column:
         out = F.col(f"{left}.bucket") == F.col(f"{right}.bucket")
-        for name in self.keys.names:
+        for name in names:
             out = out & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
         return out
 
@@ -60,16 +65,26 @@ class Ledger:
         """The distinct keys of ``rows`` that nobody has claimed; reads the runs' buckets of these keys only."""
         return self._unclaimed(self._keyed(rows), pointer.current(self.spark, self.path)[1].get("runs", [])).select(*self.keys.names)
 
-    def _keyed(self, rows: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*self.keys.names), F.lit(self.buckets)).cast("int").alias("bucket")
-        return materialise(rows.select(*self.keys.names).distinct().select("*", bucket), "asked")
+    def matching(self, rows: DataFrame) -> DataFrame:
+        """The claimed keys that agree with a row of ``rows`` in the columns ``by``; reads their buckets only."""
+        runs = pointer.current(self.spark, self.path)[1].get("runs", [])
+        asked = self._keyed(rows, self.by)
+        known = self._near(asked, runs).alias("k")
+        return known.join(asked.alias("a"), self._same("a", "k", self.by), "left_semi").select(*self.keys.names)
+
+    def _keyed(self, rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int").alias("bucket")
+        return materialise(rows.select(*(names or self.keys.names)).distinct().select("*", bucket), "asked")
+
+    def _near(self, asked: DataFrame, runs: list[dict]) -> DataFrame:
+        touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most all buckets
+        return self._read(runs).where(F.col("bucket").isin(touched))
 
     def _unclaimed(self, asked: DataFrame, runs: list[dict]) -> DataFrame:
         if not runs:
             return asked
-        touched = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most all buckets
-        known = self._read(runs).where(F.col("bucket").isin(touched))
-        return asked.alias("a").join(known.alias("k"), self._same("a", "k"), "left_anti")
+        known = self._near(asked, runs)
+        return asked.alias("a").join(known.alias("k"), self._same("a", "k", self.keys.names), "left_anti")
 
     def claim(self, rows: DataFrame, source: str, batch: int) -> DataFrame:
         """Record the keys of ``rows`` that nobody has claimed as claimed by this batch, and return them.

@@ -4,47 +4,48 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
 from forgeclock.shared import materialise, scratch, together
 from forgeclock.sources import lake
+from forgeclock.sources.ledger import Ledger
+from forgeclock.sources.publication import Publication, day_name, union
 
 
 class NoSessions(RuntimeError):
     """Nothing to publish: no document could be read."""
 
 
-def _written(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}")
-
-
 def write_tables(tables: dict[str, DataFrame], folder: str, day: str | None = None) -> dict[str, int]:
-    """Overwrite the published tables and return their row counts.
+    """Publish new versions of the tables, all at once, and return their row counts.
 
-    No sessions: nothing is written.  An optional table without rows is left as it
-    was.  With ``day`` a snapshot is copied from what was just written.
+    No sessions: nothing is published.  An optional table without rows stays as it was.  With ``day`` the tables that count
+    then are a snapshot of that name.  A run that fails before the end changes nothing that is published.
     """
     spark = tables["sessions"].sparkSession
     if tables["sessions"].isEmpty():
         raise NoSessions("no session could be read; published tables left unchanged")
+    made = Publication(spark, folder)
 
-    def publish(name: str) -> int:
+    def write(name: str) -> int:
         struct = schemas.TABLES[name]
         table = tables[name].select(*[F.col(f.name).cast(f.dataType) for f in struct.fields])
         if name in schemas.OPTIONAL_TABLES and table.isEmpty():
             return 0
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
-        done = _written(spark, folder, name)
-        if day:
-            done.write.mode("overwrite").parquet(f"{folder}/snapshots/{name}/day={day}")
-        return done.count()
+        table.write.parquet(made.draft(name))
+        return spark.read.schema(struct).parquet(made.path(name, made.next)).count()
 
-    return together(publish, list(schemas.TABLES))
+    counts = together(write, list(schemas.TABLES))
+    left = {n for n in schemas.OPTIONAL_TABLES if not counts[n]}
+    made.commit(tables={n: made.next for n in schemas.TABLES if n not in left}, snapshot=day)
+    return counts
 
 
 def manifest(version: int = schemas.SCHEMA_VERSION) -> dict:
@@ -56,7 +57,10 @@ def manifest(version: int = schemas.SCHEMA_VERSION) -> dict:
             name: {
                 "grain": schemas.GRAIN[name],
                 "caution": schemas.CAUTION[name],
-                "columns": {f.name: {"type": f.dataType.simpleString(), "meaning": f.metadata["comment"]} for f in struct},
+                "columns": {
+                    f.name: {"position": i, "type": f.dataType.simpleString(), "meaning": f.metadata["comment"]}
+                    for i, f in enumerate(struct)
+                },
             }
             for name, struct in schemas.TABLES.items()
         },
@@ -72,26 +76,20 @@ def write_manifest(spark: SparkSession, folder: str, source: str | None = None)
     )
 
 
+#: Fixed value: the manifest's tables as they are read back.
+_MANIFEST = "struct<version: int, tables: map<string, struct<grain: string, caution: string, columns: map<string, struct<position: int, type: string, meaning: string>>>>>"
+
+
 def manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The manifest of a published folder as rows, from the tables as written."""
-    frames = []
-    for name in schemas.TABLES:
-        written = spark.read.parquet(f"{folder}/{name}")
-        columns = F.array(
-            *[
-                F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"))
-                for i, f in enumerate(written.schema.fields)
-            ]
-        )
-        frames.append(
-            written.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(name).alias("table_name"), "rows", F.inline(columns)
-            )
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """(table_name, rows, position, column, type, meaning): the manifest that lies in a published folder, with the published row counts."""
+    text = spark.read.text(f"{folder}/schema/v{schemas.SCHEMA_VERSION}", wholetext=True)
+    tables = text.select(F.explode(F.from_json("value", _MANIFEST)["tables"]).alias("table_name", "t"))
+    said = tables.select("table_name", F.explode("t.columns").alias("column", "c")).select("table_name", "column", "c.*")
+    made = Publication(spark, folder)
+    counts = [
+        made.table(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in schemas.TABLES if made.has(n)
+    ]
+    return said.join(union(counts), "table_name").select("table_name", "rows", "position", "column", "type", "meaning")
 
 
 def compact(raw: DataFrame, folder: str, day: str | None = None, source: str | None = None) -> DataFrame:
@@ -111,7 +109,8 @@ def compact(raw: DataFrame, folder: str, day: str | None = None, source: str | N
         ).first()
     size = F.coalesce(F.sum("length"), F.lit(0))
     listed, stored = lake.listing(spark, source).agg(F.count(F.lit(1)), size).first() if source else (read[0], None)
-    (written,) = lake.listing(spark, folder).agg(size).first()
+    made = Publication(spark, folder)
+    (written,) = lake.listing(spark, [made.path(n) for n in schemas.TABLES if made.has(n)]).agg(size).first()
     row = {
         "sessions": counts["sessions"],
         "units": counts["units"],
@@ -128,45 +127,88 @@ def compact(raw: DataFrame, folder: str, day: str | None = None, source: str | N
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} BIGINT" for k in row))
 
 
-def compact_new_days(packed: DataFrame, folder: str) -> list[tuple[int, int, int]]:
-    """Flatten every day that has documents not published yet, each into its own partition.
+_OBJECTS = StructType([StructField("path", StringType())])
+_PARTS = StructType(
+    [StructField("build", StringType()), StructField("raw_key", StringType()), *(StructField(c, IntegerType()) for c in lake.DATE_COLUMNS)]
+)
+
+
+def _shaped(raw: DataFrame) -> DataFrame:
+    """Well-formed documents with the key they have in the lake beside that of their build."""
+    return lake.well_formed(lake.ingest(raw.withColumn("raw_key", F.col("object_key"))))
+
 
-    ``objects`` lists the documents done, by key, so one that arrives late for a published day brings that day up
-    again.  It is written last: a run that fails is simply repeated.  The days touched are returned; the calendar
-    bounds them.
+def _days(rows: DataFrame, name: str = "day") -> list[tuple[int, int, int]]:
+    """Distinct days of a struct column; the calendar bounds them."""
+    return sorted(tuple(r[0]) for r in rows.select(name).where(F.col(name).isNotNull()).distinct().collect())
+
+
+def compact_new_days(spark: SparkSession, packed: str, folder: str) -> list[tuple[int, int, int]]:
+    """Flatten every day that has files not published yet, each into its own partition, and publish them at once.
+
+    ``packed`` is the folder of a packed lake.  ``objects`` is the ledger of the files done, so a file that arrives late for a
+    published day brings that day up again, and a run reads new files and the days they touch only.  A build in parts
+    belongs to the earliest day that any of its parts lies on, its home: ``builds`` tells where the parts of a build lie.  A
+    part that comes later, on whatever day, brings up the home day again, and the day that was home before.  The file
+    ledger is written last: a run that fails is simply repeated.  The days touched are returned.
     """
-    spark = packed.sparkSession
-    keys = list(lake.DATE_COLUMNS)
-    path = f"{folder}/objects"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    fields = "object_key STRING, " + ", ".join(f"{k} INT" for k in keys)
-    done = spark.read.schema(fields).parquet(path) if exists else spark.createDataFrame([], fields)
-    new = materialise(lake.pending_objects(packed, done), "pending")
-    days = materialise(new.select(*keys).distinct(), "days")
-    if days.isEmpty():
+    date = F.struct(*lake.DATE_COLUMNS)
+    objects, parts = Ledger(spark, f"{folder}/objects", _OBJECTS), Ledger(spark, f"{folder}/builds", _PARTS, by=["build"])
+    made = Publication(spark, folder)
+    listed = lake.listing(spark, packed).select(F.col("object_key").alias("path"))
+    new = materialise(objects.unclaimed(listed), "pending")
+    files = [r["path"] for r in new.collect()]  # Spark's own file index of the scan holds as many
+    if not files:
         return []
-    good = lake.well_formed(lake.ingest(lake.only_days(packed, days)))
+    with scratch(spark):
+        arrived = _shaped(lake.read_files(spark, packed, files))
+        split = arrived.where(flatten.split_build()).select(F.col("object_key").alias("build"), "raw_key", *lake.DATE_COLUMNS)
+        split = materialise(split.distinct(), "split")
+
+        def homes(builds: DataFrame) -> DataFrame:
+            return parts.matching(builds).groupBy("build").agg(F.min(date).alias("home"))
+
+        touched = {*_days(homes(split), "home"), *_days(arrived.where(~flatten.split_build()).select(date.alias("day")))}
+        parts.claim(split, f"compaction {uuid.uuid4().hex}", 0)
+        days = sorted({*touched, *_days(homes(split), "home")})
+        tables = _tables_of(spark, packed, days, parts) if days else {}
+
+        def write(name: str) -> dict[str, str | None]:
+            found = made.write_days(name, tables[name], schemas.TABLES[name].names)
+            return {day_name(d): made.next if day_name(d) in found else None for d in days}
+
+        if days:
+            made.commit(days=together(write, list(tables)))
+        objects.claim(new, f"compaction {uuid.uuid4().hex}", 0)
+    return days
+
+
+def _tables_of(spark: SparkSession, packed: str, days: list[tuple[int, int, int]], parts: Ledger) -> dict[str, DataFrame]:
+    """The five tables of some days: documents that lie there as wholes, and the builds in parts that are at home there."""
+    keys, date = list(lake.DATE_COLUMNS), F.struct(*lake.DATE_COLUMNS)
+    at_home = F.lit(False)
+    for day in days:
+        at_home = at_home | (F.col("home") == F.struct(*[F.lit(x).alias(c) for x, c in zip(day, keys)]))
+    raw = lake.read_packed(spark, packed)
+    here = _shaped(lake.on_days(raw, days))
+    whole = here.where(~flatten.split_build())
+    builds = here.where(flatten.split_build()).select(F.col("object_key").alias("build"))
+    lie = materialise(parts.matching(builds), "lie")
+    home = lie.groupBy("build").agg(F.min(date).alias("home")).where(at_home)
+    own = lie.join(materialise(home, "home"), "build")
+    elsewhere = own.select("raw_key", *keys).distinct()
+    needed = sorted({*_days(own.select(date.alias("day"))), *days})
+    wanted = lake.on_days(raw, needed).withColumnRenamed("object_key", "raw_key").join(elsewhere, ["raw_key", *keys], "left_semi")
+    pieces = _shaped(wanted.withColumnRenamed("raw_key", "object_key")).where(flatten.split_build())
+    homes = home.select(F.col("build").alias("object_key"), *[F.col(f"home.{c}").alias(c) for c in keys])
+    pieces = pieces.drop(*keys).join(homes, "object_key")
+    good = materialise(whole.unionByName(pieces.select(*whole.columns)).drop("raw_key"), "days")
     dated = good.select("object_key", *keys).distinct()
     units = flatten.unit_rows(materialise(flatten.event_rows(good), "events")).join(dated, "object_key")
-    tables = {
+    return {
         "units": units.select(*schemas.UNITS.names, *keys),
         "phases": flatten.phases_table(good, keys),
         "timeline": flatten.timeline_table(good, keys),
         "unit_flags": flatten.unit_flags_table(good, keys),
         "sessions": flatten.sessions_table(good, keys),
     }
-
-    def replace(name: str) -> None:
-        (
-            tables[name]
-            .hint("rebalance", *keys)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys)
-            .parquet(f"{folder}/{name}")
-        )
-
-    together(replace, list(tables))
-    new.write.mode("append").parquet(path)
-    return sorted(tuple(r) for r in days.collect())

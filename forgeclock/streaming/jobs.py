@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
 from forgeclock.operators.ordered import exact_quantiles
 from forgeclock.shared import materialise, scratch, together
-from forgeclock.sources import lake
+from forgeclock.sources import lake, pointer
+from forgeclock.sources.ledger import Ledger, source_of
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -53,21 +55,39 @@ def drain_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+_BUILD = StructType([StructField("object_key", StringType())])
+
+
 def streaming_compaction(packed: DataFrame, out: str, checkpoint: str) -> None:
     """Flatten arriving documents (object_key, body) into the five tables.
 
-    A document that holds its whole build is flattened at once.  Parts of split builds are kept shaped and put together when
-    the tables are read, in whatever batches they come.  Malformed documents go to ``quarantine``, and every batch
-    leaves a row of ``statistics``.  A batch writes its own partition with overwrite, so a batch that is
-    run again after a failure replaces itself.
+    A document that holds its whole build is flattened at once.  Parts of split builds wait, shaped, until their build has
+    all its parts, and are flattened with the batch that brings the last one; a ledger of finished builds keeps parts
+    that are sent again from starting anew.  Only what still waits is written again by the next batch.  Malformed documents go to
+    ``quarantine``, and every batch leaves a row of ``statistics``.  A batch reads what the batch before it left
+    and writes its own partition with overwrite, so a batch that is run again after a failure replaces itself.
     """
+    spark = packed.sparkSession
 
     def work(batch: DataFrame, number: int) -> None:
-        with scratch(batch.sparkSession):
+        with scratch(spark):
             ingested = lake.ingest(batch)
             good = lake.well_formed(ingested)
-            tables = flatten.five_tables(good.where(~flatten.split_build()))
-            tables["parts"] = good.where(flatten.split_build())
+            ledger, source = Ledger(spark, f"{out}/builds", _BUILD), source_of(spark, checkpoint)
+            parts = good.where(flatten.split_build())
+            if number and pointer.exists(spark, f"{out}/waiting/batch={number - 1}"):
+                parts = parts.unionByName(spark.read.schema(parts.schema).parquet(f"{out}/waiting/batch={number - 1}"))
+            # Finished by another batch than this one: what this one finished, in an earlier attempt, is finished again.
+            mine = (F.col("source") == source) & (F.col("batch") == number)
+            over = ledger.all().where(~mine).select("object_key")
+            parts = materialise(parts.join(over, "object_key", "left_anti"), "parts")
+            counted = parts.groupBy("object_key").agg(F.count_distinct("head.part").alias("n"), F.max("head.parts").alias("parts"))
+            ready = materialise(counted.where("n >= parts").select("object_key"), "ready")
+            done = parts.join(ready, "object_key", "left_semi")
+            once = done.withColumn("__part", F.col("head.part")).dropDuplicates(["object_key", "__part"]).drop("__part")
+            whole = good.where(~flatten.split_build()).unionByName(once.select(*good.columns))
+            tables = flatten.five_tables(materialise(whole, "whole"))
+            tables["waiting"] = parts.join(ready, "object_key", "left_anti")
             tables["quarantine"] = lake.quarantine(ingested)
             tables["statistics"] = ingested.agg(
                 F.count(F.lit(1)).alias("objects"),
@@ -79,14 +99,18 @@ def streaming_compaction(packed: DataFrame, out: str, checkpoint: str) -> None:
                 tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
             together(write, list(tables))
+            ledger.claim(ready, source, number)
+            if number > 1:
+                pointer.delete(spark, f"{out}/waiting/batch={number - 2}")
 
     drain_batches(packed, work, checkpoint)
 
 
 def compacted(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """One of the five tables over all batches, builds that came in parts included."""
+    """One of the five tables over all batches, with what is known of builds that still wait for parts."""
     whole = _batches(spark, out, name, schemas.TABLES[name]).select(*schemas.TABLES[name].names)
-    parts = _batches(spark, out, "parts").drop("batch")
+    newest = max(int(n.split("=")[1]) for n in pointer.names(spark, f"{out}/waiting") if n.startswith("batch="))
+    parts = spark.read.parquet(f"{out}/waiting/batch={newest}")
     if name == "units":
         return whole.unionByName(flatten.units_table(flatten.event_rows(parts)))
     table = {
@@ -122,23 +146,24 @@ def quiescent_runs(events: DataFrame, gap: str, watermark: str) -> DataFrame:
 
 
 def single_delivery(sends: DataFrame, out: str, checkpoint: str) -> None:
-    """Each run id (``run_id``) passes once for good, however late it is sent again.
+    """Each run id (``run_id``) passes once for good, however late it is sent again and whichever stream sends it.
 
-    ``out`` is the ledger: a batch anti-joins the batches before it and writes its new ids as its own partition, so a
-    batch that is run again replaces itself, and no state is kept between batches.
+    ``out`` is the ledger (:class:`forgeclock.sources.ledger.Ledger`).  A batch reads its own buckets of it.  A new checkpoint is a
+    source of its own, so it delivers nothing that an older one has delivered; streams may share a ledger, also at once.
     """
     spark, schema = sends.sparkSession, sends.select("run_id").schema
 
     def work(batch: DataFrame, number: int) -> None:
-        new = batch.select("run_id").distinct()
-        if number:
-            known = spark.read.schema(schema).parquet(*[f"{out}/batch={i}" for i in range(number)])
-            new = new.join(known, "run_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        Ledger(spark, out, schema).claim(batch, source_of(spark, checkpoint), number)
 
     drain_batches(sends, work, checkpoint)
 
 
+def delivered(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """Every key of a delivery ledger with the source and batch that delivered it."""
+    return Ledger(spark, out, schema).all()
+
+
 def load_windows(samples: DataFrame, width: str, watermark: str) -> DataFrame:
     """Host load per run and time window."""
     return (

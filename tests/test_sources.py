@@ -7,7 +7,8 @@ import zstandard
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
-from forgeclock.sources import lake, logs, sinks
+from forgeclock.sources import lake, logs, pointer, sinks
+from forgeclock.sources.publication import Overtaken, Publication
 
 GOOD = {
     "some_schema": 1, "run_id": "r1", "env": {"timestamp": "2026-01-02T00:00:00Z"},
@@ -49,9 +50,9 @@ def test_publication(spark, tmp_path):
     out = str(tmp_path / "out")
     stats = sinks.compact(raw, out, day="2026-01-05").first()
     assert (stats.sessions, stats.units, stats.objects, stats.failed, stats.phase_rows) == (1, 1, 2, 1, 0)
-    assert spark.read.parquet(f"{out}/units").columns == schemas.UNITS.names
-    assert not (tmp_path / "out" / "phases").exists()
-    assert spark.read.parquet(f"{out}/snapshots/units/day=2026-01-05").count() == 1
+    made = Publication(spark, out)
+    assert spark.read.parquet(made.path("units")).columns == schemas.UNITS.names
+    assert not made.has("phases") and made.snapshot("units", "2026-01-05").count() == 1
     doc = json.loads(spark.read.text(f"{out}/schema/v1").first().value)
     assert list(doc["tables"]["units"]["columns"]) == schemas.UNITS.names and doc["version"] == 1
 
@@ -68,13 +69,13 @@ def test_incremental_days(spark, tmp_path):
         body = json.dumps({**GOOD, "run_id": run})
         raw = spark.createDataFrame([(f"sessions/{run}", body, 2026, 1, day)], "object_key string, body string, year int, month int, day int")
         lake.pack(raw, str(tmp_path / "packed"))
-        return lake.read_packed(spark, str(tmp_path / "packed"))
+        return str(tmp_path / "packed")
 
     out = str(tmp_path / "out")
-    assert sinks.compact_new_days(packed(1, "a"), out) == [(2026, 1, 1)]
-    assert sinks.compact_new_days(packed(2, "b"), out) == [(2026, 1, 2)]
-    assert sinks.compact_new_days(lake.read_packed(spark, str(tmp_path / "packed")), out) == []
-    assert {(r.run_id, r.day) for r in spark.read.parquet(f"{out}/units").collect()} == {("a", 1), ("b", 2)}
+    assert sinks.compact_new_days(spark, packed(1, "a"), out) == [(2026, 1, 1)]
+    assert sinks.compact_new_days(spark, packed(2, "b"), out) == [(2026, 1, 2)]
+    assert sinks.compact_new_days(spark, str(tmp_path / "packed"), out) == []
+    assert {(r.run_id, r.day) for r in Publication(spark, out).days("units").collect()} == {("a", 1), ("b", 2)}
 
 
 def test_logs(spark, tmp_path):
@@ -125,11 +126,11 @@ def test_a_late_document_is_published(spark, tmp_path):
         body = json.dumps({**GOOD, "run_id": run})
         raw = spark.createDataFrame([(f"sessions/{run}", body, 2026, 1, day)], "object_key string, body string, year int, month int, day int")
         lake.pack(raw, str(tmp_path / "packed"))
-        return sinks.compact_new_days(lake.read_packed(spark, str(tmp_path / "packed")), str(tmp_path / "out"))
+        return sinks.compact_new_days(spark, str(tmp_path / "packed"), str(tmp_path / "out"))
 
     assert [arrive("a", 1), arrive("c", 2), arrive("b", 1)] == [[(2026, 1, 1)], [(2026, 1, 2)], [(2026, 1, 1)]]
     for name in ("sessions", "units"):
-        rows = spark.read.parquet(str(tmp_path / "out" / name)).collect()
+        rows = Publication(spark, str(tmp_path / "out")).days(name).collect()
         assert sorted((r.run_id, r.day) for r in rows) == [("a", 1), ("b", 1), ("c", 2)]
 
 
@@ -179,3 +180,45 @@ def test_compaction_counts_what_could_not_be_decoded(spark, tmp_path):
     assert stats.stored_bytes == sum(f.stat().st_size for f in root.iterdir()) and stats.bytes_out > 0
     doc = json.loads(spark.read.text(str(tmp_path / "out" / "schema" / "v1")).first().value)
     assert doc["source"] == str(root) and doc["generated"].startswith("20")
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_parts_over_days_are_one_build_whatever_their_order(spark, tmp_path, order):
+    """Parts lie on days 4, 3 and 5; the build is at home on the earliest day known, and moves when an earlier part comes."""
+    bodies, days, homes = part_bodies([0, 1, 2]), (4, 3, 5), []
+    out, packed = str(tmp_path / "out"), str(tmp_path / "packed")
+    fields = "object_key string, body string, year int, month int, day int"
+    for step, n in enumerate(order):
+        rows = [("sessions/same-key", bodies[n], 2026, 1, days[n]), (f"w{step}", json.dumps({**GOOD, "run_id": f"w{step}"}), 2026, 1, 4)]
+        lake.pack(spark.createDataFrame(rows, fields), packed)
+        sinks.compact_new_days(spark, packed, out)
+        homes.append(min(days[k] for k in order[: step + 1]))
+        made = Publication(spark, out)
+        sessions = [(r.object_key, r.day) for r in made.days("sessions").collect()]
+        assert sorted(sessions) == sorted([("log-1", homes[-1]), *((f"w{k}", 4) for k in range(step + 1))])
+        units = {r.run_id: (r.day, r.duration) for r in made.days("units").collect()}
+        assert len(units) == made.days("units").count()
+    assert units["r"] == (3, 4.0)
+    assert sinks.compact_new_days(spark, packed, out) == []
+
+
+def test_a_run_that_dies_between_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    raw = lambda run: spark.createDataFrame([(run, json.dumps({**GOOD, "run_id": run}))], "object_key string, body string")
+    sinks.compact(raw("old"), out)
+    real, calls = Publication.commit, []
+    monkeypatch.setattr(Publication, "commit", lambda self, *a, **k: calls.append(1) or (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        sinks.compact(raw("new"), out)
+    assert len(pointer.names(spark, f"{out}/units")) == 2 and calls  # written, but it does not count
+    made = Publication(spark, out)
+    assert [[r.run_id for r in made.table(t).collect()] for t in ("units", "sessions")] == [["old"], ["old"]]
+    monkeypatch.setattr(Publication, "commit", real)
+    one, two = Publication(spark, out), Publication(spark, out)
+    sinks.compact(raw("new"), out)
+    assert [r.run_id for r in Publication(spark, out).table("units").collect()] == ["new"]
+    with pytest.raises(Overtaken):
+        two.commit(tables={"units": 1})
+    Publication(spark, out).clean()
+    assert len(pointer.names(spark, f"{out}/units")) == 1 and one.number == 1
+    assert [r.run_id for r in Publication(spark, out).table("units").collect()] == ["new"]
