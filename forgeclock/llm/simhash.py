@@ -351,28 +351,29 @@ def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
 def similar_groups(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, root) of the sets in ``keyed`` (id, n, rare) that links of at least this similarity join with others; ids are distinct.
 
+    Of two similar sets, the smaller one has some shared shingle early: enough of it follows for both.  So a shingle that nobody has
+    early makes no pair, and no two sets are paired by one that both have late, as a passage is that fills most of many texts.
     First all sets with a shingle in common are compared with one of them, so groups of near copies come together without all
     their pairs; then, per shingle, every pair of sets that are still apart is.
     """
-    spread = keyed.select("id", "n", F.posexplode("rare").alias("pos", "s"))
-    shared = spread.groupBy("s").count().where("count > 1").select("s")
+    early = (F.col("n") - F.col("pos")) * (1 + similarity) >= 2 * similarity * F.col("n") - EPS
+    spread = keyed.select("id", "n", F.posexplode("rare").alias("pos", "s")).withColumn("early", early)
+    shared = spread.groupBy("s").agg(F.count("*").alias("many"), F.max("early").alias("any")).where("many > 1 AND any").select("s")
     met = materialise(spread.join(shared, "s"), "met")
-    head = met.groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("s", "h.*")
+    head = met.where("early").groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("s", "h.*")
     star = met.alias("x").join(head.alias("y"), "s").where("x.id != y.id")
     star = materialise(_pairs(star, similarity), "star")
     near = _similar(star, sets_of, similarity)
 
     root = components(near).select(F.col("node").alias("id"), "root")
-    placed = met.join(root, "id", "left").select("s", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+    placed = met.join(root, "id", "left").select("s", "id", "n", "pos", "early", F.coalesce("root", "id").alias("root"))
     placed = materialise(placed, "placed")
     discard(met)
     apart = placed.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     between = materialise(placed.join(apart.select("s"), "s", "left_semi"), "apart")
     discard(placed)
-    roots = between.select("s", "root").distinct()
-    cross = roots.select("s", F.col("root").alias("ra")).join(roots.select("s", F.col("root").alias("rb")), "s").where("ra < rb")
-    met = cross.join(between.withColumnRenamed("root", "ra").alias("x"), ["s", "ra"])
-    met = met.join(between.withColumnRenamed("root", "rb").alias("y"), ["s", "rb"])
+    smaller = "x.n < y.n OR x.n = y.n AND x.id < y.id"
+    met = between.where("early").alias("x").join(between.alias("y"), "s").where(f"x.root != y.root AND ({smaller})")
     rest = materialise(_pairs(met, similarity).join(star, ["a", "b"], "left_anti"), "rest")
     discard(between)
     return components(materialise(near.unionByName(_similar(rest, sets_of, similarity)), "links"))
