@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeclock.llm.common import as_bytes, key_filter, may_hold, share_of_hash, signed, text_key, unsigned
+from forgeclock.llm.common import as_bytes, key_filter, may_hold, passes, share_of_hash, signed, text_key, unsigned
 from forgeclock.llm.components import components
 from forgeclock.shared import discard, materialise
 
@@ -273,14 +273,18 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def keyed_shingles(words: int):
-    """Column function: text -> its distinct shingles ``s`` and their key ``id``."""
+def keyed_shingles(words: int, bits: np.ndarray):
+    """Column function: (hash, text) -> the text's distinct shingles ``s`` and their key ``id``; null where the filter knows better."""
 
     @F.arrow_udf("struct<id: bigint, s: array<bigint>>")
-    def keyed(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, words) for t in as_bytes(texts)]
-        ids = signed(np.array([set_key(x) for x in sets], np.uint64))
-        return pa.StructArray.from_arrays([pa.array(ids), pa.array([signed(x) for x in sets], pa.list_(pa.int64()))], names=["id", "s"])
+    def keyed(hashes: pa.Array, texts: pa.Array) -> pa.Array:
+        wanted = passes(bits, unsigned(hashes.to_numpy(zero_copy_only=False)))
+        sets: list = [None] * len(wanted)
+        for i, text in zip(np.nonzero(wanted)[0].tolist(), as_bytes(texts.filter(pa.array(wanted)))):
+            sets[i] = shingle_set(text, words)
+        ids = signed(np.array([0 if x is None else set_key(x) for x in sets], np.uint64))
+        lists = pa.array([None if x is None else signed(x) for x in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(ids), lists], names=["id", "s"], mask=pa.array(~wanted))
 
     return keyed
 
@@ -400,7 +404,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     def sets_of(ids: DataFrame) -> DataFrame:
         chosen = keyed.join(ids, "id", "left_semi").select("h")
-        some = texts.where(may_hold(key_filter(chosen))(F.col("h"))).select(keyed_shingles(words)("text").alias("m"))
+        some = texts.select(keyed_shingles(words, key_filter(chosen))("h", "text").alias("m")).where("m IS NOT NULL")
         return some.select("m.id", "m.s").dropDuplicates(["id"])
 
     member = similar_groups(keyed, sets_of, similarity).select(F.col("node").alias("id"), "root")
