@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,74 +233,6 @@ def robust_stats(observations: DataFrame, keys: list[str], cost: str, machine: s
     return spread.join(mad, keys).join(hosts, keys)
 
 
-class CrossedFit(NamedTuple):
-    classes: DataFrame
-    machines: DataFrame
-    slope: float
-    rounds: int
-    left_out: int
-
-
-def crossed_effects(
-    observations: DataFrame,
-    anchor,
-    class_col: str = "class_id",
-    machine_col: str = "machine_id",
-    tolerance: float = 1e-9,
-    max_rounds: int = 200,
-) -> CrossedFit:
-    """Least-squares fit of log cost = class + machine + slope * load; the machine ``anchor`` is held at 0.
-
-    Rows without cost or load tell nothing about the slope and are left out, counted in ``left_out``.  The rest is reduced to one cell per class and
-    machine.  Cost and load are freed from class and machine means in turn until the machine means move by
-    less than ``tolerance``; the slope is then that of what is left of cost on what is left of load.
-    A fit that doesn't settle in ``max_rounds`` fails.
-    """
-    c, m = class_col, machine_col
-    known = F.col("y").isNotNull() & F.col("load").isNotNull()
-    cells = materialise(
-        observations.where(known).groupBy(c, m).agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum("y").alias("sy"),
-            F.sum("load").cast("double").alias("sl"),
-            F.sum(F.col("y") * F.col("load")).cast("double").alias("sly"),
-            F.sum(F.col("load") * F.col("load")).cast("double").alias("sll"),
-        ),
-        "cells",
-    )
-    left_out = observations.where(~known).count()
-
-    def means(key: str, y: str, load: str, other: DataFrame, on: str, names: tuple[str, str]) -> DataFrame:
-        rest = [F.col("sy") - F.col(y) * F.col("n"), F.col("sl") - F.col(load) * F.col("n")]
-        grouped = cells.join(other, on).groupBy(key)
-        return grouped.agg(*[(F.sum(r) / F.sum("n")).alias(name) for r, name in zip(rest, names)])
-
-    hosts = materialise(cells.select(m).distinct().withColumns({"by": F.lit(0.0), "bl": F.lit(0.0)}), "hosts")
-    for rounds in range(1, max_rounds + 1):
-        classes = materialise(means(c, "by", "bl", hosts, m, ("ay", "al")), "classes")
-        new = materialise(means(m, "ay", "al", classes, c, ("by", "bl")), "hosts")
-        before = hosts.select(m, F.col("by").alias("py"), F.col("bl").alias("pl"))
-        moved = new.join(before, m).agg(F.max(F.greatest(F.abs(F.col("by") - F.col("py")), F.abs(F.col("bl") - F.col("pl"))))).first()[0]
-        hosts = new
-        if moved is None or moved < tolerance:
-            break
-    else:
-        raise RuntimeError(f"no fit after {max_rounds} rounds: machine means still move by {moved}")
-    fitted = F.col("al") + F.col("bl")
-    both = F.sum(F.col("sly") - fitted * F.col("sy")), F.sum(F.col("sll") - fitted * F.col("sl"))
-    slope = cells.join(classes, c).join(hosts, m).agg(F.coalesce(F.try_divide(*both), F.lit(0.0))).first()[0]
-    classes = classes.select(c, (F.col("ay") - F.lit(slope) * F.col("al")).alias("a"))
-    hosts = hosts.select(m, (F.col("by") - F.lit(slope) * F.col("bl")).alias("b"))
-    zero = hosts.where(F.col(m) == anchor).agg(F.max("b")).scalar()
-    return CrossedFit(
-        classes.select(c, (F.col("a") + zero).alias("intrinsic")),
-        hosts.select(m, (F.col("b") - zero).alias("speed")),
-        slope,
-        rounds,
-        left_out,
-    )
-
-
 def toolchain_ratio(observations: DataFrame, old: str, new: str) -> DataFrame:
     """Per class, median cost under two toolchains and their ratio."""
     both = observations.where(F.col("toolchain").isin(old, new))

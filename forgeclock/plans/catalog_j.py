@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeclock.functions import flags
+from forgeclock.operators.effects import crossed_effects
 from forgeclock.operators import config, flatten, graph, study
 from forgeclock.plans import lens
 from forgeclock.plans.lens import over, table
@@ -249,27 +250,31 @@ def _crossed_oracle(rounds: int = 40) -> str:
         f"a AS (SELECT class_id, ay - g * al AS a FROM a{n}, s)",
         f"b AS (SELECT machine_id, hy - g * hl AS b FROM b{n}, s)",
     ]
-    return over("measurements", body="WITH " + ",\n".join(parts) + """
-        SELECT 'class' AS effect, class_id AS id, round(a + (SELECT b FROM b WHERE machine_id = 0), 5) AS value FROM a
-        UNION ALL SELECT 'machine', machine_id, round(b - (SELECT b FROM b WHERE machine_id = 0), 5) FROM b
-        UNION ALL SELECT 'load', 0, round(g, 5) FROM s""")
+    return over("measurements", body="WITH " + ",\n".join(parts) + """,
+        one AS (SELECT 'class' AS effect, class_id AS id, a + (SELECT b FROM b WHERE machine_id = 0) AS value FROM a
+          UNION ALL SELECT 'machine', machine_id, b - (SELECT b FROM b WHERE machine_id = 0) FROM b)
+        SELECT effect, id, round(value, 5) AS value, CAST(0 AS BIGINT) AS anchor FROM one
+        UNION ALL SELECT effect, id + 1000000, round(value + CASE effect WHEN 'class' THEN 1 ELSE 0 END, 5), 1000000 FROM one
+        UNION ALL SELECT 'load', 0, round(g, 5), 0 FROM s""")
 
 
 @query("j11_crossed_effects", _crossed_oracle())
 def j11(spark, sf):
-    """A part of the loads is unknown; these builds are left out of the fit."""
+    """Two groups of machines without a common class, the second one's costs higher throughout; a part of the loads is unknown."""
     load = F.when(~((F.col("class_id") % 7 == 3) & (F.col("load") % 4 == 1)), F.col("load")).alias("load")
     obs = lens.measurements(spark, sf).select("class_id", "machine_id", F.ln("cost_us").alias("y"), load)
-    fit = study.crossed_effects(obs, anchor=0)
-    out = fit.classes.select(F.lit("class").alias("effect"), F.col("class_id").alias("id"), F.col("intrinsic").alias("value"))
+    far = F.lit(1_000_000)
+    other = obs.select((F.col("class_id") + far).alias("class_id"), (F.col("machine_id") + far).alias("machine_id"), (F.col("y") + 1).alias("y"), "load")
+    fit = crossed_effects(obs.unionByName(other), anchor=0)
+    out = fit.classes.select(F.lit("class").alias("effect"), F.col("class_id").alias("id"), F.col("intrinsic").alias("value"), "anchor")
     out = out.unionByName(
-        fit.machines.select(F.lit("machine").alias("effect"), F.col("machine_id").alias("id"), F.col("speed").alias("value"))
+        fit.machines.select(F.lit("machine").alias("effect"), F.col("machine_id").alias("id"), F.col("speed").alias("value"), "anchor")
     ).unionByName(
         fit.machines.where("machine_id = 0").select(
-            F.lit("load").alias("effect"), F.lit(0).cast("bigint").alias("id"), F.lit(fit.slope).alias("value")
+            F.lit("load").alias("effect"), F.lit(0).cast("bigint").alias("id"), F.lit(fit.slope).alias("value"), "anchor"
         )
     )
-    return rounded(out, 5, "value")
+    return rounded(out.withColumn("anchor", F.col("anchor").cast("bigint")), 5, "value")
 
 
 @query("j12_toolchain_comparison", over("measurements", body="""

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from forgeclock.operators import config, study
+from forgeclock.operators.connected import connected
+from forgeclock.operators.effects import crossed_effects
 
 
 def test_crossed_effects_recover_a_planted_model(spark):
@@ -14,14 +16,14 @@ def test_crossed_effects_recover_a_planted_model(spark):
     rows = [(c, m, a[c] + b[m] + 0.1 * ld, float(ld)) for c in a for m in b for ld in (0, 1, 4) if (c, m) != ("z", "m2")]
     unknown = [(c, m, y + 3, None) for c, m, y, _ in rows] + [("x", "m0", None, 2.0)]
     obs = spark.createDataFrame(rows + unknown, "class_id string, machine_id string, y double, load double")
-    fit = study.crossed_effects(obs, "m0")
-    assert fit.slope == pytest.approx(0.1, abs=1e-6) and fit.left_out == len(unknown) and fit.rounds > 3
+    fit = crossed_effects(obs, "m0")
+    assert fit.slope == pytest.approx(0.1, abs=1e-6) and fit.left_out == len(unknown) and 1 < fit.rounds < 9
     for r in fit.classes.collect():
         assert r.intrinsic == pytest.approx(a[r.class_id], abs=1e-6)
     for r in fit.machines.collect():
         assert r.speed == pytest.approx(b[r.machine_id], abs=1e-6)
     with pytest.raises(RuntimeError, match="no fit"):
-        study.crossed_effects(obs, "m0", max_rounds=2)
+        crossed_effects(obs, "m0", max_rounds=1)
 
 
 def test_a_zero_fails_no_job(spark):
@@ -116,3 +118,41 @@ def test_post_stratification_restores_the_mix(spark):
     target = spark.createDataFrame([(True, 0.5), (None, 0.5)], "ci boolean, share double")
     rows = study.post_stratify(s, target, ["ci"]).collect()
     assert math.isclose(sum(r.n * r.weight for r in rows), 8) and {r.ci: r.n * r.weight for r in rows} == {True: 4.0, None: 4.0}
+
+
+def test_groups_without_common_builds_are_told_apart(spark):
+    a = {"x": 3.0, "y": 5.0, "u": 2.0, "v": 9.0, "w": 1.0}
+    b = {"m1": 0.0, "m2": 0.7, "m3": 0.0, "m4": 1.0, "m9": 0.0}
+    groups = [("xy", ("m1", "m2")), ("uv", ("m3", "m4")), ("w", ("m9",))]
+    rows = [(c, m, a[c] + b[m] + 0.2 * ld, float(ld)) for cs, ms in groups for c in cs for m in ms for ld in (0, 3)]
+    obs = spark.createDataFrame(rows, "class_id string, machine_id string, y double, load double")
+    fit = crossed_effects(obs, "m2")
+    assert fit.slope == pytest.approx(0.2)
+    got = {r.class_id: (r.intrinsic, r.anchor) for r in fit.classes.collect()}
+    speed = {r.machine_id: (r.speed, r.component) for r in fit.machines.collect()}
+    shift = {"x": 0.7, "y": 0.7, "u": 0.0, "v": 0.0, "w": 0.0}  # the asked machine is held at 0 where it is, the first one elsewhere
+    assert {c: x for c, (x, _) in got.items()} == pytest.approx({c: a[c] + shift[c] for c in a})
+    assert [got[c][1] for c in "xyuvw"] == ["m2", "m2", "m3", "m3", "m9"]
+    assert {m: s for m, (s, _) in speed.items()} == pytest.approx({"m1": -0.7, "m2": 0.0, "m3": 0.0, "m4": 1.0, "m9": 0.0})
+    assert len({c for _, c in speed.values()}) == 3
+    empty = crossed_effects(obs.limit(0), "m2")
+    assert (empty.slope, empty.left_out, empty.classes.count()) == (0.0, 0, 0)
+
+
+def test_connected(spark):
+    import random
+
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(60)] + [(5000, 5000)]
+    root = {n: n for link in links for n in link}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
