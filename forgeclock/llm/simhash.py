@@ -286,7 +286,7 @@ def keyed_shingles(words: int, bits: np.ndarray):
         lists = pa.array([None if x is None else signed(x) for x in sets], pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array(ids), lists], names=["id", "s"], mask=pa.array(~wanted))
 
-    return keyed
+    return keyed.asNondeterministic()  # else the filter on its result would work it out a second time
 
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
