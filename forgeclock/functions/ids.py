@@ -102,3 +102,26 @@ def prune_edges(edges: Column, private: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Numeric parts of a version as an array that sorts in version order."""
     return F.transform(F.regexp_extract_all(version, F.lit(r"\d+"), 0), lambda p: p.cast("bigint"))
+
+
+def precedence_key(version: Column) -> Column:
+    """A version as a value that sorts in order of precedence.
+
+    Numbers of any length compare as numbers; a pre-release comes before its release, numeric identifiers before words, and fewer
+    identifiers before more; what follows a plus sign doesn't count.
+    """
+    plain = F.split_part(version, F.lit("+"), F.lit(1))
+    core, later = F.split_part(plain, F.lit("-"), F.lit(1)), F.regexp_extract(plain, "^[^-]*-(.*)$", 1)
+
+    def number(digits: Column) -> list[Column]:
+        bare = F.regexp_replace(digits, "^0+(?=.)", "")
+        return [F.length(bare).alias("size"), bare.alias("text")]
+
+    def identifier(word: Column) -> Column:
+        numeric = word.rlike("^[0-9]+$")
+        size, bare = number(word)
+        return F.struct((~numeric).alias("word"), F.when(numeric, size).otherwise(F.lit(0)).alias("size"), F.when(numeric, bare).otherwise(word).alias("text"))
+
+    numbers = F.transform(F.regexp_extract_all(core, F.lit("[0-9]+"), 0), lambda d: F.struct(*number(d)))
+    words = F.transform(F.split(later, "[.]"), identifier)
+    return F.struct(numbers.alias("numbers"), (later == "").alias("release"), words.alias("later"))

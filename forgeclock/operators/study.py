@@ -249,7 +249,7 @@ def version_steps(observations: DataFrame) -> DataFrame:
     """Same machine and package, consecutive versions: median cost and change."""
     med = exact_quantiles(observations, ["machine_id", "package", "version"], "cost_us", {"median": 0.5})
     # One row per version is left, so the ordered group is the package's release list.
-    order = Window.partitionBy("machine_id", "package").orderBy(ids.version_key(F.col("version")), "version")
+    order = Window.partitionBy("machine_id", "package").orderBy(ids.precedence_key(F.col("version")), "version")
     return med.select(
         "machine_id",
         "package",

@@ -406,7 +406,7 @@ def a17_logs(spark, sf):
     good AS (SELECT run_id, any_value(user_id) AS u FROM marked GROUP BY 1 HAVING NOT bool_or(broken))
     SELECT run_id AS log, 'm' || (u % 10) AS machine_id, CASE WHEN u % 4 <> 0 THEN 2 + u % 7 END AS cpu_cores,
       CASE WHEN u % 3 <> 0 THEN (u % 8) / 4.0::DOUBLE END AS loadavg_mean, CASE WHEN u % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS points,
-      CASE WHEN u % 6 = 0 THEN NULL ELSE u % 11 END AS samples FROM good"""))
+      CASE WHEN u % 6 = 0 THEN NULL ELSE u % 11 END AS samples, CASE u % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ci FROM good"""))
 def a17_payload(spark, sf):
     """Machine, load, timings and phases go into the documents and come out of four tables; parts are small here."""
     events = scanned(spark, sf)
@@ -417,6 +417,7 @@ def a17_payload(spark, sf):
 
     payload = {
         "machine": field("to_json(named_struct('machine_id', concat('m', u % 10), 'cpu_cores', IF(u % 4 <> 0, 2 + u % 7, NULL)))"),
+        "ci": field("CASE u % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END"),
         "load": field("IF(u % 3 <> 0, to_json(named_struct('loadavg_mean', u % 8 / 4.0D)), NULL)"),
         "timings": field("""IF(u % 5 <> 0, '{"concurrency_data":[{"t":1,"active":1}],"cpu_usage":[[2,50]]}', NULL)"""),
         "phases": field("""IF(u % 6 <> 0, concat('{"rate_hz":64,"units":[{"crate":"c","serial":{"borrowck":', u % 11, '}}]}'), NULL)"""),
@@ -426,7 +427,7 @@ def a17_payload(spark, sf):
     named = docs.withColumn("object_key", F.concat("log", F.lit("-"), "part")).drop("log", "part")
     good = lake.well_formed(lake.ingest(named))
     key = ["object_key"]
-    sessions = flatten.sessions_table(good).select("object_key", "machine_id", "cpu_cores", "loadavg_mean")
+    sessions = flatten.sessions_table(good).select("object_key", "machine_id", "cpu_cores", "loadavg_mean", "ci")
     points = flatten.timeline_table(good, key).groupBy(*key).agg(F.count(F.lit(1)).alias("points"))
     samples = flatten.phases_table(good, key).groupBy(*key).agg(F.sum("samples").alias("samples"))
     joined = sessions.join(points, key, "left").join(samples, key, "left").fillna(0, ["points"])

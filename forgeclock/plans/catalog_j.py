@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeclock.functions import flags
-from forgeclock.operators.effects import crossed_effects
 from forgeclock.operators import config, flatten, graph, study
+from forgeclock.operators.effects import crossed_effects
 from forgeclock.plans import lens
 from forgeclock.plans.lens import over, table
 
@@ -108,6 +108,16 @@ def j6_classes(spark, sf):
     return lens.graph_units(spark, sf).groupBy(*own).agg(F.count(F.lit(1)).alias("units"), F.sum("cost").alias("cost"))
 
 
+@query("j6_class_table", f"""SELECT class_id, any_value(p_brand) AS package, any_value('1.' || p_size) AS version, any_value(n_deps) AS n_deps,
+    any_value(cone) AS cone, count(*) AS units, sum(CAST(round(p_retailprice * 100) AS BIGINT))::BIGINT AS cost
+    FROM ({_class_oracle()}) c JOIN part ON p_partkey = node GROUP BY class_id""")
+def j6_class_table(spark, sf):
+    """Classes of the graph with the ids of their dependencies and cones."""
+    found = graph.classes(lens.graph_units(spark, sf), lens.graph_edges(spark, sf))
+    n_deps, cone = F.size("dep_class_ids").cast("bigint").alias("n_deps"), F.array_join("cone_class_ids", ",").alias("cone")
+    return found.select("class_id", "package", "version", n_deps, cone, "units", "cost")
+
+
 @query("j6_measurements", over("units", "sessions", body="""
     SELECT u.run_id, replace(u.package, '#', '') || '-' || regexp_extract(package_id, '@(.*)$', 1) AS class, duration AS wall_s, mode,
       timestamp, machine_id, rustc_version, client, loadavg_mean FROM units u LEFT JOIN sessions s ON s.run_id = u.run_id"""))
@@ -336,6 +346,27 @@ def j20(spark, sf):
     return graph.longest_chains(nodes, lens.graph_edges(spark, sf))
 
 
+@query("j20_path", over("graph", recursive=True, body="""
+    WITH builds AS (SELECT 'even' AS build, node, cost AS weight FROM graph UNION ALL SELECT 'odd', node, 1 + cost % 97 FROM graph),
+    walk AS (SELECT build, node, weight AS total FROM builds
+      UNION SELECT g.build, g.node, w.total + g.weight FROM walk w JOIN edges e ON e.dst = w.node JOIN builds g ON g.node = e.src AND g.build = w.build),
+    best AS (SELECT build, node, max(total) AS total FROM walk GROUP BY 1, 2),
+    ptr AS (SELECT b.build, e.src, arg_min(e.dst, (-b.total, e.dst)) AS dst FROM edges e JOIN best b ON b.node = e.dst GROUP BY 1, 2),
+    top AS (SELECT build, arg_min(node, (-total, node)) AS node, max(total) AS whole FROM best GROUP BY 1),
+    path AS (SELECT build, node, 0 AS back FROM top UNION SELECT p.build, ptr.dst, back + 1 FROM path p JOIN ptr ON ptr.build = p.build AND ptr.src = p.node)
+    SELECT p.build, CAST(max(back) OVER (PARTITION BY p.build) - back AS BIGINT) AS position, p.node, CAST(b.total - g.weight AS BIGINT) AS start,
+      CAST(g.weight AS BIGINT) AS weight, round(g.weight / whole, 9) AS share
+    FROM path p JOIN best b USING (build, node) JOIN builds g USING (build, node) JOIN top ON top.build = p.build"""))
+def j20_path(spark, sf):
+    """Two builds of one graph, whose units cost different things."""
+    units, edges = lens.graph_units(spark, sf), lens.graph_edges(spark, sf)
+    nodes = units.select(F.lit("even").alias("build"), "node", F.col("cost").alias("weight")).unionByName(
+        units.select(F.lit("odd").alias("build"), "node", (1 + F.col("cost") % 97).alias("weight"))
+    )
+    both = edges.select(F.lit("even").alias("build"), "src", "dst").unionByName(edges.select(F.lit("odd").alias("build"), "src", "dst"))
+    return rounded(graph.critical_paths(nodes, both, ["build"]), 9, "share")
+
+
 _INTERVALS = """WITH reg AS (SELECT run_id, index, max(pos) AS rp FROM ev WHERE reason = 'unit-registered' GROUP BY 1, 2),
     a AS (SELECT r.run_id, r.index, arg_max_null(elapsed, pos) FILTER (WHERE reason = 'unit-started') AS s,
       arg_max_null(elapsed, pos) FILTER (WHERE reason = 'unit-finished') AS f

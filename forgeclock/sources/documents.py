@@ -92,6 +92,9 @@ def build_documents(
 # Header fields that go into ``env``.
 ENV_FIELDS = ("host", "profile", "jobs", "num_cpus", "rustc_version", "rustc_version_verbose", "timestamp")
 
+# Fixed value: what the collecting host knows and the log doesn't; it becomes part of ``env``.
+HOST_FIELD = "ci"
+
 # Payload fields that other operators supply as JSON text.
 PAYLOAD = ("repository", "machine", "load", "artifacts", "phases", "timings", "build_env")
 
@@ -111,6 +114,7 @@ def documents_from_logs(
     ``project_public`` may refer to further columns of ``events``.  ``payload`` gives, by field name, one JSON text per
     log as (log, value): the machine, load summary, artifact bytes, sampled phases, report timings or build
     environment that their operators made.  Every field of ``PAYLOAD`` is in each document, null where nothing is known.
+    ``ci`` in ``payload`` says by the JSON text ``true`` or ``false`` whether the build ran on a CI host, and goes into ``env``.
     """
     e = F.col("e")
     started = F.when(coerce.text(e, "$.reason") == redact.BUILD_STARTED, F.col("pos"))
@@ -125,6 +129,12 @@ def documents_from_logs(
     withheld = typed.groupBy("log").agg(F.count_distinct(hidden).alias("units_withheld"))
     runs = run_headers(events).select("log", "run_id")
     headers = runs.join(last, "log").join(withheld, "log")
+    if payload and HOST_FIELD in payload:
+        host = payload[HOST_FIELD].select("log", F.col("value").alias("__ci"))
+        said = F.concat(F.lit(f'"{HOST_FIELD}":'), F.col("__ci"), F.lit("}"))
+        bare = F.coalesce("env", F.lit("{}"))
+        joined = F.concat(F.substring(bare, 1, F.length(bare) - 1), F.when(bare != "{}", F.lit(",")).otherwise(F.lit("")), said)
+        headers = headers.join(host, "log", "left").withColumn("env", F.when(F.col("__ci").isNotNull(), joined).otherwise(F.col("env"))).drop("__ci")
     for name in PAYLOAD:
         if payload and name in payload:
             headers = headers.join(payload[name].select("log", F.col("value").alias(name)), "log", "left")

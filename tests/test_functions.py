@@ -202,3 +202,15 @@ def test_report_blocks(spark):
     assert [r.u for r in rows[1:]] == [None, None, None]
     docs = [r.timings for r in reports.timings_document(reports.report_blocks(df)).collect()]
     assert docs[0].startswith('{"unit_data":[') and '"concurrency_data":[' in docs[0] and docs[1] is None
+
+
+def test_precedence(spark):
+    """The order of the published rules, numbers beyond 64 bits included."""
+    from pyspark.sql import functions as F
+
+    ordered = ["0.9", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.1-0", "1.2.0", "1.10.0",
+               "1.99999999999999999999.0", "1.100000000000000000000.0", "2.0.0"]
+    rows = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    assert [r.v for r in rows.orderBy(ids.precedence_key(F.col("v"))).collect()] == ordered
+    same = spark.createDataFrame([("1.0.0+a", "1.0.0+b.2"), ("1.0.0-rc.1+x", "1.0.0-rc.1"), ("1.007", "1.7")], "a string, b string")
+    assert all(r.same for r in same.select((ids.precedence_key(F.col("a")) == ids.precedence_key(F.col("b"))).alias("same")).collect())
