@@ -28,14 +28,14 @@ def crossed_effects(
     anchor,
     class_col: str = "class_id",
     machine_col: str = "machine_id",
-    tolerance: float = 1e-10,
+    tolerance: float = 1e-9,
     max_rounds: int = 200,
 ) -> CrossedFit:
     """Least-squares fit of log cost = class + machine + slope * load.
 
     Classes and machines that no chain of common builds connects can't be compared, so effects hold within a ``component``: in the
     component of the machine ``anchor`` that machine is held at 0, in every other one its smallest machine; the column ``anchor``
-    names it.  Rows without cost or load tell nothing about the slope and are left out, counted in ``left_out``.  The rest is
+    names it, and components are named by their smallest machine.  Rows without cost or load tell nothing about the slope and are left out, counted in ``left_out``.  The rest is
     reduced to one cell per class and machine in a single scan.  Class effects are eliminated, and the machines' normal equations
     are solved by conjugate gradients, for cost and for load at once: a round is one pass over the cells, and there are about as many
     as the square root of what alternating means would take.  The slope is that of what is left of cost on what is left of
@@ -66,8 +66,9 @@ def crossed_effects(
     nothing = F.lit(0.0)
     state = rest.select("m", "n", *(x for k in "yl" for x in (nothing.alias(f"b{k}"), f"r{k}", (F.col(f"r{k}") / F.col("n")).alias(f"p{k}"))))
     first: dict[str, float] = {}
+    step = None
     for rounds in range(1, max_rounds + 1):
-        state = materialise(state, "state")
+        before, state = step, materialise(state, "state") if step is None else state
         spread = cells.join(state.select("m", "py", "pl"), "m").groupBy("c").agg(
             *[(F.sum(F.col("n") * F.col(f"p{k}")) / F.sum("n")).alias(f"c{k}") for k in "yl"]
         )
@@ -76,7 +77,8 @@ def crossed_effects(
             *state.columns, *[(F.col("n") * F.col(f"p{k}") - F.col(f"g{k}")).alias(f"q{k}") for k in "yl"]
         )
         step = materialise(step, "step")
-        discard(state)
+        if before is not None:
+            discard(before)
         dots = step.agg(
             *[x for k in "yl" for x in (
                 F.coalesce(F.sum(F.col(f"p{k}") * F.col(f"q{k}")), nothing).alias(f"pq{k}"), _dot(f"r{k}", f"r{k}").alias(f"rr{k}"),
@@ -109,10 +111,12 @@ def crossed_effects(
     both = F.sum(F.col("sly") - fitted * F.col("sy")), F.sum(F.col("sll") - fitted * F.col("sl"))
     slope = cells.join(classes, "c").join(hosts, "m").agg(F.coalesce(F.try_divide(*both), F.lit(0.0))).first()[0]
 
-    links = cells.select(F.concat(F.lit("class "), F.col("c")).alias("a"), F.concat(F.lit("machine "), F.col("m")).alias("b"))
+    # Machines that share a class hang together; one link per class and machine, to the class's first machine, says so.
+    chief = materialise(cells.groupBy("c").agg(F.min("m").alias("chief")), "chiefs")
+    links = cells.join(chief, "c").select(F.col("m").alias("a"), F.col("chief").alias("b")).distinct()
     part = connected(links)
-    class_part = classes.withColumn("node", F.concat(F.lit("class "), F.col("c"))).join(part, "node")
-    host_part = hosts.withColumn("node", F.concat(F.lit("machine "), F.col("m"))).join(part, "node")
+    class_part = classes.join(chief, "c").join(part.withColumnRenamed("node", "chief"), "chief")
+    host_part = hosts.join(part.withColumnRenamed("node", "m"), "m")
     classes = class_part.select("c", "component", (F.col("ay") - F.lit(slope) * F.col("al")).alias("a"))
     hosts = materialise(host_part.select("m", "component", (F.col("by") - F.lit(slope) * F.col("bl")).alias("b")), "hosts")
     held = F.struct((F.col("m") != anchor).alias("other"), "m", "b")
