@@ -35,7 +35,7 @@ from forgeclock.shared import fresh_folder, materialise
 #: Steps of a stored log10.
 STEPS = 2048
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-CHUNK = 4 << 20
+CHUNK = 6 << 20
 #: Words that a task holds before it hands their counts on.
 HELD = 1 << 21
 
