@@ -2,8 +2,10 @@
 
 Generators with high recall propose spans, which may overlap: the four base kinds and looser shapes of mail addresses, numbers
 with separators, and account codes.  Boosted trees rate each candidate by its format and its surroundings.  They
-are trained on candidates of a bounded sample, labelled by the base rules: a candidate that a base rule accepts in full is positive, one that
-lies apart from all of them is negative, unless it looks like personal data in another notation (then it is left out).  Held-out candidates calibrate the scores, and a threshold on the calibrated
+are trained on what they have to decide, in a bounded sample: spans that the base rules accept are rewritten, each in its own
+context, into notations that these rules don't know (:func:`notations`), and a candidate that is such a span is positive.  One that lies apart from all
+base spans, or only overlaps a rewritten one, is negative, and so is a number without check digit in the same other notations; what may be personal data in
+a notation of its own is left out.  Held-out candidates calibrate the scores, and a threshold on the calibrated
 probability selects the spans that are added, also around a base span that is only part of one.  Base spans always stay.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Looser generators: each may propose what others propose too.
 WIDER = (
-    ("email", re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+")),
-    ("ip", re.compile(r"[0-9]{1,3}(?:[.,][0-9]{1,3}){1,4}")),
+    ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[\w-]+)+")),
+    ("ip", re.compile(r"[0-9]{1,3}(?:(?:[.,]|\[\.\]|\(\.\))[0-9]{1,3}){1,4}")),
     ("card", re.compile(r"[0-9](?:[ .-]{0,2}[0-9]){7,24}")),
     ("phone", re.compile(r"(?:\+|00)?\(?[0-9][0-9() ./-]{5,22}[0-9]")),
     ("account", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}\b")),
 )
+_SPELLED = re.compile(r"[(\[](?:at|dot)[)\]]")
 Span = tuple[int, int, str]
 
 
@@ -125,6 +128,10 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(edge_right) and edge_right.isalnum()),
         float(edge_left in "\"'=:/"),
         float(edge_right in "\"'=:/"),
+        s.count("/"),
+        s.count("[") + s.count("(."),
+        len(_SPELLED.findall(s)),
+        sum(not c.isascii() for c in s),
         *(float(bool(words & set(names))) for names in _CONTEXT.values()),
     ]
 
@@ -133,6 +140,7 @@ def features(text: str, span: Span) -> list[float]:
 class Model:
     trees: Boosted
     threshold: float
+    recall: dict[str, float] = field(default_factory=dict)
 
 
 def _open(text: str, span: Span) -> bool:
@@ -151,21 +159,68 @@ def _wider(c: Span, b: Span) -> bool:
     return c[0] <= b[0] and b[1] <= c[1] and c[:2] != b[:2]
 
 
-_ROWS = pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("y", pa.int32())]))
+#: Letters with an accent that stand for plain ones in names.
+_ACCENTS = str.maketrans("aeiou", "äéíöü")
+#: Characters on either side of a rewritten span that its candidates and features may look at.
+AROUND = 200
+
+
+def notations(s: str, kind: str) -> list[str]:
+    """``s`` of a base kind in notations that the base rules take for something else or for a part only."""
+    if kind == "email":
+        name, host = s.split("@", 1)
+        accented = name[: len(name) // 2] + name[len(name) // 2 :].translate(_ACCENTS) if name.isalpha() else name.translate(_ACCENTS)
+        spelled = [f"{name} (at) {host.replace('.', ' (dot) ')}", f"{name}[at]{host.replace('.', '[dot]')}"]
+        return spelled + [f"{accented}@{host}"] * (accented != name)
+    digits = "".join(_DIGIT.findall(s))
+    if kind == "ip":
+        return [s.replace(".", "[.]"), s.replace(".", "(.)")]
+    if kind == "card":
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(groups), "  ".join(groups)]
+    groups = re.findall("[0-9]+", s)
+    groups = groups if len(groups) > 1 else [digits[:2], digits[2:5], digits[5:]]
+    return ["00" + " ".join(groups), "/".join((" ".join(groups[:2]), "".join(groups[2:]))).rstrip("/"), s.lstrip("+").replace(digits, " ".join(groups))]
+
+
+def rewritten(text: str, span: Span, right: bool) -> list[dict]:
+    """Candidates about ``span`` in its other notations with their labels: the span itself ``right``, what overlaps it wrong."""
+    a, b, kind = span
+    before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+    rows = []
+    for s in notations(text[a:b], kind):
+        new, own = before + s + after, (len(before), len(before) + len(s), kind)
+        base = set(base_spans(new))
+        if own in base:  # no other notation after all
+            continue
+        rows += [
+            {"x": features(new, c), "y": int(right and c == own), "kind": kind if right and c == own else None}
+            for c in candidates(new)
+            if not _apart(c, own) and c not in base
+        ]
+    return rows
+
+
+_ROWS = pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("y", pa.int32()), ("kind", pa.string())]))
 
 
 def _labelled():
-    """Column function: text -> candidates' features with labels by the base rules; candidates that only touch a base span: left out."""
+    """Column function: text -> features and labels of what the model has to decide; base spans themselves and what is open: left out."""
 
-    @F.arrow_udf("array<struct<x: array<double>, y: int>>")
+    @F.arrow_udf("array<struct<x: array<double>, y: int, kind: string>>")
     def label(texts: pa.Array) -> pa.Array:
         out = []
         for text in as_text(texts):
             base = base_spans(text)
-            known, rows = set(base), []
+            rows = [r for span in base for r in rewritten(text, span, True)]
             for c in candidates(text):
-                if c in known or not (_open(text, c) or any(c[0] < b[1] and b[0] < c[1] for b in base)):
-                    rows.append({"x": features(text, c), "y": int(c in known)})
+                if any(not _apart(c, b) for b in base):
+                    continue
+                if not _open(text, c):
+                    rows.append({"x": features(text, c), "y": 0, "kind": None})
+                digits = _DIGIT.findall(text[c[0] : c[1]])
+                if c[2] == "card" and 12 <= len(digits) <= 19 and not luhn("".join(digits)):
+                    rows += rewritten(text, c, False)
             out.append(rows)
         return pa.array(out, _ROWS)
 
@@ -176,7 +231,7 @@ def train(docs: DataFrame, most: int = 8000, precision: float = 0.98) -> Model:
     """Fit on the candidates of at most about ``most`` documents with a digit or an @, chosen by a hash of doc_id.
 
     The threshold is the lowest calibrated probability above which at least ``precision`` of the held-out candidates are
-    positive; without candidates of both kinds nothing is added.
+    positive; without candidates of both kinds nothing is added.  ``recall`` tells which part of the held-out rewritten spans it finds.
     """
     likely = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9@]"))
     ids = materialise(likely.select("doc_id").distinct(), "likely")
@@ -196,7 +251,10 @@ def train(docs: DataFrame, most: int = 8000, precision: float = 0.98) -> Model:
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
     good = np.nonzero(right >= precision)[0]
-    return Model(trees, max(0.5, float(p[order][good[-1]])) if len(good) else 2.0)
+    threshold = max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
+    kinds = found["kind"].to_numpy()[held]
+    recall = {k: float(np.mean(p[kinds == k] >= threshold)) for k in KINDS if (kinds == k).any()}
+    return Model(trees, threshold, recall)
 
 
 _FOUND = pa.struct(
