@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeclock.functions import flags
-from forgeclock.operators import config, flatten, graph, study
+from forgeclock.operators import config, flatten, graph, study, weights
 from forgeclock.operators.effects import crossed_effects
 from forgeclock.plans import lens
 from forgeclock.plans.lens import over, table
@@ -511,6 +511,51 @@ def j32(spark, sf):
     return rounded(study.post_stratify(lens.sessions(spark, sf), target, ["ci", "os"]), 6, "weight")
 
 
+_MARGINS = """total AS (SELECT count(*)::DOUBLE AS n FROM sessions),
+    want AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'linux' WHEN 1 THEN 'macos' ELSE 'freebsd' END AS os, count(*)::DOUBLE AS c
+      FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1),
+    goal AS (SELECT os, s.n, c / (SELECT sum(c) FROM want) AS share,
+        CASE WHEN s.n IS NULL THEN 0 WHEN c IS NULL THEN s.n / (SELECT n FROM total)
+          ELSE c / (SELECT sum(c) FROM want JOIN (SELECT DISTINCT os FROM sessions) USING (os))
+            * (1 - (SELECT count(*) FROM sessions WHERE os NOT IN (SELECT os FROM want)) / (SELECT n FROM total)) END AS goal
+      FROM (SELECT os, count(*) AS n FROM sessions GROUP BY 1) s FULL JOIN want USING (os))"""
+
+
+def _raked(rounds: int = 30) -> str:
+    """Both margins in turn, ``rounds`` times."""
+    steps = ["c0 AS MATERIALIZED (SELECT ci, os, count(*) AS n, 1.0::DOUBLE AS w FROM sessions GROUP BY 1, 2)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT ci, os, n, w * (SELECT n FROM total) / 2 / sum(n * w) OVER (PARTITION BY ci) AS w FROM c{i})")
+        steps.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT a.ci, a.os, a.n, w * (SELECT n FROM total) * goal / sum(a.n * w) OVER (PARTITION BY a.os) AS w"
+            f" FROM a{i} a JOIN goal USING (os))"
+        )
+    return f"WITH {_MARGINS}, {', '.join(steps)} SELECT ci, os, n, round(w, 6) AS weight FROM c{rounds}"
+
+
+def _wanted_systems(spark, sf):
+    """Operating systems among three quarters of the customers: one that no session has, and none for one that sessions have."""
+    c = table(spark, sf, "customer").where("c_custkey % 4 < 3")
+    os_name = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'linux' WHEN 1 THEN 'macos' ELSE 'freebsd' END")
+    mix = c.groupBy(os_name.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return mix.select("value", (F.col("n").cast("double") / c.agg(F.count(F.lit(1)).alias("n")).scalar()).alias("share"))
+
+
+@query("j32_raked_weights", over("sessions", body=_raked()))
+def j32_raked(spark, sf):
+    """CI and local in equal parts, operating systems as :func:`_wanted_systems` has them, each on its own."""
+    halves = spark.range(2).selectExpr("id = 1 AS value", "0.5D AS share")
+    found = weights.rake(lens.sessions(spark, sf), {"ci": halves, "os": _wanted_systems(spark, sf)})
+    return rounded(found, 6, "weight")
+
+
+@query("j32_margin_goals", over("sessions", body=f"""WITH {_MARGINS}
+    SELECT os AS value, n, round(share, 6) AS share, round(goal, 6)::DOUBLE AS goal,
+      CASE WHEN n IS NULL THEN 'collapsed' WHEN share IS NULL THEN 'untargeted' ELSE 'met' END AS fate FROM goal"""))
+def j32_goals(spark, sf):
+    return rounded(weights.margin_goals(lens.sessions(spark, sf), "os", _wanted_systems(spark, sf)), 6, "share", "goal")
+
+
 @query("j34_settings_join", over("units", "unit_flags", body="""
     WITH s AS (SELECT run_id, package, crate, max(value) FILTER (WHERE flag = 'opt-level') AS opt_level, max(value) FILTER (WHERE flag = 'lto') AS lto
       FROM unit_flags GROUP BY 1, 2, 3)
