@@ -15,6 +15,9 @@ from forgeclock.shared import materialise
 # Sections with a column of their own; other names are ignored.
 SECTIONS = ("frontend", "codegen", "link")
 
+# Head fields that the sessions table reads.
+SESSION_HEAD = (*[f.name for f in schemas.SESSIONS if f.name != "object_key"], "part", "parts")
+
 # Events of one build that share a window task.
 SEGMENT_EVENTS = 65_536
 
@@ -72,8 +75,8 @@ def with_fault(parsed: DataFrame) -> DataFrame:
     return cut.select(*parsed.columns, fault.alias("fault"))
 
 
-def shaped(docs: DataFrame, version_field: str = "payload_schema") -> DataFrame:
-    """Replace ``v`` by the parts the tables read: ``head`` scalars, typed ``events``, ``sampled`` and ``timings``.
+def shaped(docs: DataFrame, version_field: str = "payload_schema", fields: Sequence[str] | None = None) -> DataFrame:
+    """Replace ``v`` by the parts the tables read: ``head`` scalars (all of them, or ``fields``), typed ``events``, ``sampled`` and ``timings``.
 
     Written like this, each table's scan reads its own part only.  A build split into documents carries its key as
     ``build``: all its parts are one build, in whatever files they lie.  Documents shaped before pass through.
@@ -82,16 +85,17 @@ def shaped(docs: DataFrame, version_field: str = "payload_schema") -> DataFrame:
         return docs
     v = F.col("v")
     build = coerce.text(v, "$.build")
-    head = [coerce.text(v, "$.run_id").alias("run_id"), coerce.text(v, "$.client").alias("client")]
-    head += [coerce.integer(v, f"$.{version_field}").alias("schema")]
-    head += [coerce.text(v, f"$.env.{c}").alias(c) for c in ("timestamp", "rustc_version", "profile")]
-    head += [coerce.integer(v, "$.env.jobs").alias("jobs"), coerce.truth(v, "$.env.ci").alias("ci")]
-    head += [coerce.truth(v, "$.complete").alias("complete")]
-    head += [coerce.integer(v, f"$.counts.{c}").alias(c) for c in ("events", "units", "units_withheld", "sections")]
-    head += [coerce.text(v, f"$.machine.{c}").alias(c) for c in ("machine_id", "os", "arch", "cpu_model")]
-    head += [coerce.integer(v, f"$.machine.{c}").alias(c) for c in ("cpu_cores", "mem_gb")]
-    head += [coerce.number(v, f"$.load.{c}").alias(c) for c in ("loadavg_mean", "cpu_busy_mean")]
-    head += [coerce.integer(v, f"$.{c}").alias(c) for c in ("part", "parts", "first_pos")]
+    scalars = {"run_id": coerce.text(v, "$.run_id"), "client": coerce.text(v, "$.client")}
+    scalars |= {"schema": coerce.integer(v, f"$.{version_field}")}
+    scalars |= {c: coerce.text(v, f"$.env.{c}") for c in ("timestamp", "rustc_version", "profile")}
+    scalars |= {"jobs": coerce.integer(v, "$.env.jobs"), "ci": coerce.truth(v, "$.env.ci")}
+    scalars |= {"complete": coerce.truth(v, "$.complete")}
+    scalars |= {c: coerce.integer(v, f"$.counts.{c}") for c in ("events", "units", "units_withheld", "sections")}
+    scalars |= {c: coerce.text(v, f"$.machine.{c}") for c in ("machine_id", "os", "arch", "cpu_model")}
+    scalars |= {c: coerce.integer(v, f"$.machine.{c}") for c in ("cpu_cores", "mem_gb")}
+    scalars |= {c: coerce.number(v, f"$.load.{c}") for c in ("loadavg_mean", "cpu_busy_mean")}
+    scalars |= {c: coerce.integer(v, f"$.{c}") for c in ("part", "parts", "first_pos")}
+    head = [scalars[name].alias(name) for name in (scalars if fields is None else fields)]
     typed = F.transform(
         F.try_variant_get(v, "$.events", f"array<{coerce.EVENT}>"), lambda e: F.struct(*coerce.event_columns(e))
     )

@@ -8,6 +8,7 @@ from forgeclock.functions import coerce, ids
 from forgeclock.operators import flatten, graph
 from forgeclock.plans import lens, published, raw_lens
 from forgeclock.plans.lens import over
+from forgeclock.shared import materialise
 from forgeclock.sources import lake
 
 QUERIES = {}
@@ -113,8 +114,8 @@ _unit_query(
 # ------------------------------------------------------------------ C: documents to tables
 
 
-def parsed(spark, sf):
-    return lake.well_formed(lake.ingest(raw_lens.documents(spark, sf)))
+def read(spark, sf, *args, **kwargs):
+    return lake.flattenable(raw_lens.documents(spark, sf), *args, **kwargs)
 
 
 @query("c9_units_from_documents", """
@@ -131,7 +132,8 @@ def parsed(spark, sf):
     FROM orders, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) AS i(index)
     WHERE i.index = 0 OR o_orderkey % 3 = 0""")
 def c9_documents(spark, sf):
-    return flatten.units_table(flatten.event_rows(parsed(spark, sf)))
+    events = flatten.event_rows(read(spark, sf, "events", head=("run_id", "first_pos")))
+    return flatten.units_table(materialise(events, "events"))
 
 
 @query("c10_sessions", """
@@ -149,7 +151,7 @@ def c9_documents(spark, sf):
       CASE WHEN o_custkey % 3 <> 1 THEN CAST(o_custkey % 100 AS DOUBLE) END AS cpu_busy_mean
     FROM orders""")
 def c10(spark, sf):
-    return flatten.sessions_table(parsed(spark, sf))
+    return flatten.sessions_table(materialise(read(spark, sf, head=flatten.SESSION_HEAD), "heads"))
 
 
 _SAMPLED = """sampled AS (SELECT o_orderkey AS q, o_custkey AS c, 'o' || o_orderkey AS run_id, 'a' || (o_custkey % 50) AS crate,
@@ -163,7 +165,7 @@ _SAMPLED = """sampled AS (SELECT o_orderkey AS q, o_custkey AS c, 'o' || o_order
     SELECT run_id, crate, package, crate_type, thread, phase, CAST(samples AS BIGINT) AS samples,
       q % 60 + 0.25::DOUBLE AS wall_s, CAST(4999 AS BIGINT) AS rate_hz, 'samply' AS sampler FROM counts""")
 def c11(spark, sf):
-    return flatten.phases_table(parsed(spark, sf))
+    return flatten.phases_table(read(spark, sf, "sampled"))
 
 
 @query("c12_timeline", """
@@ -172,14 +174,14 @@ def c11(spark, sf):
     UNION ALL SELECT 'o' || o_orderkey, 0.5, NULL, NULL, NULL, CAST(o_orderkey % 101 AS DOUBLE) FROM orders WHERE o_orderkey % 5 <> 4
     UNION ALL SELECT 'o' || o_orderkey, 1, NULL, NULL, NULL, CAST(o_custkey % 7 AS DOUBLE) FROM orders WHERE o_orderkey % 5 <> 4""")
 def c12(spark, sf):
-    return flatten.timeline_table(parsed(spark, sf))
+    return flatten.timeline_table(read(spark, sf, "timings"))
 
 
 @query("c13_unit_flags", f"""WITH {_SAMPLED}
     SELECT run_id, crate, package, crate_type, f.flag AS flag, f.value AS value
     FROM sampled, LATERAL (VALUES ('opt-level', CAST(q % 4 AS VARCHAR)), ('lto', 'true'), ('level', CAST(q % 3 AS VARCHAR))) AS f(flag, value)""")
 def c13(spark, sf):
-    return flatten.unit_flags_table(parsed(spark, sf))
+    return flatten.unit_flags_table(read(spark, sf, "sampled"))
 
 
 @query("c14_coercion", """

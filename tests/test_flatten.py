@@ -191,3 +191,16 @@ def test_repeated_field_names_take_the_last(spark):
     raw = spark.createDataFrame([("k", '{"run_id":"a","run_id":"b"}')], "object_key string, body string")
     assert flatten.sessions_table(lake.parse(raw)).first().run_id == "b"
     assert lake.parse(raw).where(F.col("v").isNull()).isEmpty()
+
+
+def test_one_reader_sees_what_the_stored_copy_holds(spark):
+    from forgeclock.plans import raw_lens
+    from forgeclock.sources import lake
+
+    raw = raw_lens.damaged(spark, "/root/testdata/sf0.001")
+    stored = lake.well_formed(lake.ingest(raw))
+    assert 0 < stored.count() < raw.count()
+    for table, part in ((flatten.phases_table, "sampled"), (flatten.unit_flags_table, "sampled"), (flatten.timeline_table, "timings")):
+        assert sorted(map(str, table(lake.flattenable(raw, part)).collect())) == sorted(map(str, table(stored).collect()))
+    heads = lake.flattenable(raw, head=flatten.SESSION_HEAD)
+    assert sorted(map(str, flatten.sessions_table(heads).collect())) == sorted(map(str, flatten.sessions_table(stored).collect()))
