@@ -9,7 +9,7 @@ from forgeclock.plans import lens, raw_lens
 from forgeclock.plans.lens import over, table
 from forgeclock.shared import fresh_folder
 from forgeclock.sources.ledger import source_of
-from forgeclock.streaming import jobs
+from forgeclock.streaming import jobs, quiescence
 
 QUERIES = {}
 ORACLES = {}
@@ -63,6 +63,37 @@ def i2(spark, sf):
     )
 
 
+_HOUR = 3_600_000_000
+
+_POLLS = "concat('u', user_id) AS run_id, CAST(ts AS TIMESTAMP) AS ts, CAST(CASE user_id % 5 WHEN 0 THEN 0 WHEN 1 THEN day(ts) % 3 ELSE event_id END AS BIGINT) AS size"
+
+
+@query("i2_log_outcomes", f"""
+    WITH p AS (SELECT run_id, epoch_us(ts) AS t, max(size) AS size FROM (SELECT {_POLLS} FROM events) GROUP BY 1, 2),
+    l AS (SELECT *, lag(size) OVER (PARTITION BY run_id ORDER BY t) AS before FROM p),
+    c AS (SELECT *, t + 12 * {_HOUR} AS rest, lead(t) OVER (PARTITION BY run_id ORDER BY t) AS next FROM l WHERE before IS NULL OR before <> size),
+    b AS (SELECT run_id, min(t) + 96 * {_HOUR} AS cap FROM p GROUP BY 1),
+    q AS (SELECT run_id, min(rest) AS at, arg_min(size, t) AS size FROM c JOIN b USING (run_id)
+      WHERE size > 0 AND (next IS NULL OR next > rest) AND rest < cap GROUP BY 1),
+    z AS (SELECT run_id, any_value(cap) AS cap, arg_max(size, t) AS size FROM p JOIN b USING (run_id) WHERE t < cap GROUP BY 1)
+    SELECT run_id, CASE WHEN q.at IS NOT NULL THEN 'quiet' WHEN z.size > 0 THEN 'given up' ELSE 'empty' END AS outcome,
+      coalesce(q.at, cap) AS at, CAST(coalesce(q.size, z.size) AS BIGINT) AS size
+    FROM z LEFT JOIN q USING (run_id)""")
+def i2_outcomes(spark, sf):
+    """Polls arrive in three parts by time, and the stream is drained after each; logs undecided at the end are settled."""
+    polls = table(spark, sf, "events").select(F.expr("struct(" + _POLLS + ")").alias("p")).select("p.*")
+    first, last = polls.agg(F.min("ts"), F.max("ts")).first()
+    arriving, (out, checkpoint) = fresh_folder(spark, "polls"), folders(spark, "outcomes")
+    third = (last - first) / 3
+    rule = quiescence.Rule(quiet=12 * _HOUR, cap=96 * _HOUR, delay=_HOUR)
+    for i in range(3):
+        here = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / F.lit(third.total_seconds() * 1e6)) == i
+        here = here | (F.col("ts") == F.lit(last)) if i == 2 else here
+        polls.where(here).write.mode("append").parquet(arriving)
+        quiescence.watch(jobs.file_stream(spark, arriving, polls.schema), out, checkpoint, rule)
+    return quiescence.settled(spark, out, rule)
+
+
 @query("i3_single_delivery", """
     SELECT 'o' || l_orderkey AS run_id, CASE WHEN bool_or(l_linenumber % 2 = 1) THEN 'first' ELSE 'second' END AS stream
     FROM lineitem GROUP BY l_orderkey
