@@ -127,7 +127,7 @@ def compact(raw: DataFrame, folder: str, day: str | None = None, source: str | N
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} BIGINT" for k in row))
 
 
-_OBJECTS = StructType([StructField("path", StringType())])
+OBJECTS = StructType([StructField("path", StringType())])
 _PARTS = StructType(
     [StructField("build", StringType()), StructField("raw_key", StringType()), *(StructField(c, IntegerType()) for c in lake.DATE_COLUMNS)]
 )
@@ -153,7 +153,7 @@ def compact_new_days(spark: SparkSession, packed: str, folder: str) -> list[tupl
     ledger is written last: a run that fails is simply repeated.  The days touched are returned.
     """
     date = F.struct(*lake.DATE_COLUMNS)
-    objects, parts = Ledger(spark, f"{folder}/objects", _OBJECTS), Ledger(spark, f"{folder}/builds", _PARTS, by=["build"])
+    objects, parts = Ledger(spark, f"{folder}/objects", OBJECTS), Ledger(spark, f"{folder}/builds", _PARTS, by=["build"])
     made = Publication(spark, folder)
     listed = lake.listing(spark, packed).select(F.col("object_key").alias("path"))
     new = materialise(objects.unclaimed(listed), "pending")
