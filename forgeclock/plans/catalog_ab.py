@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from forgeclock import schemas
 from forgeclock.functions import coerce, ids
 from forgeclock.operators import flatten, redact
 from forgeclock.plans import lens, published, raw_lens
 from forgeclock.plans.lens import over, table
 from forgeclock.shared import fresh_folder, materialise
-from forgeclock.sources import documents, lake, logs, sinks
+from forgeclock.sources import documents, forget, lake, logs, sinks
 from forgeclock.sources.publication import Publication, union
 
 QUERIES = {}
@@ -639,6 +640,32 @@ def b12(spark, sf):
     return kept.select("run_id", "package", "duration")
 
 
+@query("b12_forget_everywhere", """
+    WITH o AS (SELECT o_orderkey AS q FROM orders WHERE o_custkey <> 7),
+    n AS (SELECT 'sessions' AS name, q, 1 AS k FROM o UNION ALL SELECT 'units', q, CASE q % 3 WHEN 0 THEN 2 ELSE 1 END FROM o
+      UNION ALL SELECT 'phases', q, 3 - q % 2 FROM o WHERE q % 6 <> 5 UNION ALL SELECT 'unit_flags', q, 3 FROM o WHERE q % 6 <> 5
+      UNION ALL SELECT 'timeline', q, 3 FROM o WHERE q % 5 <> 4)
+    SELECT p || ' ' || name AS place, CAST(sum(k) AS BIGINT) AS rows, CAST(sum(k * q) AS BIGINT) AS keys
+    FROM n, (VALUES ('days'), ('snapshot')) AS places(p) GROUP BY 1
+    UNION ALL SELECT 'lake', count(*), CAST(sum(q) AS BIGINT) FROM o""")
+def b12_everywhere(spark, sf):
+    """Documents are published by days and as a snapshot, then a machine is forgotten; what each place still holds."""
+    packed, out = fresh_folder(spark, "packed"), fresh_folder(spark, "published")
+    day = F.pmod(F.crc32("object_key"), F.lit(3)).cast("int") + 1
+    docs = raw_lens.documents(spark, sf).withColumns({"year": F.lit(2026), "month": F.lit(1), "day": day})
+    lake.pack(docs, packed)
+    sinks.compact_new_days(spark, packed, out)
+    sinks.compact(lake.read_packed(spark, packed), out, day="2026-01-03")
+    forget.forget_machine(spark, "m7", out, packed)
+    made, key = Publication(spark, out), F.regexp_extract(F.col("id"), r"o(\d+)", 1).cast("bigint")
+    held = {"lake": lake.read_packed(spark, packed).select(F.col("object_key").alias("id"))}
+    for name in schemas.TABLES:
+        held[f"days {name}"] = made.days(name).select(F.col("run_id").alias("id"))
+        held[f"snapshot {name}"] = made.snapshot(name, "2026-01-03").select(F.col("run_id").alias("id"))
+    counted = [f.agg(F.count(F.lit(1)).alias("rows"), F.sum(key).alias("keys")).select(F.lit(p).alias("place"), "rows", "keys") for p, f in held.items()]
+    return union(counted)
+
+
 @query("b13_exclude_contributors", over("sessions", body="""
     SELECT run_id FROM sessions WHERE (client, cpu_model) NOT IN
       (SELECT client, cpu_model FROM sessions GROUP BY 1, 2 HAVING avg(cpu_busy_mean) > 50)"""))
