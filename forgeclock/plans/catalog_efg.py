@@ -251,7 +251,7 @@ def e17(spark, sf):
 
 _HOST = """host AS (SELECT 'u' || user_id AS run_id, user_id, event_id, ts, CASE WHEN user_id % 5 = 0 THEN 0.0 ELSE k / 4.0 END::DOUBLE AS loadavg,
       CAST(k AS DOUBLE) AS cpu_pct, CASE WHEN user_id % 7 <> 0 OR k % 3 <> 0 THEN event_id * 1000 + k END AS psi_cpu,
-      1000000000 - event_id * 10 AS psi_io, CASE WHEN user_id % 3 <> 0 THEN event_id * event_id END AS psi_memory FROM clicks)"""
+      CASE WHEN user_id % 2 = 0 THEN 1000000000 - event_id * 10 ELSE event_id * 10 END AS psi_io, CASE WHEN user_id % 3 <> 0 THEN event_id * event_id END AS psi_memory FROM clicks)"""
 
 
 def host_samples(spark, sf):
@@ -261,7 +261,7 @@ def host_samples(spark, sf):
         "CASE WHEN user_id % 5 = 0 THEN 0.0D ELSE k / 4.0D END AS loadavg",
         "CAST(k AS DOUBLE) AS cpu_pct",
         "CASE WHEN user_id % 7 <> 0 OR k % 3 <> 0 THEN event_id * 1000 + k END AS psi_cpu",
-        "1000000000 - event_id * 10 AS psi_io",
+        "CASE WHEN user_id % 2 = 0 THEN 1000000000 - event_id * 10 ELSE event_id * 10 END AS psi_io",
         "CASE WHEN user_id % 3 <> 0 THEN event_id * event_id END AS psi_memory",
     )
 
