@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock.llm.common import as_text, bounded_sample
-from forgeclock.shared import materialise
+from forgeclock.shared import discard, materialise
 
 GRADES = 4
 BITS = 22
@@ -64,28 +64,30 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score[:, None], -40, 40)))
 
 
-def _selected(rows: list[list[int]], toxic: np.ndarray, most: int) -> np.ndarray:
-    """Features whose document shares differ most between the classes, in standard errors; seen in three texts at least."""
-    ids, inverse = np.unique(np.concatenate([np.array(r, np.int64) for r in rows]), return_inverse=True)
-    of = np.repeat(toxic, [len(r) for r in rows])
-    pos, neg = np.bincount(inverse[of], minlength=len(ids)), np.bincount(inverse[~of], minlength=len(ids))
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    p, q, both = pos / n1, neg / n0, (pos + neg + 1) / (n1 + n0 + 2)
-    z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    z[pos + neg < 3] = 0
-    best = np.lexsort((ids, -z))[:most]
-    return np.sort(ids[best[z[best] > 4]])
+def _selected(seen: DataFrame, n1: int, n0: int, most: int) -> list[int]:
+    """Features whose document shares differ most between the classes, in standard errors; seen in three texts at least.
+
+    ``n1`` toxic and ``n0`` clean texts.  Features are counted on Spark, so only the chosen ones reach the driver.
+    """
+    counts = seen.select(F.col("toxic").cast("long").alias("toxic"), F.explode("seen").alias("id")).groupBy("id")
+    counts = counts.agg(F.sum("toxic").alias("pos"), F.count("*").alias("many")).where("many >= 3")
+    both = (F.col("many") + 1) / F.lit(n1 + n0 + 2)
+    apart = F.abs(F.col("pos") / F.lit(n1) - (F.col("many") - F.col("pos")) / F.lit(n0))
+    z = apart / F.sqrt(both * (1 - both) * F.lit(1 / n1 + 1 / n0))
+    best = counts.select("id", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "id").limit(most)
+    return sorted(r["id"] for r in best.collect())
 
 
-def fit(rows: list[list[int]], toxic: np.ndarray, most: int = 150, steps: int = 300) -> Model:
-    """Full-batch Adam on the ordinal likelihood; classes weigh alike, so the sample's share of toxic texts doesn't matter."""
-    if not len(rows) or toxic.all() or not toxic.any() or not len(kept := _selected(rows, toxic, most)):
+def fit(rows: list[np.ndarray], toxic: np.ndarray, kept: list[int], steps: int = 300) -> Model:
+    """Full-batch Adam on the ordinal likelihood; classes weigh alike, so the sample's share of toxic texts doesn't matter.
+
+    ``rows`` are each text's features among the sorted ones in ``kept``.
+    """
+    if not len(kept):
         return Model({}, np.full(GRADES - 1, 40.0))
     x = np.zeros((len(rows), len(kept)), np.float32)
     for i, r in enumerate(rows):
-        at = np.searchsorted(kept, r)
-        at = at[kept[np.minimum(at, len(kept) - 1)] == np.array(r)] if len(r) else at
-        x[i, at] = 1
+        x[i, np.searchsorted(kept, r)] = 1
     lean = x[toxic].mean(axis=0) > x[~toxic].mean(axis=0)
     evidence = x[:, lean].sum(axis=1)
     grade = np.zeros(len(rows), np.int64)
@@ -115,8 +117,8 @@ def fit(rows: list[list[int]], toxic: np.ndarray, most: int = 150, steps: int =
     return Model({int(k): float(v) for k, v in zip(kept, w)}, theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
-    """Fit on at most about ``most`` labelled documents of each class, chosen by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, width: int = 150) -> Model:
+    """Fit on at most about ``most`` labelled documents of each class, chosen by a hash of doc_id, and ``width`` features.
 
     Several labels for one id: toxic wins.  Null labels and ids are left out.
     """
@@ -125,10 +127,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     chosen = [bounded_sample(known.where(F.col("toxic") == t), "doc_id", most, 7) for t in (0, 1)]
     sample = materialise(chosen[0].unionByName(chosen[1]), "sample")  # bounded by ``most``
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    found = rows.select("doc_id", "toxic", text_features()("text").alias("seen")).toPandas()
+    texts = rows.select("doc_id", (F.col("toxic") > 0).alias("toxic"), text_features()("text").alias("seen"))
+    texts = materialise(texts, "seen")  # an id, a class and all features of each text
+    many = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    kept = _selected(texts, many[True], many[False], width) if len(many) == 2 else []
+    chosen = F.array(*map(F.lit, kept)).cast("array<int>")
+    found = texts.select("doc_id", "toxic", F.array_intersect("seen", chosen).alias("seen")).toPandas()  # ``width`` a text at most
+    discard(texts)
     found = found.sort_values("doc_id", kind="stable")
-    seen = [np.asarray(r, np.int64) for r in found["seen"]]
-    return fit(seen, found["toxic"].to_numpy(np.int64) > 0)
+    return fit([np.asarray(r, np.int64) for r in found["seen"]], found["toxic"].to_numpy(bool), kept)
 
 
 def severity(model: Model):

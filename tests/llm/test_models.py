@@ -46,6 +46,27 @@ def test_severity(spark):
     assert severity.scored(docs.limit(0), model).count() == 0
 
 
+def test_severity_gathers_chosen_features_only(spark, monkeypatch):
+    """The driver gets at most ``width`` features of a text, and those that a plain count chooses."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 60) + (" grumpold zorkish" if i % 3 == 0 else f" plain{i % 5}")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    gathered, fit = [], severity.fit
+    monkeypatch.setattr(severity, "fit", lambda seen, *more: gathered.extend(seen) or fit(seen, *more))
+    model = severity.train(docs, labels)
+    every = [{f for w in severity.WORD.findall(t.lower()) for f in severity.features(w)} for _, t in rows]
+    n1, n0, z = 30, 60, {}
+    for f in set().union(*every):
+        pos, neg = sum(f in e for e in every[::3]), sum(f in e for i, e in enumerate(every) if i % 3)
+        both = (pos + neg + 1) / (n1 + n0 + 2)
+        if pos + neg >= 3:
+            z[f] = abs(pos / n1 - neg / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+    want = {f for f in z if z[f] > 4}
+    assert set(model.weights) == want and len(want) > 3
+    assert [set(map(int, g)) for g in gathered] == [e & want for e in every]
+
+
 def test_positive_unlabelled(spark):
     rng = random.Random(2)
     rows, labels = [], []
