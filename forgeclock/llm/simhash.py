@@ -10,8 +10,9 @@ reported at the home of its midpoint only: once.
 Anchors with many fingerprints are cut into slices, and each pair of slices is compared in a task of its own, so no
 group grows without bound and none is cut short.
 
-The pipeline's near-dedup stage wants every pair above a Jaccard similarity, which no number of differing bits gives. It joins texts
-by their rarest shingles (prefix filter, no pair missed) and decides each pair by its shingles.
+The pipeline's near-dedup stage wants every pair above a Jaccard similarity, which no number of differing bits gives.  It links texts by
+fingerprints of their words in the same way, decides each link by the texts' shingles, and then joins those that are still apart by their
+rarest shingles (prefix filter), so that no pair is missed.
 """
 
 from __future__ import annotations
@@ -254,6 +255,15 @@ EPS = 1e-9
 COMMON = 1 << 18
 
 
+def word_print(text: bytes) -> int:
+    """SimHash of the lower-cased words, weighted by 1 + ln(count): few edits change few bits, whatever shingles they touch."""
+    counts: dict[bytes, int] = {}
+    for w in text.lower().split():
+        counts[w] = counts.get(w, 0) + 1
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    return bit_votes(hashes, 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))))
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
@@ -307,26 +317,28 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def first_shingles(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """Column function: text -> key of its set of shingles, their number, and its rarest ones.
+    """Column function: text -> key of its set of shingles, their number, its word fingerprint, and its rarest shingles.
 
     Two sets with this Jaccard similarity or more share one of the rarest ``n - ceil(similarity * n) + 1`` of each, in any
     order that is the same for all sets.
     """
     known, count = common
 
-    @F.arrow_udf("struct<id: bigint, n: int, rare: array<bigint>>")
+    @F.arrow_udf("struct<id: bigint, n: int, fp: bigint, rare: array<bigint>>")
     def first(texts: pa.Array) -> pa.Array:
-        ids, sizes, rare = [], [], []
+        ids, sizes, prints, rare = [], [], [], []
         for text in as_bytes(texts):
             found = shingle_set(text, words)
             ids.append(set_key(found))
             sizes.append(len(found))
+            prints.append(word_print(text))
             if len(known) and len(found):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 found = found[np.lexsort((found, np.where(known[at] == found, count[at], 0)))]
             rare.append(signed(found[: len(found) - int(np.ceil(similarity * len(found) - EPS)) + 1]))
-        parts = [pa.array(signed(np.array(ids, np.uint64))), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(parts, names=["id", "n", "rare"])
+        keys, marks = (pa.array(signed(np.array(x, np.uint64))) for x in (ids, prints))
+        parts = [keys, pa.array(sizes, pa.int32()), marks, pa.array(rare, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(parts, names=["id", "n", "fp", "rare"])
 
     return first
 
@@ -352,25 +364,41 @@ def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
     return materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
 
 
-def similar_groups(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(node, root) of the sets in ``keyed`` (id, n, rare) that links of at least this similarity join with others; ids are distinct.
+def by_fingerprint(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(similar, tried), both stored pairs (a, b) of set ids: those whose fingerprints link them, and which of these are similar.
+
+    ``prints`` has (id, n, fp) with distinct ids and is a written table.  Sets with one fingerprint are compared with the first of
+    them, and the first ones of fingerprints within ``threshold`` bits with each other.  Sets without shingles have no copies but themselves.
+    """
+    prints = prints.where("n > 0")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    own = prints.join(nodes, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    across = links(nodes.select(F.col("first").alias("id"), "fp"), threshold)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = materialise(own.unionByName(across), "tried")
+    return _similar(tried, sets_of, similarity), tried
 
-    Of two similar sets, the smaller one has some shared shingle early: enough of it follows for both.  So a shingle that nobody has
+
+def still_apart(keyed: DataFrame, near: DataFrame, tried: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Stored pairs (a, b) of similar sets that put together all that the similar pairs ``near`` leave apart.
+
+    ``keyed`` has (id, n, rare, root), a set's root being its group by ``near``; pairs ``tried`` need no second look.  Of two similar
+    sets, the smaller one has some shared shingle early: enough of it follows for both.  So a shingle that nobody has
     early makes no pair, and no two sets are paired by one that both have late, as a passage is that fills most of many texts.
     First all sets with a shingle in common are compared with one of them, so groups of near copies come together without all
     their pairs; then, per shingle, every pair of sets that are still apart is.
     """
     early = (F.col("n") - F.col("pos")) * (1 + similarity) >= 2 * similarity * F.col("n") - EPS
-    spread = keyed.select("id", "n", F.posexplode("rare").alias("pos", "s")).withColumn("early", early)
-    shared = spread.groupBy("s").agg(F.count("*").alias("many"), F.max("early").alias("any")).where("many > 1 AND any").select("s")
-    met = materialise(spread.join(shared, "s"), "met")
-    head = met.where("early").groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("h")).select("s", "h.*")
-    star = met.alias("x").join(head.alias("y"), "s").where("x.id != y.id")
-    star = materialise(_pairs(star, similarity), "star")
-    near = _similar(star, sets_of, similarity)
-
-    root = components(near).select(F.col("node").alias("id"), "root")
-    placed = met.join(root, "id", "left").select("s", "id", "n", "pos", "early", F.coalesce("root", "id").alias("root"))
+    spread = keyed.select("id", "n", "root", F.posexplode("rare").alias("pos", "s")).withColumn("early", early)
+    shared = spread.groupBy("s").agg(F.max("early").alias("any"), F.min("root").alias("least"), F.max("root").alias("most"))
+    met = materialise(spread.join(shared.where("any AND least < most").select("s"), "s"), "met")
+    head = met.where("early").groupBy("s").agg(F.min(F.struct("id", "n", "pos", "root")).alias("h")).select("s", "h.*")
+    star = met.alias("x").join(head.alias("y"), "s").where("x.root != y.root")
+    star = materialise(_pairs(star, similarity).join(tried, ["a", "b"], "left_anti"), "star")
+    more = _similar(star, sets_of, similarity)
+
+    root = components(materialise(near.unionByName(more), "so_far")).select(F.col("node").alias("id"), "root")
+    placed = met.drop("root").join(root, "id", "left").select("s", "id", "n", "pos", "early", F.coalesce("root", "id").alias("root"))
     placed = materialise(placed, "placed")
     discard(met)
     apart = placed.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
@@ -378,16 +406,18 @@ def similar_groups(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     discard(placed)
     smaller = "x.n < y.n OR x.n = y.n AND x.id < y.id"
     met = between.where("early").alias("x").join(between.alias("y"), "s").where(f"x.root != y.root AND ({smaller})")
-    rest = materialise(_pairs(met, similarity).join(star, ["a", "b"], "left_anti"), "rest")
+    seen = star.unionByName(tried)
+    rest = materialise(_pairs(met, similarity).join(seen, ["a", "b"], "left_anti"), "rest")
     discard(between)
-    return components(materialise(near.unionByName(_similar(rest, sets_of, similarity)), "links"))
+    return materialise(more.unionByName(_similar(rest, sets_of, similarity)), "later")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
     Two texts link if the sets of their ``words``-word shingles (as 64-bit hashes) have Jaccard ``similarity`` or more, whatever
-    their length; no pair is missed.  Groups are connected components.  All columns stay as they are.  Repeated rows and null
+    their length.  Fingerprints of words within ``threshold`` bits (anchor covering) name the pairs to compare; what they
+    leave apart is joined by rare shingles, so no pair is missed.  Groups are connected components.  All columns stay as they are.  Repeated rows and null
     ids: one row of a group stays, a null id only if no other exists.  Texts without words form one group; null counts as empty.
     Rows that surely stay are told by a filter and are not shuffled.
     """
@@ -397,17 +427,22 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     texts = rows.select(*named, F.col("row.text").alias("text"))
     first = first_shingles(words, similarity, common_shingles(texts, words))
     marks = materialise(texts.select("doc_id", "th", "h", first("text").alias("m")).select("doc_id", "th", "h", "m.*"), "marks")
-    keyed = marks.groupBy("id").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("rare").alias("rare"))
-    keyed = materialise(keyed, "keyed")
-    narrow = materialise(marks.select("doc_id", "th", "h", "id"), "narrow")
-    discard(marks)
+    prints = marks.groupBy("id").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    prints = materialise(prints, "prints")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = keyed.join(ids, "id", "left_semi").select("h")
+        chosen = prints.join(ids, "id", "left_semi").select("h")
         some = texts.select(keyed_shingles(words, key_filter(chosen))("h", "text").alias("m")).where("m IS NOT NULL")
         return some.select("m.id", "m.s").dropDuplicates(["id"])
 
-    member = similar_groups(keyed, sets_of, similarity).select(F.col("node").alias("id"), "root")
+    near, tried = by_fingerprint(prints, sets_of, similarity, threshold)
+    root = components(near).select(F.col("node").alias("id"), "root")
+    keyed = marks.groupBy("id").agg(F.first("n").alias("n"), F.first("rare").alias("rare")).join(root, "id", "left")
+    keyed = materialise(keyed.select("id", "n", "rare", F.coalesce("root", "id").alias("root")), "keyed")
+    narrow = materialise(marks.select("doc_id", "th", "h", "id"), "narrow")
+    discard(marks)
+    later = still_apart(keyed, near, tried, sets_of, similarity)
+    member = components(materialise(near.unionByName(later), "links")).select(F.col("node").alias("id"), "root")
     grouped = narrow.join(member, "id", "left").select("doc_id", "th", "h", F.coalesce("root", "id").alias("root"))
     grouped = materialise(grouped, "grouped")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "h")).alias("best")
@@ -415,7 +450,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     copies = grouped.groupBy("h", "th").agg(F.count("*").alias("copies"))
     told = copies.join(stays, ["h", "th"], "left").where("stays IS NULL OR copies > 1")
     told = materialise(told, "told")
-    discard(keyed, narrow, grouped)
+    discard(prints, keyed, narrow, grouped)
     may = may_hold(key_filter(told))(F.col("h"))
     asked = rows.select("row", *named[1:]).withColumn("may", may)
     sure = asked.where(~F.col("may")).select("row.*")

@@ -125,3 +125,31 @@ def test_keep_one_misses_no_pair(spark):
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
     assert sorted(r.doc_id for r in got.collect()) == sorted(want.values())
     assert len(want) < len(rows) * 0.8
+
+
+def test_keep_one_goes_by_fingerprints(spark, monkeypatch):
+    """Fingerprints within the threshold link copies without any shingle join, and the shingle join gets no pair that they settled."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = [" ".join(rng.choices(vocabulary, k=500)) for _ in range(10)]
+    texts = [edited(rng, b, e) for b in base for e in (0, 1, 3)] + [base[0].upper(), f"{base[1]} end", "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.word_print((t or "").encode()) for t in texts]
+    sets = [simhash.shingle_set((t or "").encode(), 5) for t in texts]
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        similar = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+        return similar and (prints[i] ^ prints[j]).bit_count() <= 4
+
+    label = plain_components(range(len(texts)), linked)
+    want = sorted({g: i for i, g in reversed(list(enumerate(label)))}.values())
+    given = []
+
+    def nothing_later(keyed, near, tried, *_):
+        given.extend(keyed.select("id", "root").collect())
+        return near.limit(0)
+
+    monkeypatch.setattr(simhash, "still_apart", nothing_later)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, threshold=4).collect()) == want
+    assert len(want) < 25 and len({r.root for r in given}) == len(want)
