@@ -12,7 +12,7 @@ group grows without bound and none is cut short.
 
 The pipeline's near-dedup stage wants every pair above a Jaccard similarity, which no number of differing bits gives.  It links texts by
 fingerprints of their words in the same way, decides each link by the texts' shingles, and then joins those that are still apart by their
-rarest shingles (prefix filter), so that no pair is missed.
+rarest shingles (prefix filter), so that no pair is missed.  Shingles are fetched for pairs only that small sketches of the sets don't rule out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock.llm.common import as_bytes, key_filter, may_hold, passes, share_of_hash, signed, text_key, unsigned
@@ -268,6 +268,16 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """Words of 64 bits: for each of as many classes of hashes as there are shingles (a power of two), whether it holds an odd number of them.
+
+    Of two sets, folded to the same number of classes, bits differ only in classes with a shingle that one set alone has.
+    """
+    width = max(64, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def shingles(words: int):
     """Column function: text -> its distinct shingles."""
 
@@ -317,28 +327,29 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def first_shingles(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """Column function: text -> key of its set of shingles, their number, its word fingerprint, and its rarest shingles.
+    """Column function: text -> key of its set of shingles, their number and sketch, its word fingerprint, and its rarest shingles.
 
     Two sets with this Jaccard similarity or more share one of the rarest ``n - ceil(similarity * n) + 1`` of each, in any
     order that is the same for all sets.
     """
     known, count = common
 
-    @F.arrow_udf("struct<id: bigint, n: int, fp: bigint, rare: array<bigint>>")
+    @F.arrow_udf("struct<id: bigint, n: int, fp: bigint, sketch: array<bigint>, rare: array<bigint>>")
     def first(texts: pa.Array) -> pa.Array:
-        ids, sizes, prints, rare = [], [], [], []
+        ids, sizes, prints, sketches, rare = [], [], [], [], []
         for text in as_bytes(texts):
             found = shingle_set(text, words)
             ids.append(set_key(found))
             sizes.append(len(found))
             prints.append(word_print(text))
+            sketches.append(signed(parity_sketch(found)))
             if len(known) and len(found):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 found = found[np.lexsort((found, np.where(known[at] == found, count[at], 0)))]
             rare.append(signed(found[: len(found) - int(np.ceil(similarity * len(found) - EPS)) + 1]))
         keys, marks = (pa.array(signed(np.array(x, np.uint64))) for x in (ids, prints))
-        parts = [keys, pa.array(sizes, pa.int32()), marks, pa.array(rare, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(parts, names=["id", "n", "fp", "rare"])
+        lists = (pa.array(x, pa.list_(pa.int64())) for x in (sketches, rare))
+        return pa.StructArray.from_arrays([keys, pa.array(sizes, pa.int32()), marks, *lists], names=["id", "n", "fp", "sketch", "rare"])
 
     return first
 
@@ -354,8 +365,34 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
     return met.where(_possible(similarity)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough, stored; only sets in a pair are built, and dealt by their keys once."""
+def _folded(sketch: Column, words: Column) -> Column:
+    """The sketch with its classes put together to as many as ``words`` words hold."""
+    word = lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(sketch, j)))
+    return F.transform(F.sequence(F.lit(0), words - 1), word)
+
+
+def possible(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity: no similar pair goes, and few stay far below it.
+
+    ``prints`` has (id, n, sketch).  At least as many shingles are in one set only as bits of the sketches differ, and of two
+    similar sets with ``n`` and ``m`` shingles at most ``(1 - similarity) / (1 + similarity) * (n + m)`` are.
+    """
+    left, right = (prints.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "ab")
+    words = F.least(F.size("ka"), F.size("kb"))
+    unlike = F.zip_with(_folded(F.col("ka"), words), _folded(F.col("kb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    alone = F.aggregate(unlike, F.lit(0), lambda x, y: x + y)
+    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - EPS
+    near = alone <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 2 * EPS
+    return pairs.join(left, "a").join(right, "b").where(fits & near).select("a", "b")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is high enough, stored.
+
+    Sets are far larger than their sketches, and most pairs are far from similar: only sets in a pair that the sketches allow are built,
+    and dealt by their keys once.
+    """
+    pairs = materialise(possible(pairs, prints, similarity), "possible")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(ids)
     left, right = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
@@ -367,7 +404,7 @@ def _similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
 def by_fingerprint(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(similar, tried), both stored pairs (a, b) of set ids: those whose fingerprints link them, and which of these are similar.
 
-    ``prints`` has (id, n, fp) with distinct ids and is a written table.  Sets with one fingerprint are compared with the first of
+    ``prints`` has (id, n, fp, sketch) with distinct ids and is a written table.  Sets with one fingerprint are compared with the first of
     them, and the first ones of fingerprints within ``threshold`` bits with each other.  Sets without shingles have no copies but themselves.
     """
     prints = prints.where("n > 0")
@@ -376,26 +413,28 @@ def by_fingerprint(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     across = links(nodes.select(F.col("first").alias("id"), "fp"), threshold)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = materialise(own.unionByName(across), "tried")
-    return _similar(tried, sets_of, similarity), tried
+    return _similar(tried, prints, sets_of, similarity), tried
 
 
-def still_apart(keyed: DataFrame, near: DataFrame, tried: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def still_apart(
+    keyed: DataFrame, near: DataFrame, tried: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float
+) -> DataFrame:
     """Stored pairs (a, b) of similar sets that put together all that the similar pairs ``near`` leave apart.
 
-    ``keyed`` has (id, n, rare, root), a set's root being its group by ``near``; pairs ``tried`` need no second look.  Of two similar
-    sets, the smaller one has some shared shingle early: enough of it follows for both.  So a shingle that nobody has
+    ``keyed`` has (id, n, rare, root), a set's root being its group by ``near``, and ``prints`` (id, n, sketch);
+    pairs ``tried`` need no second look.  Of two similar sets, the smaller one has some shared shingle early: enough of it follows for both.  So a shingle that nobody has
     early makes no pair, and no two sets are paired by one that both have late, as a passage is that fills most of many texts.
     First all sets with a shingle in common are compared with one of them, so groups of near copies come together without all
     their pairs; then, per shingle, every pair of sets that are still apart is.
     """
     early = (F.col("n") - F.col("pos")) * (1 + similarity) >= 2 * similarity * F.col("n") - EPS
-    spread = keyed.select("id", "n", "root", F.posexplode("rare").alias("pos", "s")).withColumn("early", early)
-    shared = spread.groupBy("s").agg(F.max("early").alias("any"), F.min("root").alias("least"), F.max("root").alias("most"))
-    met = materialise(spread.join(shared.where("any AND least < most").select("s"), "s"), "met")
+    spread = keyed.select("id", "n", "root", F.posexplode("rare").alias("pos", "s"))
+    shared = spread.groupBy("s").agg(F.max(early).alias("any"), F.count("*").alias("sets"))  # narrow: most shingles are of one set, and go here
+    met = materialise(spread.join(shared.where("any AND sets > 1").select("s"), "s").withColumn("early", early), "met")
     head = met.where("early").groupBy("s").agg(F.min(F.struct("id", "n", "pos", "root")).alias("h")).select("s", "h.*")
     star = met.alias("x").join(head.alias("y"), "s").where("x.root != y.root")
     star = materialise(_pairs(star, similarity).join(tried, ["a", "b"], "left_anti"), "star")
-    more = _similar(star, sets_of, similarity)
+    more = _similar(star, prints, sets_of, similarity)
 
     root = components(materialise(near.unionByName(more), "so_far")).select(F.col("node").alias("id"), "root")
     placed = met.drop("root").join(root, "id", "left").select("s", "id", "n", "pos", "early", F.coalesce("root", "id").alias("root"))
@@ -409,7 +448,7 @@ def still_apart(keyed: DataFrame, near: DataFrame, tried: DataFrame, sets_of: Ca
     seen = star.unionByName(tried)
     rest = materialise(_pairs(met, similarity).join(seen, ["a", "b"], "left_anti"), "rest")
     discard(between)
-    return materialise(more.unionByName(_similar(rest, sets_of, similarity)), "later")
+    return materialise(more.unionByName(_similar(rest, prints, sets_of, similarity)), "later")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
@@ -427,7 +466,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold
     texts = rows.select(*named, F.col("row.text").alias("text"))
     first = first_shingles(words, similarity, common_shingles(texts, words))
     marks = materialise(texts.select("doc_id", "th", "h", first("text").alias("m")).select("doc_id", "th", "h", "m.*"), "marks")
-    prints = marks.groupBy("id").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    prints = marks.groupBy("id").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     prints = materialise(prints, "prints")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -441,7 +480,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold
     keyed = materialise(keyed.select("id", "n", "rare", F.coalesce("root", "id").alias("root")), "keyed")
     narrow = materialise(marks.select("doc_id", "th", "h", "id"), "narrow")
     discard(marks)
-    later = still_apart(keyed, near, tried, sets_of, similarity)
+    later = still_apart(keyed, near, tried, prints, sets_of, similarity)
     member = components(materialise(near.unionByName(later), "links")).select(F.col("node").alias("id"), "root")
     grouped = narrow.join(member, "id", "left").select("doc_id", "th", "h", F.coalesce("root", "id").alias("root"))
     grouped = materialise(grouped, "grouped")

@@ -153,3 +153,51 @@ def test_keep_one_goes_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "still_apart", nothing_later)
     assert sorted(r.doc_id for r in simhash.keep_one(docs, threshold=4).collect()) == want
     assert len(want) < 25 and len({r.root for r in given}) == len(want)
+
+
+def test_keep_one_fetches_no_sets_that_sketches_rule_out(spark, monkeypatch):
+    """Texts that share a passage only are paired by it, but their shingles aren't fetched; those of near copies are."""
+    rng = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    texts = [f"{passage} {' '.join(rng.choices(vocabulary, k=60 + i))}" for i in range(30)]
+    texts += [" ".join(rng.choices(vocabulary, k=150))]
+    texts += [edited(rng, texts[-1], 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named, fetched, all_pairs, filtered = [], [], simhash._pairs, simhash.key_filter
+
+    def pairs(met, similarity):
+        out = all_pairs(met, similarity)
+        named.append(out.count())
+        return out
+
+    def key_filter(keys):
+        fetched.append(keys.count())
+        return filtered(keys)
+
+    monkeypatch.setattr(simhash, "COMMON", 0)  # else the passage, known as frequent, comes last in each text
+    monkeypatch.setattr(simhash, "_pairs", pairs)
+    monkeypatch.setattr(simhash, "key_filter", key_filter)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(31))
+    assert sum(named) >= 30 and sum(fetched[:-1]) == 2  # the last filter is that of the rows which don't surely stay
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for n in [0, 1, 2, 9, 60, 63, 64, 65, 100, 128, 129, 500, 1025, 4000]:
+        for alike in (1.0, 0.95, 0.9, 0.8, 0.5, 0.0):
+            one = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            kept = one[: int(np.ceil(n * alike))]
+            for more in (0, round(n * (1 - alike)), n // 5):
+                pairs.append((len(sets), len(sets) + 1))
+                sets += [one, np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, more, dtype=np.uint64)]))]
+    rows = [(i, len(s), simhash.parity_sketch(s).astype(np.int64).tolist()) for i, s in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "id long, n int, sketch array<long>")
+    candidates = spark.createDataFrame(pairs, "a long, b long")
+    for similarity in (0.3, 0.5, 0.8, 1.0):
+        left = {(r.a, r.b) for r in simhash.possible(candidates, prints, similarity).collect()}
+        for a, b in pairs:
+            both, total = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
+            assert (a, b) in left or both < similarity * total
+            assert (a, b) not in left or similarity < 0.8 or len(sets[a]) < 100 or both > 0.65 * total
