@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce, ids
+from forgeclock.shared import growing
 
 REGISTERED = "unit-registered"
 BUILD_STARTED = "build-started"
@@ -43,13 +44,13 @@ def hide_units(
     )
     hits = (
         events.select(key, "pos", F.explode(mentioned).alias("index"))
-        .join(private, [key, "index"])
+        .join(growing(private), [key, "index"])
         .groupBy(key, "pos")
         .agg(F.collect_set("index").alias("hidden"))
     )
     own = F.coalesce(F.array_contains("hidden", F.col("index")), F.lit(False))
     return (
-        events.join(hits, [key, "pos"], "left")
+        events.join(growing(hits), [key, "pos"], "left")
         .where(~own)
         .withColumns({
             "dependencies": ids.prune_edges(F.col("dependencies"), F.col("hidden")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce, ids
 from forgeclock.operators import redact
+from forgeclock.shared import growing
 from forgeclock.sources.logs import run_headers
 
 # Events per document part; larger builds are written as several parts.
@@ -55,7 +56,7 @@ def build_documents(
         F.count_if(F.col("reason") == "unit-finished").alias("n_finished"),
     )
     side = [c for c in headers.columns if c not in (key, "run_id", "units_withheld")]
-    joined = pieces.join(totals, key).join(headers, key, "left")
+    joined = pieces.join(growing(totals), key).join(growing(headers), key, "left")
 
     def field(name: str, value: Column) -> Column:
         return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
@@ -128,7 +129,7 @@ def documents_from_logs(
     )
     withheld = typed.groupBy("log").agg(F.count_distinct(hidden).alias("units_withheld"))
     runs = run_headers(events).select("log", "run_id")
-    headers = runs.join(last, "log").join(withheld, "log")
+    headers = runs.join(growing(last), "log").join(growing(withheld), "log")
     if payload and HOST_FIELD in payload:
         host = payload[HOST_FIELD].select("log", F.col("value").alias("__ci"))
         said = F.concat(F.lit(f'"{HOST_FIELD}":'), F.col("__ci"), F.lit("}"))

@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeclock.functions import coerce
-from forgeclock.shared import materialise
+from forgeclock.shared import discard, growing, materialise, settings
 
 UNKNOWN_RUN = "?"
 
+# What opening a file counts for, in bytes, when small files are put together for a task.
+OPEN_BYTES = 65_536
+
+
+def _many_files(spark: SparkSession):
+    """Settings under which a folder of very many small files is listed and read by as many tasks as its bytes ask for.
+
+    Spark's own would list with up to 10,000 tasks and read a few files in each, the driver would keep a record of every task, and it would
+    keep the listing for later readers, who there are none of.
+    """
+    return settings(
+        spark, files__openCostInBytes=str(OPEN_BYTES), hive__filesourcePartitionFileCacheSize="0",
+        sources__parallelPartitionDiscovery__parallelism=str(4 * spark.sparkContext.defaultParallelism),
+    )
+
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """(log, pos, line) of every log below ``path``, other files left aside; ``pos`` follows the file order.
@@ -18,30 +33,36 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
     is the split's byte offset plus the line's number inside it; a line takes at least
     one byte, so positions never overlap.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    lines = materialise(
-        raw.select(
-            F.col("_metadata.file_path").alias("log"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("value").alias("line"),
-        ),
-        "log-lines",
-    )
+    with _many_files(spark):
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+        lines = materialise(
+            raw.select(
+                F.col("_metadata.file_path").alias("log"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("seq"),
+                F.col("value").alias("line"),
+            ),
+            "log-lines",
+        )
     starts = lines.groupBy("log", "block").agg(F.min("seq").alias("first"))
-    return lines.join(starts, ["log", "block"]).select(
+    return lines.join(growing(starts), ["log", "block"]).select(
         "log", (F.col("block") + F.col("seq") - F.col("first")).alias("pos"), "line"
     )
 
 
 def valid_events(lines: DataFrame) -> DataFrame:
-    """(log, pos, e) without any log that holds one line that is not a JSON object."""
+    """(log, pos, e) without any log that holds one line that is not a JSON object.
+
+    Stored: headers, redaction and documents read the events about ten times over, and would look for broken logs each time.
+    """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = materialise(lines.select("log", "pos", F.try_parse_json("line").alias("e")), "log-events")
     kind = F.schema_of_variant("e")
     is_object = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
     broken = parsed.where(~is_object).select("log").distinct()
-    return parsed.join(broken, "log", "left_anti")
+    valid = materialise(parsed.join(growing(broken), "log", "left_anti"), "valid-events")
+    discard(parsed)
+    return valid
 
 
 def run_headers(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import zstandard
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
-from forgeclock.sources import lake, logs, pointer, sinks
+from forgeclock.sources import documents, lake, logs, pointer, sinks
 from forgeclock.sources.publication import Overtaken, Publication
 
 GOOD = {
@@ -112,6 +112,39 @@ def test_a_log_over_several_splits_keeps_its_order(spark, tmp_path):
     assert [json.loads(r.line)["index"] for r in ordered] == list(range(n))
 
 
+def test_many_small_logs_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"log={i}").mkdir()
+        (tmp_path / f"log={i}" / "1.jsonl").write_text('{"reason":"x","index":1}\n{"reason":"x","index":2}\n')
+    opening = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        lines = logs.read_lines(spark, str(tmp_path))
+        assert len(lines.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism  # a file is written per task: 120 with Spark's own cost of opening
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == opening
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = lines.collect()
+    assert len(rows) == 240 and len({(r.log, r.pos) for r in rows}) == 240 and len({r.log for r in rows}) == 120
+
+
+def physical_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def small_events(spark):
+    lines = [("l1", 0, '{"reason":"build-started","run_id":"r"}'), ("l1", 1, '{"reason":"unit-registered","index":1,"package_id":"path+file:///x#a@1"}')]
+    lines += [("l2", 0, '{"reason":"unit-finished","index":1}'), ("l3", 0, "oops")]
+    return logs.valid_events(spark.createDataFrame(lines, "log string, pos long, line string"))
+
+
+def test_documents_from_logs_broadcast_no_table_of_logs(spark):
+    """Sizes of tables that come out of VARIANT columns are underestimated, so a table with a row per log would be broadcast at any size."""
+    docs = documents.documents_from_logs(small_events(spark), "c")
+    assert "Broadcast" not in physical_plan(docs)
+    assert {(r.log, json.loads(r.body)["counts"]["units_withheld"]) for r in docs.collect()} == {("l1", 1), ("l2", 0)}
+
+
 def test_log_selection(spark):
     df = spark.createDataFrame([("20260101-a.jsonl",), ("20260102-b.jsonl",), ("20260103-a.jsonl",)], "log string")
     names = lambda d: [r.log for r in d.collect()]
