@@ -135,10 +135,10 @@ def documents_from_logs(
         said = F.concat(F.lit(f'"{HOST_FIELD}":'), F.col("__ci"), F.lit("}"))
         bare = F.coalesce("env", F.lit("{}"))
         joined = F.concat(F.substring(bare, 1, F.length(bare) - 1), F.when(bare != "{}", F.lit(",")).otherwise(F.lit("")), said)
-        headers = headers.join(host, "log", "left").withColumn("env", F.when(F.col("__ci").isNotNull(), joined).otherwise(F.col("env"))).drop("__ci")
+        headers = headers.join(growing(host), "log", "left").withColumn("env", F.when(F.col("__ci").isNotNull(), joined).otherwise(F.col("env"))).drop("__ci")
     for name in PAYLOAD:
         if payload and name in payload:
-            headers = headers.join(payload[name].select("log", F.col("value").alias(name)), "log", "left")
+            headers = headers.join(growing(payload[name].select("log", F.col("value").alias(name))), "log", "left")
         else:
             headers = headers.withColumn(name, F.lit(None).cast("string"))
     kept = redact.redact_log(events, project_public)

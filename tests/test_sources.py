@@ -4,6 +4,7 @@ import json
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from forgeclock import schemas
 from forgeclock.operators import flatten
@@ -145,6 +146,16 @@ def test_documents_from_logs_broadcast_no_table_of_logs(spark):
     assert {(r.log, json.loads(r.body)["counts"]["units_withheld"]) for r in docs.collect()} == {("l1", 1), ("l2", 0)}
 
 
+def test_payload_of_documents_is_not_broadcast(spark):
+    events = small_events(spark)
+    named = events.select("log").distinct()
+    payload = {name: named.select("log", F.lit(text).alias("value")) for name, text in {"ci": "true", "machine": '{"machine_id":"m"}', "load": None}.items()}
+    docs = documents.documents_from_logs(events, "c", payload=payload)
+    assert "Broadcast" not in physical_plan(docs)
+    made = {r.log: json.loads(r.body) for r in docs.collect()}
+    assert {k: (d["machine"], d["load"], d["env"]) for k, d in made.items()} == {k: ({"machine_id": "m"}, None, {"ci": True}) for k in ("l1", "l2")}
+
+
 def test_log_selection(spark):
     df = spark.createDataFrame([("20260101-a.jsonl",), ("20260102-b.jsonl",), ("20260103-a.jsonl",)], "log string")
     names = lambda d: [r.log for r in d.collect()]
