@@ -72,11 +72,13 @@ def crossed_effects(
         spread = cells.join(state.select("m", "py", "pl"), "m").groupBy("c").agg(
             *[(F.sum(F.col("n") * F.col(f"p{k}")) / F.sum("n")).alias(f"c{k}") for k in "yl"]
         )
+        spread = materialise(spread, "spread")  # so that the cells lie on disk once for each half of a round, not for both
         back = cells.join(spread, "c").groupBy("m").agg(*[F.sum(F.col("n") * F.col(f"c{k}")).alias(f"g{k}") for k in "yl"])
         step = state.join(back, "m").select(
             *state.columns, *[(F.col("n") * F.col(f"p{k}") - F.col(f"g{k}")).alias(f"q{k}") for k in "yl"]
         )
         step = materialise(step, "step")
+        discard(spread)
         if before is not None:
             discard(before)
         dots = step.agg(
@@ -113,8 +115,10 @@ def crossed_effects(
 
     # Machines that share a class hang together; one link per class and machine, to the class's first machine, says so.
     chief = materialise(cells.groupBy("c").agg(F.min("m").alias("chief")), "chiefs")
-    links = cells.join(chief, "c").select(F.col("m").alias("a"), F.col("chief").alias("b")).distinct()
+    links = materialise(cells.join(chief, "c").select(F.col("m").alias("a"), F.col("chief").alias("b")).distinct(), "links")
+    discard(every, means)
     part = connected(links)
+    discard(links)
     class_part = classes.join(chief, "c").join(part.withColumnRenamed("node", "chief"), "chief")
     host_part = hosts.join(part.withColumnRenamed("node", "m"), "m")
     classes = class_part.select("c", "component", (F.col("ay") - F.lit(slope) * F.col("al")).alias("a"))

@@ -1,8 +1,9 @@
 """Intermediate tables: a scope deletes its own only, whatever other jobs of the session do meanwhile."""
 
 import threading
+import time
 
-from forgeclock.shared import discard, fresh_folder, materialise, scratch, together
+from forgeclock.shared import discard, fresh_folder, materialise, passing, scratch, together
 
 
 def readable(df):
@@ -40,3 +41,27 @@ def test_discard(spark):
     discard(gone)
     assert readable(kept) == 2 and readable(gone) is None
     assert fresh_folder(spark, "a") != fresh_folder(spark, "a")
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """Else they stay until the driver collects its garbage, and iterative jobs fill the disk; the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, manager = spark.conf.get(key, None), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = manager.getAllFiles().mkString("\n").split("\n")
+        return {x for x in found if "/shuffle_" in x and x.endswith(".data")}
+
+    known = shuffles()
+    made = materialise(spark.range(5000).repartition(5, "id").groupBy("id").count(), "made")
+    for _ in range(50):
+        if shuffles() <= known:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= known and made.count() == 5000
+    assert spark.conf.get(key, None) == before
+    with passing(spark):
+        with passing(spark):
+            pass
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
