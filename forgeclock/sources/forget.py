@@ -39,7 +39,7 @@ def forget_machine(spark: SparkSession, machine_id: str, folder: str, packed: st
         if "sessions" in roots:
             named.append(_files(spark, roots["sessions"]).select("run_id", "machine_id"))
         if packed:
-            owners = materialise(_owners(_files(spark, packed)).select("run_id", "machine_id", "object_key"), "owners")
+            owners = materialise(_owners(_files(spark, packed)).select("run_id", "machine_id", "object_key", "file"), "owners")
             named.append(owners.select("run_id", "machine_id"))
         if not named:
             return {}
@@ -54,7 +54,7 @@ def forget_machine(spark: SparkSession, machine_id: str, folder: str, packed: st
 
         plans = {n: _plan(spark, root, mark) for n, root in roots.items()}
         if packed:
-            plans["lake"] = _plan(spark, packed, lambda rows: mark(_owners(rows)))
+            plans["lake"] = _plan(spark, packed, lambda rows: mark(_owners(rows)), mark(owners))
             keys = materialise(mark(owners).where("gone").select(F.col("object_key").alias("raw_key"), "gone").distinct(), "keys")
             if _holds_files(spark, f"{folder}/builds/runs"):
                 plans["builds"] = _plan(
@@ -85,10 +85,14 @@ def _holds_files(spark: SparkSession, root: str) -> bool:
     return pointer.exists(spark, root) and not lake.listing(spark, root).where("object_key LIKE '%.parquet'").isEmpty()
 
 
-def _plan(spark: SparkSession, root: str, mark: Callable[[DataFrame], DataFrame]) -> dict:
-    """Write what stays of the files with a row that goes beside them; which files come and go."""
+def _plan(spark: SparkSession, root: str, mark: Callable[[DataFrame], DataFrame], marked: DataFrame | None = None) -> dict:
+    """Write what stays of the files with a row that goes beside them; which files come and go.
+
+    ``marked``: (file, gone) of all rows, where it is known before.
+    """
     rows = _files(spark, root)
-    touched = sorted(r["file"] for r in mark(rows).where("gone").select("file").distinct().collect())  # Spark's file index holds more
+    marked = mark(rows) if marked is None else marked
+    touched = sorted(r["file"] for r in marked.where("gone").select("file").distinct().collect())  # Spark's file index holds more
     if not touched:
         return {"moves": [], "deletes": [], "staged": None}
     paths = {file: unquote(file) for file in touched}

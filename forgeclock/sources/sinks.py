@@ -161,7 +161,9 @@ def compact_new_days(spark: SparkSession, packed: str, folder: str) -> list[tupl
     if not files:
         return []
     with scratch(spark):
-        arrived = _shaped(lake.read_files(spark, packed, files))
+        # Only where each document belongs is read here: days are flattened from the lake below, whatever arrived.
+        arrived = lake.flattenable(lake.read_files(spark, packed, files).withColumn("raw_key", F.col("object_key")), head=("part", "parts"))
+        arrived = materialise(arrived.select("object_key", "raw_key", *lake.DATE_COLUMNS, "head"), "arrived")
         split = arrived.where(flatten.split_build()).select(F.col("object_key").alias("build"), "raw_key", *lake.DATE_COLUMNS)
         split = materialise(split.distinct(), "split")
 
@@ -201,8 +203,8 @@ def _tables_of(spark: SparkSession, packed: str, days: list[tuple[int, int, int]
     wanted = lake.on_days(raw, needed).withColumnRenamed("object_key", "raw_key").join(elsewhere, ["raw_key", *keys], "left_semi")
     pieces = _shaped(wanted.withColumnRenamed("raw_key", "object_key")).where(flatten.split_build())
     homes = home.select(F.col("build").alias("object_key"), *[F.col(f"home.{c}").alias(c) for c in keys])
-    pieces = pieces.drop(*keys).join(homes, "object_key")
-    good = materialise(whole.unionByName(pieces.select(*whole.columns)).drop("raw_key"), "days")
+    pieces = materialise(pieces.drop(*keys).join(homes, "object_key").select(*whole.columns), "pieces")
+    good = whole.unionByName(pieces).drop("raw_key")  # both are stored
     dated = good.select("object_key", *keys).distinct()
     units = flatten.unit_rows(materialise(flatten.event_rows(good), "events")).join(dated, "object_key")
     return {

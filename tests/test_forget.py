@@ -72,6 +72,19 @@ def test_forget_everywhere(spark, tmp_path):
     assert files(tmp_path) == after
 
 
+def test_documents_are_parsed_no_more_often_than_needed(spark, tmp_path, monkeypatch):
+    """What arrives is shaped for its day once; to forget a machine all documents are read once, and again only those of files that change."""
+    shaped, read = [], []
+    ingest, owners = lake.ingest, forget._owners
+    monkeypatch.setattr(lake, "ingest", lambda raw: shaped.append(raw.count()) or ingest(raw))
+    monkeypatch.setattr(forget, "_owners", lambda rows: read.append(rows.count()) or owners(rows))
+    packed, out = published(spark, tmp_path)
+    assert shaped[:2] == [9, 2] and len(shaped) == 4  # the days and the parts of split builds, then one for each whole publication
+    forget.forget_machine(spark, "m", out, packed)
+    check(spark, packed, out)
+    assert read == [9, 6]
+
+
 def test_a_run_that_dies_is_finished_by_the_next(spark, tmp_path, monkeypatch):
     packed, out = published(spark, tmp_path)
     real, moved = pointer.move, []
